@@ -234,7 +234,7 @@ FROM (SELECT instrument, avg(tr) FILTER (WHERE rn <= 14) AS atr, max(close) FILT
 
 @query("G16_risk_stop", "SELECT * FROM v_risk_stop")
 def _(t):
-    return ind.risk_stop(t.bars)
+    return ind.risk_stop(t.adj)
 
 
 VIEWS["v_returns"] = """

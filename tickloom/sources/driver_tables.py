@@ -180,3 +180,72 @@ class Tables:
             return F.when((at == F.add_months("month", -k)) & (prev > 0), (F.col("revenue") / prev - 1.0) * 100.0)
 
         return self.monthly_revenue.withColumn("rev_yoy", growth(12)).withColumn("rev_mom", growth(1))
+
+    # --- screening inputs -------------------------------------------------
+
+    def _signed(self, cond: str) -> "F.Column":
+        return F.sum(F.when(F.expr(cond), F.col("l_quantity")).otherwise(-F.col("l_quantity")))
+
+    @cached_property
+    def pledges(self) -> DataFrame:
+        li = self.read("lineitem").where("l_linenumber = 1 and l_returnflag = 'A' and l_quantity < 3")
+        return li.select(F.col("l_suppkey").alias("instrument"), (F.col("l_extendedprice") * 1000.0).alias("pledged"))
+
+    @cached_property
+    def penalties(self) -> DataFrame:
+        li = self.read("lineitem").where("l_linenumber = 2 and l_returnflag = 'N' and l_quantity <= 2")
+        return li.select(F.col("l_suppkey").alias("instrument"), F.col("l_shipdate").cast("date").alias("penalty_date"))
+
+    @cached_property
+    def flow(self) -> DataFrame:
+        return self.read("lineitem").where("l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("instrument")).agg(
+            self._signed("l_returnflag = 'A' or l_linenumber = 1").alias("foreign_net"),
+            self._signed("l_linestatus = 'O'").alias("trust_net"),
+            self._signed("l_linenumber % 2 = 0").alias("total_net"),
+        )
+
+    @cached_property
+    def margin(self) -> DataFrame:
+        part = lambda f: F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0.0))
+        return self.read("lineitem").where("l_suppkey % 2 = 0").groupBy(F.col("l_suppkey").alias("instrument")).agg(
+            (part("A") * 1000.0).alias("margin_buy"), (part("R") * 1000.0).alias("short_sell"),
+        ).withColumn("short_balance", F.col("short_sell") * (F.col("instrument") % 5) / 10.0)
+
+    @cached_property
+    def revenue_latest(self) -> DataFrame:
+        return (
+            self.revenue.where("instrument % 23 <> 7").groupBy("instrument")
+            .agg(F.max_by(F.struct("rev_yoy", "rev_mom"), "month").alias("r")).select("instrument", "r.*")
+        )
+
+    @cached_property
+    def valuation_latest(self) -> DataFrame:
+        return self.valuation.where("instrument % 29 <> 11").select(
+            "instrument", ((F.col("pe") - 25.5) * 10.0 + 20.0).alias("pe"), (F.col("pb") / 2.0).alias("pb"))
+
+    @cached_property
+    def screen_rows(self) -> DataFrame:
+        """One row per instrument with everything the screen needs."""
+        from tickloom.operators import indicators as ind
+
+        latest = ind.momentum(self.ranked).where("rn = 1").select(
+            "instrument", "date", "close", "n_bars", "momentum", "vol5", "vol_prev5")
+        hit = lambda df, name: df.withColumn(name, F.lit(True))
+        rows = (
+            latest.join(ind.average_daily_value(self.ranked.where("rn <= 20")).select("instrument", "adv"), "instrument", "left")
+            .join(hit(self.company.where("instrument % 31 <> 4"), "has_company"), "instrument", "left")
+            .join(self.pledges.groupBy("instrument").agg(F.max("pledged").alias("max_pledged")), "instrument", "left")
+            .join(self.penalties.groupBy("instrument").agg(F.max("penalty_date").alias("last_penalty")), "instrument", "left")
+            .join(hit(self.revenue_latest, "has_rev"), "instrument", "left")
+            .join(hit(self.valuation_latest, "has_val"), "instrument", "left")
+            .join(hit(self.flow, "has_flow"), "instrument", "left")
+            .join(hit(self.margin, "has_margin"), "instrument", "left")
+            .join(ind.gap_fill(self.adj).select("instrument", "timing_adjustment"), "instrument", "left")
+            .join(ind.volume_anomaly(self.adj).select("instrument", F.col("score_adjustment").alias("volume_adjustment")), "instrument", "left")
+            .join(self.action_days.groupBy("instrument").agg(F.max("ex_date").alias("last_ex")), "instrument", "left")
+        )
+        code = F.lpad((F.col("instrument") * 83 % 10000).cast("string"), 4, "0")
+        k = F.col("instrument")
+        reason = F.when(k % 17 == 3, "sanctioned").when(k % 19 == 5, "trading_halt").when(k % 37 == 2, "margin_suspended")
+        flags = {f: F.coalesce(F.col(f), F.lit(False)) for f in ("has_company", "has_rev", "has_val", "has_flow", "has_margin")}
+        return rows.withColumns(flags).withColumn("code", code).withColumn("list_reason", reason)
