@@ -13,6 +13,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(sql) for name, sql in ORACLES.items()}
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``.
 
@@ -25,7 +29,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql  # views are added by oracle_sql(), once every module has defined its own
         return fn
 
     return wrap
