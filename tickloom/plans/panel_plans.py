@@ -23,7 +23,7 @@ def ohlc(df):
 # A trade per order: the order's first line is the entry and its last line the exit.
 VIEWS["v_trades"] = """
 SELECT o_orderkey AS trade_id, instrument, entry_date, entry_price, exit_date, exit_price, exit_reason,
-       CASE WHEN exit_date IS NOT NULL THEN round((exit_price - entry_price) / entry_price * 100, 4) END AS pnl_pct,
+       CASE WHEN exit_date IS NOT NULL THEN round((exit_price - entry_price) / entry_price * 100, 2) END AS pnl_pct,
        CASE WHEN exit_date IS NOT NULL THEN 'closed' ELSE 'open' END AS status
 FROM (SELECT o_orderkey, instrument, entry_date, entry_price,
              CASE WHEN o_orderstatus <> 'O' THEN last_date END AS exit_date, CASE WHEN o_orderstatus <> 'O' THEN last_price END AS exit_price,
@@ -46,7 +46,7 @@ def trades(t):
         F.col("o_orderkey").alias("trade_id"), "instrument", "entry_date", "entry_price",
         F.when(done, F.col("last_date")).alias("exit_date"), F.when(done, F.col("last_price")).alias("exit_price"),
         F.when(F.col("o_orderstatus") == "F", "stop_loss").when(F.col("o_orderstatus") == "P", "take_profit").alias("exit_reason"),
-        F.when(done, rnd((F.col("last_price") - F.col("entry_price")) / F.col("entry_price") * 100, 4)).alias("pnl_pct"),
+        F.when(done, rnd((F.col("last_price") - F.col("entry_price")) / F.col("entry_price") * 100, 2)).alias("pnl_pct"),
         F.when(done, "closed").otherwise("open").alias("status"),
     )
 

@@ -32,13 +32,3 @@ def local_session(app: str = "tickloom", cpus: int | None = None) -> SparkSessio
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the session; a fresh temporary one only where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    made = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(made)
-    return made

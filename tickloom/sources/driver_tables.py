@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.typing import dbl, rnd
 from tickloom.operators import actions as act
 from tickloom.operators import calendar as cal
+from tickloom.sources.store import store
 
 # The holiday feed of the test panel (first day, last day, name, description, flag, file).
 HOLIDAY_RULES = (
@@ -128,6 +129,15 @@ class Tables:
             .withColumn("ord", F.col("n_bars") - F.col("rn") + 1)
         )
 
+    @cached_property
+    def panel(self) -> DataFrame:
+        """Ranked adjusted bars as a stored table, for plans that read the panel in several branches."""
+        return store(self.ranked, "panel")
+
+    @cached_property
+    def trading_calendar(self) -> DataFrame:
+        return store(self.calendar, "calendar")
+
     @cached_property
     def sectors(self) -> DataFrame:
         s, n, r = self.read("supplier"), self.read("nation"), self.read("region")
@@ -228,11 +238,11 @@ class Tables:
         """One row per instrument with everything the screen needs."""
         from tickloom.operators import indicators as ind
 
-        latest = ind.momentum(self.ranked).where("rn = 1").select(
+        latest = ind.momentum(self.panel).where("rn = 1").select(
             "instrument", "date", "close", "n_bars", "momentum", "vol5", "vol_prev5")
         hit = lambda df, name: df.withColumn(name, F.lit(True))
         rows = (
-            latest.join(ind.average_daily_value(self.ranked.where("rn <= 20")).select("instrument", "adv"), "instrument", "left")
+            latest.join(ind.average_daily_value(self.panel.where("rn <= 20")).select("instrument", "adv"), "instrument", "left")
             .join(hit(self.company.where("instrument % 31 <> 4"), "has_company"), "instrument", "left")
             .join(self.pledges.groupBy("instrument").agg(F.max("pledged").alias("max_pledged")), "instrument", "left")
             .join(self.penalties.groupBy("instrument").agg(F.max("penalty_date").alias("last_penalty")), "instrument", "left")
@@ -240,8 +250,8 @@ class Tables:
             .join(hit(self.valuation_latest, "has_val"), "instrument", "left")
             .join(hit(self.flow, "has_flow"), "instrument", "left")
             .join(hit(self.margin, "has_margin"), "instrument", "left")
-            .join(ind.gap_fill(self.adj).select("instrument", "timing_adjustment"), "instrument", "left")
-            .join(ind.volume_anomaly(self.adj).select("instrument", F.col("score_adjustment").alias("volume_adjustment")), "instrument", "left")
+            .join(ind.gap_fill(self.panel).select("instrument", "timing_adjustment"), "instrument", "left")
+            .join(ind.volume_anomaly(self.panel).select("instrument", F.col("score_adjustment").alias("volume_adjustment")), "instrument", "left")
             .join(self.action_days.groupBy("instrument").agg(F.max("ex_date").alias("last_ex")), "instrument", "left")
         )
         code = F.lpad((F.col("instrument") * 83 % 10000).cast("string"), 4, "0")
