@@ -202,3 +202,20 @@ SELECT t.trade_id, t.instrument, round(b.close, 4) AS close_price FROM v_trades
 def _(t):
     c = trades(t).select("trade_id", "instrument", F.date_add("entry_date", 1).alias("date"))
     return c.join(t.bars.select("instrument", "date", rnd("close", 4).alias("close_price")), ["instrument", "date"], "left").drop("date")
+
+
+@query("F7_pairwise_theta_join", """
+SELECT a.date, a.sector AS sector_a, b.sector AS sector_b, round(a.c - b.c, 6) AS spread FROM (SELECT sector, date, avg(close) AS c FROM v_bars JOIN v_sectors USING (instrument) GROUP BY 1, 2) a
+JOIN (SELECT sector, date, avg(close) AS c FROM v_bars JOIN v_sectors USING (instrument) GROUP BY 1, 2) b ON a.date = b.date AND a.sector < b.sector""")
+def _(t):
+    # pairs of sectors per date: the instruments are averaged first, so a date holds one row per sector
+    s = t.bars.join(t.sectors, "instrument").groupBy("sector", "date").agg(F.avg("close").alias("c"))
+    a = s.select("date", F.col("sector").alias("sector_a"), F.col("c").alias("ca"))
+    b = s.select("date", F.col("sector").alias("sector_b"), F.col("c").alias("cb"))
+    return a.join(b, "date").where("sector_a < sector_b").select("date", "sector_a", "sector_b", rnd(F.col("ca") - F.col("cb"), 6).alias("spread"))
+
+
+@query("F8_union_with_priority", """
+SELECT instrument, ex_date, source, count(*) AS records FROM v_actions GROUP BY 1, 2, 3""")
+def _(t):
+    return t.actions.groupBy("instrument", "ex_date", "source").agg(F.count("*").alias("records"))
