@@ -97,7 +97,8 @@ def pct_change(now: Column | str, before: Column | str, digits: int = 2) -> Colu
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(dbl(lo), F.least(dbl(hi), c))
+    """Null stays null; greatest and least alone would turn it into a bound."""
+    return F.when(c < lo, dbl(lo)).when(c > hi, dbl(hi)).otherwise(c)
 
 
 def bands(c: Column, steps: Sequence[tuple[float, float]], otherwise, op: str = ">") -> Column:

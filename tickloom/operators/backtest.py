@@ -209,7 +209,8 @@ def drawdown_episodes(curve: DataFrame, group: Sequence[str], chunk: str, order:
     row). A row that reaches the maximum starts a new island; the island number
     is a two-level scan as well.
     """
-    x = curve.withColumn("_new", (F.col(value) >= F.col("best")).cast("long"))
+    # the curve is kept to two decimals, so equal levels compare as equal; rounding keeps the maximum
+    x = curve.withColumn(value, rnd(value, 2)).withColumn("_new", (F.col(value) >= rnd("best", 2)).cast("long"))
     x = running(x, group, chunk, order, {"island": "_new"})
     under = F.col("_new") == 0
     ep = x.groupBy(*group, "island").agg(

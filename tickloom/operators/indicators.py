@@ -148,6 +148,13 @@ def average_daily_value(last: DataFrame) -> DataFrame:
     return last.groupBy(KEY).agg(F.avg(value).alias("adv"), F.max("n_bars").alias("n_bars"))
 
 
+def _first_cross() -> Column:
+    """Position in ``ahead`` of the first close on the other side of ``prev``; 0 when there is none."""
+    return F.when(
+        F.col("gap_pct") > 0, F.array_position(F.transform("ahead", lambda x: x <= F.col("prev")), True)
+    ).otherwise(F.array_position(F.transform("ahead", lambda x: x >= F.col("prev")), True))
+
+
 def gap_records(bars: DataFrame, min_gap: float = 0.5, horizon: int = 20) -> DataFrame:
     """Opening gaps with the number of bars until the close crosses the previous close."""
     w = by_date()
@@ -157,28 +164,21 @@ def gap_records(bars: DataFrame, min_gap: float = 0.5, horizon: int = 20) -> Dat
         .withColumn("ahead", F.collect_list("c").over(w.rowsBetween(0, horizon - 1)))
         .withColumn("gap_pct", (F.col("o") - F.col("prev")) / F.col("prev") * 100)
     )
-    hit = F.when(
-        F.col("gap_pct") > 0, F.array_position(F.transform("ahead", lambda x: x <= F.col("prev")), True)
-    ).otherwise(F.array_position(F.transform("ahead", lambda x: x >= F.col("prev")), True))
-    return rows.withColumn("filled_at", F.when(F.abs("gap_pct") >= min_gap, F.nullif(hit, F.lit(0)))).drop("ahead")
+    return rows.withColumn("filled_at", F.when(F.abs("gap_pct") >= min_gap, F.nullif(_first_cross(), F.lit(0)))).drop("ahead")
 
 
-def gap_fill(bars: DataFrame, min_gap: float = 0.5) -> DataFrame:
-    """Fill rates after 5, 10 and 20 bars, the current gap and the timing points it implies."""
-    w = by_date()
-    rec = gap_records(bars, min_gap).withColumn("is_gap", F.coalesce(F.abs("gap_pct") >= min_gap, F.lit(False)))
+def _gap_aggs(min_gap: float) -> list[Column]:
     n = F.count_if("is_gap")
     rate = lambda k: rnd(F.count_if(F.col("is_gap") & (F.col("filled_at") <= k)) / F.nullif(n, F.lit(0)) * 100, 1)
-    agg = rec.groupBy(KEY).agg(
-        F.count("*").alias("bars"),
-        n.alias("gaps"),
-        rate(5).alias("fill_pct_5d"),
-        rate(10).alias("fill_pct_10d"),
-        rate(20).alias("fill_pct_20d"),
+    return [
+        F.count("*").alias("bars"), n.alias("gaps"), rate(5).alias("fill_pct_5d"), rate(10).alias("fill_pct_10d"), rate(20).alias("fill_pct_20d"),
         rnd(F.avg(F.when(F.col("is_gap"), F.col("filled_at"))), 1).alias("avg_fill_days"),
         rnd(F.max_by("gap_pct", "date"), 2).alias("current_gap_pct"),
         F.median(F.when(F.col("is_gap"), F.abs("gap_pct"))).alias("median_gap"),
-    )
+    ]
+
+
+def _gap_columns(min_gap: float) -> list[Column]:
     cur, ok = F.abs("current_gap_pct"), (F.col("bars") >= 10) & (F.col("gaps") > 0)
     timing = F.when(
         cur > min_gap,
@@ -186,31 +186,33 @@ def gap_fill(bars: DataFrame, min_gap: float = 0.5) -> DataFrame:
         .when(F.col("fill_pct_10d") > 60, -3.0).otherwise(3.0),
     ).otherwise(0.0)
     z = lambda c: F.coalesce(F.when(ok, c), dbl(0))
-    return agg.select(
-        KEY,
+    return [
         *[z(F.col(c)).alias(c) for c in ("fill_pct_5d", "fill_pct_10d", "fill_pct_20d", "avg_fill_days", "current_gap_pct")],
         z(F.when(cur > 0, rnd(cur / F.col("median_gap"), 2))).alias("gap_vs_median"),
         z(timing).alias("timing_adjustment"),
         F.when(ok, F.col("gaps")).otherwise(F.lit(0)).alias("gaps"),
-    )
+    ]
 
 
-def volume_anomaly(bars: DataFrame) -> DataFrame:
-    """Current volume against the median of the previous 20, and the slope of the last five."""
-    w = Window.partitionBy(KEY).orderBy(F.desc("date"))
-    last = bars.withColumn("v", volume()).where("v > 0").withColumn("rn", F.row_number().over(w)).where("rn <= 21")
-    x = F.lit(5) - F.col("rn")
-    agg = last.groupBy(KEY).agg(
-        F.count("*").alias("n"),
-        F.max(F.when(F.col("rn") == 1, F.col("v"))).alias("current_volume"),
-        F.median(F.when(F.col("rn") > 1, F.col("v"))).alias("median_volume"),
-        F.regr_slope(F.when(F.col("rn") <= 5, F.col("v")), F.when(F.col("rn") <= 5, x)).alias("slope"),
-        F.avg(F.when(F.col("rn") <= 5, F.col("v"))).alias("mean5"),
-    ).where("n >= 6")
+def gap_fill(bars: DataFrame, min_gap: float = 0.5) -> DataFrame:
+    """Fill rates after 5, 10 and 20 bars, the current gap and the timing points it implies."""
+    rec = gap_records(bars, min_gap).withColumn("is_gap", F.coalesce(F.abs("gap_pct") >= min_gap, F.lit(False)))
+    return rec.groupBy(KEY).agg(*_gap_aggs(min_gap)).select(KEY, *_gap_columns(min_gap))
+
+
+def _volume_aggs() -> list[Column]:
+    r, five = F.col("rn"), F.col("rn") <= 5
+    return [
+        F.count_if(r <= 21).alias("n_vol"), F.max(F.when(r == 1, F.col("v"))).alias("current_volume"),
+        F.median(F.when(r.between(2, 21), F.col("v"))).alias("median_volume"),
+        F.regr_slope(F.when(five, F.col("v")), F.when(five, F.lit(5) - r)).alias("slope"), F.avg(F.when(five, F.col("v"))).alias("mean5"),
+    ]
+
+
+def _volume_columns(agg: DataFrame) -> tuple[DataFrame, list[Column]]:
     rel = F.col("current_volume") / F.col("median_volume")
     kind = F.when(rel > 3, "institutional").when(rel < 0.3, "low_conviction").otherwise("normal")
-    strength = rnd(F.col("slope") / F.col("mean5") * 100, 2)
-    base = agg.withColumn("rel", rel).withColumn("anomaly_type", kind).withColumn("trend_strength", strength)
+    base = agg.withColumns({"rel": rel, "anomaly_type": kind, "trend_strength": rnd(F.col("slope") / F.col("mean5") * 100, 2)})
     trend = F.when(F.col("trend_strength") > 5, "increasing").when(F.col("trend_strength") < -5, "decreasing").otherwise("stable")
     base = base.withColumn("volume_trend", trend)
     points = F.when(F.col("anomaly_type") == "institutional", F.least(dbl(5), dbl(2) + (F.col("rel") - 3.0) * 0.5)).when(
@@ -219,11 +221,47 @@ def volume_anomaly(bars: DataFrame) -> DataFrame:
     extra = F.when((F.col("volume_trend") == "increasing") & (F.col("anomaly_type") != "low_conviction"), 1.5).when(
         (F.col("volume_trend") == "decreasing") & (F.col("anomaly_type") != "institutional"), -1.0
     ).otherwise(0.0)
-    return base.select(
-        KEY, rnd("rel", 2).alias("relative_volume"), "anomaly_type", "volume_trend", "trend_strength",
+    return base, [
+        rnd("rel", 2).alias("relative_volume"), F.col("anomaly_type"), F.col("volume_trend"), F.col("trend_strength"),
         rnd(clamp(points + extra, -5, 5), 1).alias("score_adjustment"),
         rnd("median_volume", 0).alias("median_volume"), rnd("current_volume", 0).alias("current_volume"),
-    )
+    ]
+
+
+def volume_anomaly(bars: DataFrame) -> DataFrame:
+    """Current volume against the median of the previous 20, and the slope of the last five."""
+    w = Window.partitionBy(KEY).orderBy(F.desc("date"))
+    last = bars.withColumn("v", volume()).where("v > 0").withColumn("rn", F.row_number().over(w)).where("rn <= 21")
+    base, cols = _volume_columns(last.groupBy(KEY).agg(*_volume_aggs()).where("n_vol >= 6"))
+    return base.select(KEY, *cols)
+
+
+def latest_features(ranked: DataFrame, min_gap: float = 0.5) -> DataFrame:
+    """Momentum, traded value, gap timing and volume points of each instrument as of its last bar.
+
+    One pass: all windows share one sort per instrument and feed one aggregate
+    on the same key, so the panel is shuffled once. Zero prices and volumes
+    must have been filled or dropped before.
+    """
+    w = by_date()
+    m = momentum(ranked)
+    m = m.withColumn("prev", F.lag("p").over(w)).withColumn("ahead", F.collect_list("p").over(w.rowsBetween(0, 19)))
+    m = m.withColumn("gap_pct", (first_nonzero("open", "p") - F.col("prev")) / F.col("prev") * 100)
+    m = m.withColumn("is_gap", F.coalesce(F.abs("gap_pct") >= min_gap, F.lit(False)))
+    # null unless the bar opened with a gap, so the search only runs for gaps
+    m = m.withColumn("filled_at", F.when(F.col("is_gap"), F.nullif(_first_cross(), F.lit(0)))).drop("ahead")
+    use = F.col("rn") <= F.when(F.col("n_bars") >= 20, 20).otherwise(5)
+    last = lambda c: F.max(F.when(F.col("rn") == 1, F.col(c))).alias(c)
+    agg = m.groupBy(KEY).agg(
+        *[last(c) for c in ("date", "close", "n_bars", "momentum", "vol5", "vol_prev5")],
+        F.avg(F.when(use & (F.col("p") > 0) & (F.col("v") > 0), F.col("p") * F.col("v"))).alias("adv"),
+        *_gap_aggs(min_gap), *_volume_aggs())
+    base, vol = _volume_columns(agg)
+    gap = _gap_columns(min_gap)
+    timing = gap[6]
+    return base.select(
+        KEY, "date", "close", "n_bars", "momentum", "vol5", "vol_prev5", "adv", timing,
+        F.when(F.col("n_vol") >= 6, vol[4]).alias("volume_adjustment"))
 
 
 def volume_profile(bars: DataFrame, area: float = 0.67) -> DataFrame:

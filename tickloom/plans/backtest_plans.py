@@ -60,13 +60,14 @@ def code():
 def candidates(t):
     w = Window.partitionBy("instrument").orderBy("date")
     base = ind.momentum(ind.with_atr(t.panel)).withColumn("score", F.col("adj_close") / F.lag("adj_close", 19).over(w) - 1.0)
-    cols = ["ord", "date", "adj_close", "score", "atr", "momentum"]
-    last = base.groupBy("instrument", F.trunc("date", "month").alias("month")).agg(F.max_by(F.struct(*cols), "date").alias("b")).where("b.ord >= 20")
+    month, after = F.trunc("date", "month"), F.lead("date").over(w)
+    # the last bar of a month is the one followed by another month: a filter, not an aggregate
+    last = base.withColumn("_last", after.isNull() | (F.trunc(after, "month") != month)).where(F.col("_last") & (F.col("ord") >= 20))
     ends = t.days.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("date"))
     flags = cal.post_holiday(t.trading_calendar)
     mult = F.when(F.month("date") % 3 == 0, 1.0).when(F.month("date") % 3 == 1, 0.6).otherwise(0.3)
     return (
-        last.select("instrument", "month", F.col("b.ord").alias("entry_ord"), F.col("b.adj_close").alias("entry_price"), "b.score", "b.atr", "b.momentum")
+        last.select("instrument", month.alias("month"), F.col("ord").alias("entry_ord"), F.col("adj_close").alias("entry_price"), "score", "atr", "momentum")
         .join(ends, "month").join(t.sectors, "instrument").join(flags, "date").withColumn("regime_mult", mult)
     )
 
@@ -188,7 +189,7 @@ def _(t):
 VIEWS["v_dd"] = """
 SELECT island, max(v) FILTER (WHERE np) AS pv, max(idx) FILTER (WHERE np) AS peak_idx, min(v) FILTER (WHERE NOT np) AS tv, first(idx ORDER BY v, idx) FILTER (WHERE NOT np) AS trough_idx, count(*) FILTER (WHERE NOT np) AS underwater
 FROM (SELECT *, sum(CASE WHEN np THEN 1 ELSE 0 END) OVER (ORDER BY idx) AS island FROM (
-  SELECT idx, cumulative AS v, coalesce(cumulative >= max(cumulative) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS np FROM v_curve)) GROUP BY island"""
+  SELECT idx, v, coalesce(v >= max(v) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS np FROM (SELECT idx, round(cumulative, 2) AS v FROM v_curve))) GROUP BY island"""
 VIEWS["v_ep"] = """
 SELECT d.peak_idx, d.trough_idx, n.peak_idx AS recovery_idx, round(d.pv - d.tv, 2) AS drawdown_pct, d.trough_idx - d.peak_idx AS duration, n.peak_idx - d.trough_idx AS recovery_time, d.underwater
 FROM v_dd d LEFT JOIN v_dd n ON n.island = d.island + 1 WHERE d.underwater > 0"""

@@ -29,7 +29,7 @@ def signals(t):
     return b.select("instrument", "month", *[c.alias(d) for d, c in cols.items()])
 
 
-_Z = "coalesce(round(greatest(-3.0e0, least(3.0e0, ({d} - 50.0e0) / 16.7e0)), 4), 0.0e0)"
+_Z = "CASE WHEN {d} IS NULL THEN 0.0e0 ELSE round(greatest(-3.0e0, least(3.0e0, ({d} - 50.0e0) / 16.7e0)), 4) END"
 VIEWS["v_z"] = "SELECT *, " + ", ".join(f"{_Z.format(d=d)} AS z_{d}" for d in fx.DIMENSIONS) + " FROM v_sigs"
 
 
@@ -58,7 +58,7 @@ def scored(t):
 _STATS = " UNION ALL ".join(f"SELECT '{d}' AS dimension, avg({d}) AS mean, CASE WHEN stddev_pop({d}) > 0 THEN stddev_pop({d}) ELSE 1.0e0 END AS std, count({d}) AS n FROM v_sigs" for d in fx.DIMENSIONS)
 
 
-@query("M1_normalize", "SELECT s.instrument, s.month, s.dimension, coalesce(round(greatest(-3.0e0, least(3.0e0, (s.score - t.mean) / t.std)), 4), 0.0e0) AS z FROM (" + " UNION ALL ".join(
+@query("M1_normalize", "SELECT s.instrument, s.month, s.dimension, CASE WHEN s.score IS NULL THEN 0.0e0 ELSE round(greatest(-3.0e0, least(3.0e0, (s.score - t.mean) / t.std)), 4) END AS z FROM (" + " UNION ALL ".join(
     f"SELECT instrument, month, '{d}' AS dimension, {d} AS score FROM v_sigs" for d in fx.DIMENSIONS) + f") s JOIN ({_STATS}) t ON t.dimension = s.dimension")
 def _(t):
     long = fo.to_long(signals(t), ["instrument", "month"])

@@ -51,7 +51,9 @@ class Tables:
     @cached_property
     def bars(self) -> DataFrame:
         """One bar per (instrument, date); open and close come from ordered partial aggregates."""
-        order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "price")
+        # order, line and part in one decimal: a fixed-width key keeps this a hash aggregate (a struct key would sort)
+        ten = F.lit(10).cast("decimal(2,0)")
+        order = ((F.col("l_orderkey").cast("decimal(18,0)") * ten + F.col("l_linenumber")) * F.lit(10**13).cast("decimal(14,0)") + F.col("l_partkey")).cast("decimal(38,0)")
         return self.ticks.groupBy("instrument", "date").agg(
             F.min_by("price", order).alias("open"),
             F.max("price").alias("high"),
@@ -238,11 +240,9 @@ class Tables:
         """One row per instrument with everything the screen needs."""
         from tickloom.operators import indicators as ind
 
-        latest = ind.momentum(self.panel).where("rn = 1").select(
-            "instrument", "date", "close", "n_bars", "momentum", "vol5", "vol_prev5")
         hit = lambda df, name: df.withColumn(name, F.lit(True))
         rows = (
-            latest.join(ind.average_daily_value(self.panel.where("rn <= 20")).select("instrument", "adv"), "instrument", "left")
+            ind.latest_features(self.ranked)
             .join(hit(self.company.where("instrument % 31 <> 4"), "has_company"), "instrument", "left")
             .join(self.pledges.groupBy("instrument").agg(F.max("pledged").alias("max_pledged")), "instrument", "left")
             .join(self.penalties.groupBy("instrument").agg(F.max("penalty_date").alias("last_penalty")), "instrument", "left")
@@ -250,8 +250,6 @@ class Tables:
             .join(hit(self.valuation_latest, "has_val"), "instrument", "left")
             .join(hit(self.flow, "has_flow"), "instrument", "left")
             .join(hit(self.margin, "has_margin"), "instrument", "left")
-            .join(ind.gap_fill(self.panel).select("instrument", "timing_adjustment"), "instrument", "left")
-            .join(ind.volume_anomaly(self.panel).select("instrument", F.col("score_adjustment").alias("volume_adjustment")), "instrument", "left")
             .join(self.action_days.groupBy("instrument").agg(F.max("ex_date").alias("last_ex")), "instrument", "left")
         )
         code = F.lpad((F.col("instrument") * 83 % 10000).cast("string"), 4, "0")
