@@ -44,6 +44,14 @@ def instrument_code(message: Column, kind: Column) -> Column:
     return F.when(kind.isin(*MARKET_LEVEL), "").otherwise(F.regexp_extract(message, r"\b(\d{4})\b", 1))
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds of a time without zone, independent of the session time zone."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    part = F.hour(t) * 3600 + F.minute(t) * 60
+    second = (F.extract(F.lit("SECOND"), t) * 1000000).cast("bigint")
+    return (F.unix_date(t.cast("date")).cast("bigint") * DAY + part) * 1000000 + second
+
+
 def walk(ts: np.ndarray, last: int | None, gap: int) -> list[int]:
     """Positions accepted from sorted times when each must be ``gap`` after the one before."""
     out: list[int] = []
@@ -73,7 +81,7 @@ def spaced(events: DataFrame, keys: Sequence[str], ts: str, event_id: str, secon
         raise ValueError("a chunk must be at least as long as the cooldown")
     gap, size = seconds * 1_000_000, chunk_seconds * 1_000_000
     k = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys])
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = micros(ts)
     d = events.select(k.alias("k"), us.alias("us"), F.col(event_id).alias("id")).groupBy("k", F.floor(F.col("us") / size).alias("chunk"), "us").agg(F.min("id").alias("id"))
 
     def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:

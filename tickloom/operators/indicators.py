@@ -35,8 +35,9 @@ def frame_avg(c: Column | str, first: int, last: int, key: str = KEY) -> Column:
 
 def sma(c: Column | str, period: int, key: str = KEY) -> Column:
     """Mean of the last ``period`` rows, null while there are fewer."""
-    w = by_date(key).rowsBetween(-(period - 1), 0)
-    return F.when(F.count(F.lit(1)).over(w) >= period, F.avg(c).over(w))
+    w = by_date(key)
+    # the row number grows in constant time; a count over the sliding frame would walk it for every row
+    return F.when(F.row_number().over(w) >= period, F.avg(c).over(w.rowsBetween(-(period - 1), 0)))
 
 
 def with_sma(bars: DataFrame, periods: Sequence[int], value: str = "adj_close") -> DataFrame:

@@ -49,8 +49,8 @@ def instrument_state(bars: DataFrame, ex_days: DataFrame, max_gap_days: int) ->
     prev, gap = F.lag("adj_close").over(w), F.datediff("date", F.lag("date").over(w))
     marked = bars.join(ex_days.select(KEY, F.col("ex_date").alias("date"), F.lit(True).alias("is_ex")), [KEY, "date"], "left")
     ret = F.when((prev > 0) & (gap <= max_gap_days) & F.col("is_ex").isNull(), (F.col("adj_close") - prev) / prev)
-    x = marked.withColumn("ret", ret).withColumn("n", F.count(F.lit(1)).over(all_so_far))
-    flag = lambda p: F.when(F.col("n") >= p, (F.col("adj_close") > sma("adj_close", p)).cast("long")).otherwise(F.lit(0))
+    x = marked.withColumn("ret", ret).withColumn("n", F.row_number().over(w).cast("long"))
+    flag = lambda p: F.coalesce((F.col("adj_close") > sma("adj_close", p)).cast("long"), F.lit(0))
     x = x.withColumns({
         "vol20": F.avg("adj_volume").over(w.rowsBetween(-19, 0)),
         "above50": flag(50), "above150": flag(150), "above300": flag(300),
