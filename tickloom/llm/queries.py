@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality
+from tickloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality, suffix_dedup, token_files, url_reputation, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,11 +43,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_rans_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, folder = token_files.as_files(spark)
+    files = token_files.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer("byte_bpe_50k.json"))
+    out = scratch.store(token_files.read_ids(files, folder), "answer")
+    scratch.drop("files")
+    return out
+
+
+@query("op5_host_reputation", url_reputation.JUDGE_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(1)).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.lit(0))
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
+
+
 @query("op7_quality_network")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op8_multi_index")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_poisson_mixing", mixing.MIX_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -64,3 +86,8 @@ FROM t JOIN g ON t.body = g.body
 @query("op10_patricia_exact", EXACT_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_deep_shallow_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
