@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from tickloom.sources.store import shared_dir
 from tickloom.sources.workers import ship
 
+#: stands for a null id in joins
+NO_ID = -(1 << 63)
+
 _OPEN: list["Scratch"] = []
 
 
@@ -70,6 +73,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """(d, h, body, doc_id): a row's identity by id and content, without nulls, and its bytes."""
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("doc_id", body).alias("h"), body.alias("body"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
 def parts(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

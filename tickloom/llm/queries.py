@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality, suffix_dedup, token_files, url_reputation, vector_dedup
+from tickloom.llm import exact_dedup, minhash_dedup, mixing, packing, paragraph_dedup, quality, suffix_dedup, token_files, url_reputation, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_deep_shallow_repeats")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op1_paragraph_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))

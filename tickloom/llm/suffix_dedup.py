@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import Scratch, only, parts
+from tickloom.llm.common import Scratch, identified, only, parts
 from tickloom.llm.exact_dedup import shared_prefix
 from tickloom.llm.text import SLICE, binary, mix, powers
 
@@ -83,12 +83,6 @@ def runs_of(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(d, h, body, doc_id): a row's identity, without nulls, and its bytes."""
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.xxhash64("doc_id", body).alias("h"), body.alias("body"), F.col("doc_id").cast("long").alias("doc_id"))
-
-
 def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     fields = [T.StructField(n, T.LongType()) for n in ("name", "d", "h")] + [T.StructField(n, T.IntegerType()) for n in ("first", "last", "weight")]
     schema = T.StructType(fields)
@@ -339,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     ``spans`` lists start and end of each removed run. ``kept_text`` is bytes, as a cut may split a character.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix")
-    keyed = _keyed(only(docs, "doc_id", "text"))
+    keyed = identified(only(docs, "doc_id", "text"))
     runs = _runs(keyed, length, gram)
     names = runs.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1")
     shared = runs.join(names, "name")
@@ -359,5 +353,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     ranges = ranges.groupBy("d", "h").agg(F.collect_list(F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))).alias("ranges"))
     ranges = scratch.store(ranges, "ranges")
     scratch.drop("found", "matched")
-    bodies = _keyed(only(docs, "doc_id", "text")).join(ranges, ["d", "h"], "left")
+    bodies = identified(only(docs, "doc_id", "text")).join(ranges, ["d", "h"], "left")
     return _cut(bodies.select("doc_id", "body", "ranges"), length, with_text)
