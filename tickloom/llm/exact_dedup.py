@@ -71,7 +71,7 @@ class Trie:
         if text and text[0] in self.spilled:
             self._write(text[0], text, owner, count)
             return
-        node, at = self.root, 0
+        node, at, grown = self.root, 0, 0
         while True:
             if at == len(text):
                 if node.end is None:
@@ -79,11 +79,13 @@ class Trie:
                 else:
                     node.end[0] = better(node.end[0], owner, self.largest)
                     node.end[1] += count
+                if grown:
+                    self._grow(text[0], grown)  # last, as it may move the branch away
                 return
             kid = node.kids.get(text[at])
             if kid is None:
                 node.kids[text[at]] = Node(text[at:], [owner, count])
-                self._grow(text[0], len(text) - at + 200)
+                self._grow(text[0], grown + len(text) - at + 200)
                 return
             if text.startswith(kid.label, at):
                 node, at = kid, at + len(kid.label)
@@ -93,8 +95,7 @@ class Trie:
             kid.label = kid.label[n:]
             middle.kids[kid.label[0]] = kid
             node.kids[text[at]] = middle
-            node, at = middle, at + n
-            self._grow(text[0], 200)
+            node, at, grown = middle, at + n, 200
 
     def _grow(self, branch: int, size: int) -> None:
         self.size += size
