@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Scratch, parts
+from tickloom.llm.common import Scratch, only, parts
 
 STEP, LONGEST = 32, 100
 
@@ -40,12 +40,12 @@ def poisson_steps(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, power: float, repeat: float) -> DataFrame:
-    """(source, rate, pieces, steps): the mean copies per document of each source.
+    """(__source, __rate, __pieces, __steps): the mean copies per document of each source.
 
     ``weights`` are target shares by source; without them, a source's present share
     to ``power``. ``repeat`` scales the whole: 1 gives about as many bytes as came in.
     """
-    have = docs.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("double")).alias("bytes"))
+    have = only(docs, "source", "text").groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("double")).alias("bytes"))
     if weights is None:
         have = have.withColumn("want", F.pow("bytes", F.lit(power)))
     else:
@@ -55,7 +55,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, power: float, repea
     rate = F.when((F.col("bytes") > 0) & (F.col("all_want") > 0), F.lit(repeat) * F.col("want") / F.col("all_want") * F.col("all_bytes") / F.col("bytes")).otherwise(0.0)
     out = have.crossJoin(F.broadcast(total)).withColumn("rate", F.round(rate, 9))
     out = out.withColumn("pieces", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int"))
-    return out.select(F.col("source").alias("__source"), "rate", "pieces", poisson_steps(F.col("rate") / F.col("pieces")).alias("steps"))
+    return out.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("pieces").alias("__pieces"), poisson_steps(F.col("rate") / F.col("pieces")).alias("__steps"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, repeat: float = 1.0, seed: int = 17) -> DataFrame:
@@ -63,17 +63,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     scratch = Scratch(docs.sparkSession, "mixing")
     table = scratch.store(rates(docs, weights, power, repeat), "rates", 1)
     rows = docs.join(table, docs["source"].eqNullSafe(F.col("__source")))
-    drawn = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.size(F.filter("steps", lambda c: c <= uniform(seed, F.col("doc_id"), i))))
+    drawn = F.transform(F.sequence(F.lit(0), F.col("__pieces") - 1), lambda i: F.size(F.filter("__steps", lambda c: c <= uniform(seed, docs["doc_id"], i))))
     copies = rows.withColumn("__copies", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).where("__copies > 0")
-    exploded = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    keyed = exploded.withColumn("order_key", uniform(seed, F.lit("order"), F.col("doc_id"), F.col("copy")))
-    n = parts(docs.sparkSession)
-    return keyed.repartition(n, "order_key").sortWithinPartitions("order_key").select(*[docs[c] for c in docs.columns], "copy", "rate", "order_key")
+    exploded = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    keyed = exploded.withColumn("__order", uniform(seed, F.lit("order"), docs["doc_id"], F.col("__copy")))
+    dealt = keyed.repartition(parts(docs.sparkSession), "__order").sortWithinPartitions("__order")
+    return dealt.select(*[docs[c] for c in docs.columns], F.col("__copy").alias("copy"), F.col("__rate").alias("rate"), F.col("__order").alias("order_key"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with the columns of ``docs`` alone."""
-    return mix(docs, **options).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, **options).drop("copy", "rate", "order_key")
 
 
 #: the same for ``documents`` in SQL, at the default parameters

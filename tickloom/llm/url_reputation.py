@@ -86,7 +86,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, suffixe
     rest = F.expr("left(host, greatest(length(host) - length(suffix) - 1, 0))")
     hosts = hosts.withColumn("domain", F.when(rest == "", F.col("host")).otherwise(F.concat_ws(".", F.substring_index(rest, ".", -1), "suffix")))
     hosts = scratch.store(hosts, "counts")
-    whole = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m0"))
+    whole = hosts.agg((F.coalesce(F.sum("k"), F.lit(0)) / F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1))).alias("m0"))
 
     def level(groups: DataFrame, parent: str, name: str) -> DataFrame:
         shrunk = groups.crossJoin(F.broadcast(_strength(groups, parent)))  # one row
@@ -127,7 +127,7 @@ WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
 known AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS k FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 h0 AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k FROM u LEFT JOIN known USING (page_id) GROUP BY host),
 h AS (SELECT *, list_extract(string_split(host, '.'), -1) AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM h0),
-s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM h) AS m0 FROM h GROUP BY suffix),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT sum(k) / greatest(sum(n), 1) FROM h) AS m0 FROM h GROUP BY suffix),
 s1 AS ({_level_sql("s0", "m0", "m1", "suffix")}),
 d0 AS (SELECT domain, any_value(s1.m1) AS m1, sum(h.n) AS n, sum(h.k) AS k FROM h JOIN s1 ON h.suffix = s1.suffix GROUP BY domain),
 d1 AS ({_level_sql("d0", "m1", "m2", "domain")}),
