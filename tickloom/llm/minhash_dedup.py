@@ -15,30 +15,18 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from math import comb
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.common import Scratch, only
-from tickloom.llm.near import link_all, members, verify_sets
+from tickloom.llm.near import batches_of, link_all, members
 from tickloom.llm.text import MinHash, set_id, shingle_hashes, slices, word_hashes
 
 BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-6
 
 
-def posterior(n: int, m: int, threshold: float) -> float:
-    """P(similarity >= threshold | m of n agree): the Beta(m+1, n-m+1) tail as a binomial sum."""
-    return sum(comb(n + 1, i) * threshold**i * (1 - threshold) ** (n + 1 - i) for i in range(m + 1))
-
-
-def fewest(n: int, threshold: float, miss: float) -> int:
-    """The fewest agreements among n with which a pair is still worth comparing."""
-    return next(m for m in range(n + 1) if posterior(n, m, threshold) >= miss)
-
-
 def signatures(docs: DataFrame, k: int, size: int) -> DataFrame:
     """(doc_id, n_shingles, set_id, sig) per row; set_id and sig are null without shingles."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("sig", T.BinaryType())])
@@ -76,27 +64,6 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return only(docs, "doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, schema).dropDuplicates(["id"])
 
 
-def prune(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float, size: int, batch_size: int) -> DataFrame:
-    """Pairs whose signatures leave the threshold possible after every batch of comparisons."""
-    steps = [(n, fewest(n, threshold, miss)) for n in range(batch_size, size + 1, batch_size)]
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, size) for i in (2, 3))
-            alive, agree, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
-            for n, least in steps:
-                agree[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
-                alive, done = alive[agree[alive] >= least], n
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(alive))
-
-    joined = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").select("a", "b", "x").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-
-
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, batch_size: int = BATCH, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
@@ -111,15 +78,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     reps = rows_.where("sig is not null").select(F.col("doc_id").alias("id"), "sig", "set_id").join(classes.select("id", "set_id"), ["id", "set_id"], "left_semi").select("id", "sig").dropDuplicates(["id"])
     inside = members(scratch, reps, bands, rows)
     candidates = inside.select("id").distinct()
-    sigs = scratch.store(rows_.where("sig is not null").select(F.col("doc_id").alias("id"), "sig").join(candidates, "id", "left_semi").dropDuplicates(["id"]), "sigs")
-
-    def verify(pairs: DataFrame, round_no: int) -> DataFrame:
-        left = scratch.store(prune(pairs, sigs, percent / 100, miss, size, batch_size), f"survivors{round_no}")
-        wanted = left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))).distinct()
-        sets = scratch.store(shingle_sets(docs, wanted, k), f"sets{round_no}")
-        return verify_sets(left, sets, percent)
-
-    nodes = link_all(scratch, inside, verify)
+    sigs = rows_.where("sig is not null").select(F.col("doc_id").alias("id"), "sig").join(candidates, "id", "left_semi").dropDuplicates(["id"])
+    units = scratch.store(sigs.join(shingle_sets(docs, candidates, k), "id"), "units")
+    nodes = link_all(scratch, inside, units, batches_of(size, batch_size, percent / 100, miss), percent)
     # only classes that hold several documents or a link need to be looked up
     placed = classes.join(nodes, classes.id == nodes.node, "left").select("set_id", F.coalesce("component", "id").alias("component"), "copies", F.col("component").isNotNull().alias("linked"))
     placed = scratch.store(placed.where("copies > 1 or linked").select("set_id", "component"), "placed")

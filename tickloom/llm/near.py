@@ -1,24 +1,45 @@
 """Links between similar sets that share a MinHash band, without listing pairs within a bucket.
 
-Every bucket is compared with pivots taken from it. The first pivot is the member
-that shares the most buckets, which is the centre of a group of copies. Verified
-links give components; a bucket whose members are all in one component is done.
-In any other bucket, members outside its largest component become pivots in turn
-and meet all members of other components, until none is left: every pair that
-could join two components has then been compared, so no component is missed.
-Work is (members x pivots), and pivots beyond the first are only needed where a
-bucket holds different components.
+Every bucket has a centre: the member that shares the most buckets, which is the
+middle of a group of copies. First each unit is compared with the centres of its
+buckets only, and the links found give components. A centre's group (all units of
+its buckets) whose units are in one component is done. In any other group, the
+units outside its largest component still have to meet the units of other
+components. They do so in blocks within tasks: signatures are compared batch by
+batch, what the posterior bound leaves is checked on the full sets, and pairs that
+earlier links already join are passed over. A block hands on the links that join
+its components, not its pairs. Every pair of a bucket that could join two
+components has then been compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from math import comb
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import Scratch, components
+from tickloom.llm.common import Scratch, components, parts
+
+#: units per side of a block
+BLOCK = 1024
+
+
+def posterior(n: int, m: int, threshold: float) -> float:
+    """P(similarity >= threshold | m of n agree): the Beta(m+1, n-m+1) tail as a binomial sum."""
+    return sum(comb(n + 1, i) * threshold**i * (1 - threshold) ** (n + 1 - i) for i in range(m + 1))
+
+
+def fewest(n: int, threshold: float, miss: float) -> int:
+    """The fewest agreements among n with which a pair is still worth comparing."""
+    return next(m for m in range(n + 1) if posterior(n, m, threshold) >= miss)
+
+
+def batches_of(size: int, step: int, threshold: float, miss: float) -> list[tuple[int, int]]:
+    """(comparisons so far, fewest agreements) after every batch of a signature."""
+    return [(n, fewest(n, threshold, miss)) for n in [*range(step, size, step), size]]
 
 
 def band_keys(signature: Column, bands: int, rows: int) -> Column:
@@ -33,65 +54,154 @@ def members(scratch: Scratch, units: DataFrame, bands: int, rows: int) -> DataFr
     return scratch.store(keyed.join(sizes, "key"), "members")
 
 
-def link_all(scratch: Scratch, inside: DataFrame, verify: Callable[[DataFrame, int], DataFrame], first_pivots: int = 4) -> DataFrame:
-    """(node, component) over all links that ``verify`` confirms among pairs (a, b) of bucket members.
+def prune(pairs: DataFrame, sigs: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Pairs (a, b) whose signatures leave the threshold possible after every batch of comparisons."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        size = steps[-1][0]
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, size) for i in (2, 3))
+            alive, agree, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+            for n, least in steps:
+                agree[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
+                alive, done = alive[agree[alive] >= least], n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(alive))
+
+    return _with_both(pairs, sigs, "sig").mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
-    ``verify`` gets distinct pairs and the round's number and returns the linked ones.
-    """
-    weight = inside.groupBy("id").agg(F.sum("n").alias("w"))
-    centre = inside.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("top")).select("key", F.col("top.id").alias("b"))
-    pairs = inside.join(centre, "key").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    links = scratch.store(verify(pairs, 0), "links0")
-    nodes = scratch.store(components(scratch, links, "cc0_"), "nodes0")
-    used, round_no, take = centre.select("key", F.col("b").alias("id")), 0, first_pivots
-    while True:
-        round_no += 1
-        placed = inside.join(nodes, inside.id == nodes.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        spread = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        open_ = scratch.store(placed.join(spread, "key"), f"open{round_no}")
-        largest = open_.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top")).select("key", F.col("top.c").alias("big"))
-        rest = open_.join(largest, "key").where("c <> big").select("key", "id", "c").join(used, ["key", "id"], "left_anti")
-        picked = _first(rest, take)
-        picked = scratch.store(picked, f"pivots{round_no}")
-        if picked.isEmpty():
-            break
-        pairs = open_.join(picked.select("key", F.col("id").alias("b"), F.col("c").alias("d")), "key").where("c <> d").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        found = scratch.store(verify(pairs, round_no), f"links{round_no}")
-        links = links.unionAll(found)
-        if not found.isEmpty():
-            nodes = scratch.store(components(scratch, links, f"cc{round_no}_"), f"nodes{round_no}")
-        used = used.unionAll(picked.select("key", "id"))
-        take *= 8
-    return nodes
-
-
-def _first(rest: DataFrame, take: int) -> DataFrame:
-    """The ``take`` smallest ids of each key. Spark keeps only that many per key before the shuffle."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("key").orderBy("id")
-    return rest.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= take).select("key", "id", "c")
+
+def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    left = pairs.join(table.select(F.col("id").alias("a"), F.col(value).alias("x")), "a").select("a", "b", "x")
+    return left.join(table.select(F.col("id").alias("b"), F.col(value).alias("y")), "b").select("a", "b", "x", "y")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def verify_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets (id, hashes) have 100 * intersection >= percent * union; exact."""
+    """Pairs (a, b) whose sets (id, hashes) are similar; exact."""
 
-    def check(batches):
-        import numpy as np
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep, left, right = [], batch.column(2), batch.column(3)
-            last, other = None, None
-            for i in range(batch.num_rows):
-                x = np.frombuffer(left[i].as_buffer(), np.uint64)
-                raw = right[i].as_buffer()
-                if last is None or not raw.equals(last):
-                    last, other = raw, np.frombuffer(raw, np.uint64)
-                both = len(np.intersect1d(x, other, assume_unique=True)) if 100 * min(len(x), len(other)) >= percent * max(len(x), len(other)) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(other) - both))
+            left, right = batch.column(2), batch.column(3)
+            keep = [similar(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(check, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return _with_both(pairs, sets, "hashes").mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
+
+
+def meet(outer: list[tuple], inner: list[tuple], steps: list[tuple[int, int]], percent: int) -> list[tuple]:
+    """Links that join components between two lists of (id, component, outside, signature, set).
+
+    ``outer`` units are outside the largest component; two such units meet once, at the lesser's side.
+    """
+    if not outer or not inner:
+        return []
+    size = steps[-1][0]
+    x, y = (np.frombuffer(b"".join(u[3] for u in side), "<u4").reshape(-1, size) for side in (outer, inner))
+    place = {c: i for i, c in enumerate(dict.fromkeys([*(u[1] for u in outer), *(u[1] for u in inner)]))}
+    cx, cy = (np.array([place[u[1]] for u in side]) for side in (outer, inner))
+    agree = np.zeros((len(x), len(y)), np.int32)
+    for k in range(steps[0][0]):
+        agree += x[:, k, None] == y[None, :, k]
+    i, j = np.nonzero((agree >= steps[0][1]) & (cx[:, None] != cy[None, :]))
+    count = agree[i, j]
+    for (done, _), (n, least) in zip(steps, steps[1:], strict=False):
+        for s in range(0, len(i), 1 << 18):
+            part = slice(s, s + (1 << 18))
+            count[part] += (x[i[part], done:n] == y[j[part], done:n]).sum(axis=1, dtype=np.int32)
+        keep = count >= least
+        i, j, count = i[keep], j[keep], count[keep]
+    parent, links = list(range(len(place))), []
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    sets = {}
+    for at in np.argsort(-count, kind="stable").tolist():  # the likeliest first: a link spares the rest of its components
+        a, b = int(i[at]), int(j[at])
+        p, q = root(int(cx[a])), root(int(cy[b]))
+        if p == q or (inner[b][2] and inner[b][0] < outer[a][0]):
+            continue
+        for key, unit in (((0, a), outer[a]), ((1, b), inner[b])):
+            if key not in sets:
+                sets[key] = np.frombuffer(unit[4], np.uint64)
+        if similar(sets[0, a], sets[1, b], percent):
+            parent[p] = q
+            links.append((outer[a][0], inner[b][0]))
+    return links
+
+
+def _across(scratch: Scratch, groups: DataFrame, units: DataFrame, steps: list[tuple[int, int]], percent: int) -> DataFrame:
+    """Links between components within groups (b, id, c), compared block by block."""
+    by_part = groups.groupBy("b", "c").agg(F.count("*").alias("m"))
+    open_ = by_part.groupBy("b").agg(F.sum("m").alias("n"), F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("top")).where("parts > 1")
+    open_ = open_.select("b", F.col("top.c").alias("big"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rs"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).cast("int").alias("ls"))
+    placed = scratch.store(groups.join(open_, "b").withColumn("outside", F.col("c") != F.col("big")), "open")
+    full = placed.join(units, "id")
+    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = full.where("outside").withColumn("l", salt("ls")).withColumn("r", every("rs")).withColumn("side", F.lit(0))
+    inner = full.withColumn("r", salt("rs")).withColumn("l", every("ls")).withColumn("side", F.lit(1))
+    columns = ["b", "l", "r", "side", "id", "c", "outside", "sig", "hashes"]
+    dealt = outer.select(*columns).unionAll(inner.select(*columns)).repartition(parts(groups.sparkSession), "b", "l", "r").sortWithinPartitions("b", "l", "r", "side")
+    kind = groups.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, sides = None, ([], [])
+
+        def links():
+            found = meet(*sides, steps, percent)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in ((0, shape), (1, shape))], names=["a", "b"])
+
+        for batch in batches:
+            shape = batch.schema.field("id").type
+            for first in range(0, batch.num_rows, 256):
+                for b, l, r, side, *unit in zip(*(c.to_pylist() for c in batch.slice(first, 256).columns), strict=True):
+                    if (b, l, r) != key:
+                        if key is not None:
+                            yield links()
+                        key, sides = (b, l, r), ([], [])
+                    sides[side].append(tuple(unit))
+        if key is not None:
+            yield links()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def link_all(scratch: Scratch, inside: DataFrame, units: DataFrame, steps: list[tuple[int, int]], percent: int) -> DataFrame:
+    """(node, component) over all links among bucket members; ``units`` is (id, sig, hashes)."""
+    weight = inside.groupBy("id").agg(F.sum("n").alias("w"))
+    centre = inside.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("top")).select("key", F.col("top.id").alias("b"))
+    groups = scratch.store(inside.join(centre, "key").select("b", "id").distinct(), "groups")
+    pairs = groups.where("id <> b").select(F.col("id").alias("a"), "b")
+    left = scratch.store(prune(pairs, units, steps), "survivors")
+    links = scratch.store(verify_sets(left, units, percent), "links")
+    nodes = scratch.store(components(scratch, links, "cc_"), "first")
+    placed = groups.join(nodes, groups.id == nodes.node, "left").select("b", "id", F.coalesce("component", "id").alias("c"))
+    more = scratch.store(_across(scratch, placed, units, steps, percent), "more")
+    # a component stands for its members: only links between components are left to follow
+    named = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(f"m.{side}"))
+    joined = more.alias("m").join(nodes.alias("a"), F.col("m.a") == F.col("a.node"), "left").join(nodes.alias("b"), F.col("m.b") == F.col("b.node"), "left")
+    over = components(scratch, joined.select(named("a").alias("a"), named("b").alias("b")), "over_")
+    over = scratch.store(over.select(F.col("node").alias("was"), F.col("component").alias("now")), "over")
+    moved = nodes.join(over, nodes.component == over.was, "left").select("node", F.coalesce("now", "component").alias("component"))
+    alone = over.join(nodes.select("node"), over.was == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return moved.unionAll(alone)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.common import NO_ID, Scratch, identified, only
-from tickloom.llm.near import link_all, members, verify_sets
+from tickloom.llm.near import batches_of, link_all, members
 from tickloom.llm.suffix_dedup import sliding
 from tickloom.llm.text import MinHash, binary, mix, powers, shingle_hashes, word_hashes
 
@@ -187,8 +187,8 @@ def repeated_paragraphs(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     reps = lines.where("sig is not null").select(F.col("digest").alias("id"), "sig").dropDuplicates(["id"])
     inside = members(scratch, reps, bands, rows)
     wanted = units.join(inside.select("id").distinct(), "id").select("id", "at.*")
-    sets = scratch.store(_sets(keyed, wanted, shingle), "sets")
-    nodes = link_all(scratch, inside, lambda pairs, _: verify_sets(pairs, sets, percent))
+    full = scratch.store(_sets(keyed, wanted, shingle).join(reps, "id"), "full")
+    nodes = link_all(scratch, inside, full, batches_of(bands * rows, bands * rows, percent / 100, 1e-6), percent)
     placed = units.join(nodes, units.id == nodes.node, "left").select("id", "copies", "at", "component", F.coalesce("component", "id").alias("c"))
     placed = scratch.store(placed.where("copies > 1 or component is not null"), "placed")
     heads = placed.groupBy("c").agg(F.min("at").alias("head"))
