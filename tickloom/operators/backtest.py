@@ -260,7 +260,9 @@ def sector_rotation(scores: DataFrame, step: str, window: int = 5) -> DataFrame:
     w = Window.partitionBy("sector").orderBy(step).rangeBetween(-(window - 1), 0)
     x = day.withColumns({"rolling": F.avg("current").over(w), "_k": F.count("*").over(w), "_sd": F.stddev_pop("current").over(w), "stock_count": F.max("n").over(w)})
     sd, mom = F.when(F.col("_k") >= 2, F.col("_sd")).otherwise(5.0), F.col("current") - F.col("rolling")
-    signal = F.when((sd > 0) & (mom > sd), "overweight").when((sd > 0) & (mom < -sd), "underweight").otherwise("neutral")
+    # over two steps the distance to the mean equals the deviation: compared at nine digits, a tie is neutral
+    near, far = rnd(mom, 9), rnd(sd, 9)
+    signal = F.when((sd > 0) & (near > far), "overweight").when((sd > 0) & (near < -far), "underweight").otherwise("neutral")
     return x.select("sector", step, signal.alias("signal"), rnd("current", 2).alias("current_avg"), rnd("rolling", 2).alias("rolling_avg"),
                     rnd(mom, 2).alias("momentum"), rnd(sd, 2).alias("std_dev"), F.col("_k").alias("days_in_window"), "stock_count")
 
@@ -384,16 +386,19 @@ def walk_forward_summary(windows: DataFrame) -> DataFrame:
 
 
 def scenario_weights(n: int, dims: Sequence[str]) -> Column:
-    """Array of ``n`` weight vectors on a fixed grid; draws whose last weight is not positive are left out."""
+    """Array of ``n`` weight vectors on a fixed grid, each scaled to a sum of one."""
     items = []
     for i in range(n):
-        w = [round(0.05 + 0.35 * (((i + 1) * (7919 + 104 * j) + 31 * j) % 1000) / 1000.0, 2) for j in range(len(dims) - 1)]
-        rest = round(1.0 - sum(w), 2)
-        if rest > 0:
-            items.append(F.struct(F.lit(i).alias("scenario"), *[dbl(x).alias(f"w_{d}") for d, x in zip(dims, [*w, rest])]))
+        w = scenario_vector(i, len(dims))
+        items.append(F.struct(F.lit(i).alias("scenario"), *[dbl(x).alias(f"w_{d}") for d, x in zip(dims, w, strict=True)]))
     return F.array(*items)
 
 
+def scenario_vector(i: int, dims: int) -> list[float]:
+    draws = [0.05 + 0.35 * (((i + 1) * (7919 + 104 * j) + 31 * j) % 1000) / 1000.0 for j in range(dims)]
+    return [round(x / sum(draws), 4) for x in draws]
+
+
 def weight_search(signals: DataFrame, dims: Sequence[str], chunk: str, order: Sequence[str], n: int = 100, minimum: float = 55.0) -> DataFrame:
     """Metrics of the trades each weight vector would have taken, with the objective.
 
@@ -405,7 +410,9 @@ def weight_search(signals: DataFrame, dims: Sequence[str], chunk: str, order: Se
     taken = x.where(sum(terms[1:], terms[0]) >= minimum)
     weights = [f"w_{d}" for d in dims]
     m = performance(equity_curve(taken, ["scenario", *weights], chunk, order, "net_pnl_pct"), ["scenario", *weights])
-    return m.withColumn("objective", F.col("sharpe_ratio") + F.col("win_rate") / 100 - F.col("max_drawdown") / 100)
+    m = m.withColumn("objective", rnd(F.col("sharpe_ratio") + F.col("win_rate") / 100 - F.col("max_drawdown") / 100, 6))
+    best = Window.partitionBy(F.lit(0)).orderBy(F.desc("objective"), "scenario")  # one row per vector
+    return m.withColumn("best", F.row_number().over(best) == 1)
 
 
 def dimension_edge(signals: DataFrame, dims: Sequence[str], win: str = "win") -> DataFrame:

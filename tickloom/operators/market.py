@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +55,11 @@ def instrument_state(bars: DataFrame, ex_days: DataFrame, max_gap_days: int) ->
         "above50": flag(50), "above150": flag(150), "above300": flag(300),
         "has50": (F.col("n") >= 50).cast("long"),
         "r_n": F.count("ret").over(all_so_far),
-        "r_s": F.coalesce(F.sum("ret").over(all_so_far), dbl(0)),
-        "r_q": F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(all_so_far), dbl(0)),
+        "r_m": F.coalesce(F.avg("ret").over(all_so_far), dbl(0)),
+        "r_v": F.coalesce(F.var_pop("ret").over(all_so_far), dbl(0)),
         "until": F.lead("date").over(w),
     })
-    return x.where("n >= 20").select(KEY, "date", "until", "n", "vol20", "above50", "above150", "above300", "has50", "r_n", "r_s", "r_q")
+    return x.where("n >= 20").select(KEY, "date", "until", "n", "vol20", "above50", "above150", "above300", "has50", "r_n", "r_m", "r_v")
 
 
 def leaders(state: DataFrame, last_date: DataFrame, top: int = 20) -> DataFrame:
@@ -78,11 +77,13 @@ def leaders(state: DataFrame, last_date: DataFrame, top: int = 20) -> DataFrame:
 def market_state(bars: DataFrame, ex_days: DataFrame, max_gap_days: int = 3, top: int = 20) -> DataFrame:
     """Per date: breadth, pooled volatility of the leaders, SMA ratios, global risk."""
     lead = leaders(instrument_state(bars, ex_days, max_gap_days), bars.agg(F.max("date").alias("last")), top)
-    n, s, q = F.sum("r_n"), F.sum("r_s"), F.sum("r_q")
-    nz = F.nullif(n, F.lit(0))
+    # counts, means and variances of the leaders merge without cancelling: within plus between
+    n, by_date_ = F.sum("r_n"), Window.partitionBy("date")
+    pooled = F.sum(F.col("r_n") * F.col("r_m")).over(by_date_) / F.nullif(n.over(by_date_), F.lit(0))
+    lead = lead.withColumn("_gap", F.col("r_m") - pooled)
     agg = lead.groupBy("date").agg(
         F.count("*").alias("leaders"),
-        F.when(n > 0, F.sqrt(F.greatest(q / nz - (s / nz) * (s / nz), dbl(0)))).otherwise(0.0).alias("volatility"),
+        F.when(n > 0, F.sqrt(F.sum(F.col("r_n") * (F.col("r_v") + F.col("_gap") * F.col("_gap"))) / F.nullif(n, F.lit(0)))).otherwise(0.0).alias("volatility"),
         F.sum("has50").alias("with50"), F.sum(F.col("above50") * F.col("has50")).alias("a50"),
         F.sum("above150").alias("a150"), F.sum("above300").alias("a300"),
     )
@@ -136,21 +137,24 @@ def next_regime(raw: str, prev: str | None, days: int, min_days: int = params.MI
 def regime_path(raw: DataFrame, market: str = "market", min_days: int = params.MIN_REGIME_DAYS) -> DataFrame:
     """Regime and days-in-regime along each market's dates.
 
-    A market has one row per date, so the group is bounded by the calendar.
+    A market has one row per date, so the folded array is bounded by the calendar.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        prev, days, names, counts = None, 0, [], []
-        for r in pdf["raw_regime"]:
-            prev, days = next_regime(r, prev, days, min_days)
-            names.append(prev)
-            counts.append(days)
-        return pdf.assign(regime=names, days_in_regime=counts)
-
-    return raw.select(market, "date", "raw_regime").groupBy(market).applyInPandas(
-        fold, f"{market} string, date date, raw_regime string, regime string, days_in_regime int"
-    )
+    row = F.struct("date", "raw_regime")
+    ordered = raw.groupBy(market).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    result = "array<struct<date:date,raw_regime:string,regime:string,days_in_regime:int>>"
+    start = F.struct(F.lit(None).cast("string").alias("regime"), F.lit(0).alias("days"), F.array().cast(result).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        regime, days, new = acc["regime"], acc["days"], x["raw_regime"]
+        fresh = regime.isNull() | regime.isin(*params.LEGACY_REGIMES) | (new == "black_swan")
+        held = ~fresh & (days < min_days)
+        kept = held | (~fresh & (new == regime))
+        now = F.when(held, regime).otherwise(new)
+        count = F.when(kept, days + 1).otherwise(1)
+        return F.struct(now.alias("regime"), count.alias("days"), F.concat(acc["out"], F.array(F.struct(x["date"].alias("date"), new.alias("raw_regime"), now.alias("regime"), count.alias("days_in_regime")))).alias("out"))
+
+    folded = F.aggregate("rows", start, step, lambda acc: acc["out"])
+    return ordered.select(market, F.explode(folded).alias("r")).select(market, "r.*")
 
 
 def data_quality(n_max: Column) -> Column:

@@ -109,10 +109,9 @@ def completeness(report: DataFrame, required: Mapping[str, int], dataset: str =
 def classify_payload(payload: Column | str) -> Column:
     """Kind of a raw response: null, html, text, error, wrapped, record, list or empty_list."""
     p = F.trim(F.col(payload) if isinstance(payload, str) else payload)
-    head = F.lower(F.substring(p, 1, 100))
     return (
         F.when(p.isNull() | (p == "") | (p == "null"), "null")
-        .when(head.contains("<!doctype") | head.contains("<html"), "html")
+        .when(p.rlike(r"(?is)^(?:<!--.*?-->\s*)*<(?:!doctype|html)\b"), "html")
         .when(p.startswith("["), F.when(p.rlike(r"^\[\s*\]$"), "empty_list").otherwise("list"))
         .when(p.startswith("{"), F.when(F.coalesce(F.get_json_object(p, "$.error"), F.get_json_object(p, "$.Error")).isNotNull(), "error")
               .when(F.get_json_object(p, "$.data").startswith("["), "wrapped").otherwise("record"))

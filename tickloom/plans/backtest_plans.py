@@ -13,7 +13,6 @@ from tickloom.operators import indicators as ind
 from tickloom.plans.panel_plans import trades as order_trades
 from tickloom.plans.registry import query
 from tickloom.sources.sql_views import VIEWS
-from tickloom.sources.store import store
 
 CODE_SQL = "lpad(CAST(instrument * 83 % 10000 AS VARCHAR), 4, '0')"
 COST_SQL = f"CASE WHEN CAST({CODE_SQL} AS INT) >= 9900 OR CAST({CODE_SQL} AS INT) BETWEEN 6000 AND 7999 THEN 0.007e0 ELSE 0.006e0 END"
@@ -36,10 +35,12 @@ SELECT *, round(entry_price + (entry_price - stop_loss) * 2, 2) AS take_profit,
 VIEWS["v_tb"] = """
 SELECT instrument, date, adj_close AS price, cash_div, stock_div, cash_div IS NOT NULL AS is_ex, row_number() OVER (PARTITION BY instrument ORDER BY date) AS t
 FROM v_rank WHERE date IN (SELECT date FROM v_cal WHERE is_trading)"""
+VIEWS["v_tn"] = """
+SELECT instrument, ord, sum(CASE WHEN date IN (SELECT date FROM v_cal WHERE is_trading) THEN 1 ELSE 0 END) OVER (PARTITION BY instrument ORDER BY date) AS entry_t FROM v_rank"""
 VIEWS["v_hits"] = """
 SELECT s.month, s.instrument, b.t, b.date, CASE WHEN p <= stop_loss THEN 'stop_loss' WHEN p >= take_profit THEN 'take_profit' WHEN NOT is_ex AND b.t - s.entry_t >= 20 THEN 'max_holding_days' END AS reason,
   CASE WHEN p <= stop_loss THEN stop_loss WHEN p >= take_profit THEN take_profit ELSE b.price END AS exit_price
-FROM (SELECT v.*, (SELECT count(*) FROM v_tb x JOIN v_rank r ON r.instrument = v.instrument AND r.ord = v.entry_ord WHERE x.instrument = v.instrument AND x.date <= r.date) AS entry_t FROM v_sel v) s
+FROM (SELECT v.*, n.entry_t FROM v_sel v JOIN v_tn n ON n.instrument = v.instrument AND n.ord = v.entry_ord) s
 JOIN (SELECT *, CASE WHEN is_ex THEN (price + cash_div) * (1.0e0 + stock_div / 10.0e0) ELSE price END AS p FROM v_tb) b ON b.instrument = s.instrument AND b.t > s.entry_t"""
 VIEWS["v_exits"] = """
 SELECT s.*, coalesce(h.exit_price, f.adj_close) AS exit_price, coalesce(h.reason, 'max_holding_days') AS exit_reason, coalesce(h.date, f.date) AS exit_date
@@ -53,6 +54,10 @@ SELECT *, greatest(0.0e0, max(cumulative) OVER (ORDER BY date, rank ROWS BETWEEN
 FROM (SELECT *, sum(net) OVER (ORDER BY date, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative FROM v_bt)"""
 
 
+#: what the stored tables of this section are built from
+SOURCES = ("lineitem", "supplier", "nation", "region")
+
+
 def code():
     return F.lpad((F.col("instrument") * 83 % 10000).cast("string"), 4, "0")
 
@@ -87,10 +92,13 @@ def closed(t):
 
 
 def results(t):
-    net = bt.net_pnl(F.col("entry_price"), F.col("exit_price"), round_trip_cost(code()))
-    x = cal.count_trading_days(closed(t), t.trading_calendar, "date", "exit_date", "holding_days")
-    # the ledger is small (positions per date) and read by several scans: stored once
-    return store(x.withColumn("net", net).withColumn("pnl_pct", rnd("net", 2)).withColumn("strategy", F.lit("main")), "ledger")
+    """The ledger: small (positions per date), read by several scans and queries."""
+    def build():
+        net = bt.net_pnl(F.col("entry_price"), F.col("exit_price"), round_trip_cost(code()))
+        x = cal.count_trading_days(closed(t), t.trading_calendar, "date", "exit_date", "holding_days")
+        return x.withColumn("net", net).withColumn("pnl_pct", rnd("net", 2)).withColumn("strategy", F.lit("main"))
+
+    return t.shared("ledger", SOURCES, build)
 
 
 def curve(t):
@@ -229,7 +237,7 @@ def _(t):
 
 
 @query("K10_sector_rotation", """
-SELECT sector, i AS step, CASE WHEN sd > 0 AND cur - roll > sd THEN 'overweight' WHEN sd > 0 AND cur - roll < -sd THEN 'underweight' ELSE 'neutral' END AS signal,
+SELECT sector, i AS step, CASE WHEN sd > 0 AND round(cur - roll, 9) > round(sd, 9) THEN 'overweight' WHEN sd > 0 AND round(cur - roll, 9) < -round(sd, 9) THEN 'underweight' ELSE 'neutral' END AS signal,
   round(cur, 2) AS current_avg, round(roll, 2) AS rolling_avg, round(cur - roll, 2) AS momentum, round(sd, 2) AS std_dev, k AS days_in_window, sc AS stock_count
 FROM (SELECT *, CASE WHEN k >= 2 THEN sp ELSE 5.0e0 END AS sd FROM (
   SELECT sector, i, cur, avg(cur) OVER w AS roll, count(*) OVER w AS k, stddev_pop(cur) OVER w AS sp, max(n) OVER w AS sc
@@ -269,8 +277,8 @@ adj AS (SELECT month, unnest(ids) AS instrument, unnest(pct) AS adjusted_pct FRO
 def _hold(t):
     w = Window.partitionBy("instrument").orderBy("date")
     rets = t.panel.select("instrument", "ord", ((F.col("adj_close") - F.lag("adj_close").over(w)) / F.lag("adj_close").over(w)).alias("ret")).where("ret is not null")
-    h = store(allocations(t).select("month", "instrument", "allocation_pct", F.col("entry_ord").alias("as_of_ord")), "holdings")
-    return h, store(bt.holding_returns(h, rets), "holding_returns")
+    h = t.shared("holdings", SOURCES, lambda: allocations(t).select("month", "instrument", "allocation_pct", F.col("entry_ord").alias("as_of_ord")))
+    return h, t.shared("holding-returns", SOURCES, lambda: bt.holding_returns(h, rets))
 
 
 @query("K12_holding_correlation", "SELECT month, a, b, correlation, correlation > 0.4e0 AS flagged FROM v_hcorr")
@@ -320,6 +328,10 @@ LEFT JOIN v_rank f ON f.instrument = c.instrument AND f.ord = least(c.entry_ord
 
 
 def simulated(t):
+    return t.shared("simulated", SOURCES, lambda: _simulated(t))
+
+
+def _simulated(t):
     stop = ind.atr_stop(F.col("entry_price"), F.col("atr"), 1.0)
     c = candidates(t).withColumn("stop_loss", stop).withColumn("take_profit", rnd(F.col("entry_price") + (F.col("entry_price") - F.col("stop_loss")) * 2, 2))
     c = c.withColumn("stop_type", F.when(F.col("atr") > 0, "atr").otherwise("fallback_pct")).select(
@@ -327,7 +339,7 @@ def simulated(t):
     bars = t.panel.select("instrument", "date", "ord", "n_bars", F.col("adj_close").alias("price"), F.lit(None).cast("double").alias("cash_div"), F.lit(None).cast("double").alias("stock_div"))
     x = bt.simulate_exits(c, bt.price_path(bars), end_reason="end_of_data")
     net = bt.net_pnl(F.col("entry_price"), F.col("exit_price"), round_trip_cost(code()))
-    return store(x.withColumn("net_pnl_pct", rnd(net, 2)).withColumn("win", net > 0), "simulated")
+    return x.withColumn("net_pnl_pct", rnd(net, 2)).withColumn("win", net > 0)
 
 
 @query("K14_weight_test_simulation", "SELECT month, instrument, round(exit_price, 4) AS exit_price, exit_reason, net_pnl_pct, win FROM v_sim")
@@ -389,12 +401,7 @@ def signals(t):
 
 
 def _grid_sql():
-    rows = []
-    for i in range(40):
-        w = [round(0.05 + 0.35 * (((i + 1) * (7919 + 104 * j) + 31 * j) % 1000) / 1000.0, 2) for j in range(4)]
-        rest = round(1.0 - sum(w), 2)
-        if rest > 0:
-            rows.append(f"({i}, " + ", ".join(f"{x!r}e0" for x in (*w, rest)) + ")")
+    rows = [f"({i}, " + ", ".join(f"{x!r}e0" for x in bt.scenario_vector(i, len(DIMS))) + ")" for i in range(100)]
     return f"(VALUES {', '.join(rows)}) g(scenario, w1, w2, w3, w4, w5)"
 
 
@@ -403,10 +410,10 @@ SELECT s.*, g.scenario FROM v_signals s CROSS JOIN {_grid_sql()} WHERE revenue *
 
 
 @query("K17_weight_search", f"""
-SELECT *, round(sharpe_ratio + win_rate / 100 - max_drawdown / 100, 6) AS objective FROM (SELECT scenario, total_trades, win_rate, sharpe_ratio, max_drawdown FROM ({_metrics_sql('v_grid', 'scenario', 'month, instrument')}))""")
+SELECT *, row_number() OVER (ORDER BY objective DESC, scenario) = 1 AS best FROM (SELECT *, round(sharpe_ratio + win_rate / 100 - max_drawdown / 100, 6) AS objective FROM (SELECT scenario, total_trades, win_rate, sharpe_ratio, max_drawdown FROM ({_metrics_sql('v_grid', 'scenario', 'month, instrument')})))""")
 def _(t):
-    x = bt.weight_search(signals(t), DIMS, "month", ["instrument"], n=40)
-    return x.select("scenario", "total_trades", "win_rate", "sharpe_ratio", "max_drawdown", rnd("objective", 6).alias("objective"))
+    x = bt.weight_search(signals(t), DIMS, "month", ["instrument"], n=100)
+    return x.select("scenario", "total_trades", "win_rate", "sharpe_ratio", "max_drawdown", "objective", "best")
 
 
 _EDGE = """SELECT '{d}' AS dimension, round(coalesce(avg(win::INT) FILTER (WHERE {d} >= 70), 0) * 100, 1) AS high_score_win_rate, round(coalesce(avg(win::INT) FILTER (WHERE {d} <= 30), 0) * 100, 1) AS low_score_win_rate,

@@ -17,7 +17,7 @@ SELECT instrument, date, """ + ", ".join(
     for p in (5, 10, 20, 50, 150, 300)) + " FROM v_rank")
 def _(t):
     ps = (5, 10, 20, 50, 150, 300)
-    return ind.with_sma(t.adj, ps).select("instrument", "date", *[rnd(f"sma{p}", 6).alias(f"sma{p}") for p in ps])
+    return ind.with_sma(t.panel, ps).select("instrument", "date", *[rnd(f"sma{p}", 6).alias(f"sma{p}") for p in ps])
 
 
 # All pieces of the momentum score for every bar.
@@ -64,31 +64,31 @@ FROM (SELECT *, coalesce(raw_change, 0.0e0) AS rc FROM v_mom1)"""
 
 @query("G2_ma_alignment", "SELECT instrument, date, align_points FROM v_mom WHERE ord >= 20")
 def _(t):
-    m = ind.momentum_parts(t.ranked).where("ord >= 20")
+    m = ind.momentum_parts(t.panel).where("ord >= 20")
     pts = ind.alignment_points(F.col("p"), F.col("ma5"), F.col("ma10"), F.col("ma20"))
     return m.select("instrument", "date", pts.alias("align_points"))
 
 
 @query("G3_rsi", "SELECT instrument, date, round(rsi, 6) AS rsi FROM v_mom WHERE ord >= 20")
 def _(t):
-    return ind.momentum_parts(t.ranked).where("ord >= 20").select("instrument", "date", rnd("rsi", 6).alias("rsi"))
+    return ind.momentum_parts(t.panel).where("ord >= 20").select("instrument", "date", rnd("rsi", 6).alias("rsi"))
 
 
 @query("G4_volume_trend", "SELECT instrument, date, round(vol5 / vol_prev5, 6) AS volume_ratio, vol_points FROM v_mom WHERE ord >= 10")
 def _(t):
-    m = ind.momentum_parts(t.ranked).where("ord >= 10")
+    m = ind.momentum_parts(t.panel).where("ord >= 10")
     return m.select("instrument", "date", rnd(F.col("vol5") / F.col("vol_prev5"), 6).alias("volume_ratio"),
                     ind.volume_trend_points(F.col("vol5"), F.col("vol_prev5")).alias("vol_points"))
 
 
 @query("G5_momentum_full", "SELECT instrument, date, momentum FROM v_mom WHERE ord >= 20")
 def _(t):
-    return ind.momentum_parts(t.ranked).where("ord >= 20").select("instrument", "date", ind.momentum_full().alias("momentum"))
+    return ind.momentum_parts(t.panel).where("ord >= 20").select("instrument", "date", ind.momentum_full().alias("momentum"))
 
 
 @query("G6_momentum_short", "SELECT instrument, date, momentum FROM v_mom WHERE ord BETWEEN 5 AND 19")
 def _(t):
-    return ind.momentum_parts(t.ranked).where("ord between 5 and 19").select("instrument", "date", ind.momentum_short().alias("momentum"))
+    return ind.momentum_parts(t.panel).where("ord between 5 and 19").select("instrument", "date", ind.momentum_short().alias("momentum"))
 
 
 @query("G7_momentum_single_day", """
@@ -105,7 +105,7 @@ def _(t):
 
 @query("G8_momentum_dispatch", "SELECT instrument, date, momentum FROM v_mom")
 def _(t):
-    return ind.momentum(t.ranked).select("instrument", "date", "momentum")
+    return ind.momentum(t.panel).select("instrument", "date", "momentum")
 
 
 VIEWS["v_adv"] = """
@@ -115,7 +115,7 @@ WHERE rn <= CASE WHEN n_bars >= 20 THEN 20 ELSE 5 END AND adj_close > 0 AND adj_
 
 @query("G9_average_daily_value", "SELECT instrument, round(adv, 2) AS adv, n_bars FROM v_adv")
 def _(t):
-    return ind.average_daily_value(t.ranked.where("rn <= 20")).select("instrument", rnd("adv", 2).alias("adv"), "n_bars")
+    return ind.average_daily_value(t.panel.where("rn <= 20")).select("instrument", rnd("adv", 2).alias("adv"), "n_bars")
 
 
 VIEWS["v_gaps"] = """
@@ -139,7 +139,7 @@ FROM (SELECT f.instrument, count(*) AS gaps, median(abs(f.gap_pct)) AS med,
 
 @query("G10_gap_fill", """SELECT instrument, fill_pct_5d, fill_pct_10d, fill_pct_20d, avg_fill_days, current_gap_pct, gap_vs_median, timing_adjustment, gaps FROM v_gap_fill""")
 def _(t):
-    return ind.gap_fill(t.adj)
+    return ind.gap_fill(t.panel)
 
 
 VIEWS["v_vol_anom0"] = """
@@ -157,7 +157,7 @@ FROM (SELECT *, CASE WHEN trend_strength > 5 THEN 'increasing' WHEN trend_streng
 
 @query("G11_volume_anomaly", "SELECT * FROM v_vol_anom")
 def _(t):
-    return ind.volume_anomaly(t.adj)
+    return ind.volume_anomaly(t.panel)
 
 
 VIEWS["v_vbins"] = """
@@ -181,7 +181,7 @@ SELECT instrument, bin_size, total_bins, data_points, poc, value_area_high, valu
   CASE WHEN abs(cp - poc) / cp * 100 < 1 THEN 95.0e0 WHEN abs(cp - poc) / cp * 100 < 3 THEN 80.0e0 WHEN abs(cp - poc) / cp * 100 < 5 THEN 65.0e0 WHEN abs(cp - poc) / cp * 100 < 10 THEN 40.0e0 ELSE 20.0e0 END
   + CASE WHEN cp BETWEEN value_area_low AND value_area_high THEN 10.0e0 ELSE 0.0e0 END) AS sr_score FROM res""")
 def _(t):
-    return ind.volume_profile(t.adj).drop("last_price")
+    return ind.volume_profile(t.panel).drop("last_price")
 
 
 VIEWS["v_candle0"] = """
@@ -234,7 +234,7 @@ FROM (SELECT instrument, avg(tr) FILTER (WHERE rn <= 14) AS atr, max(close) FILT
 
 @query("G16_risk_stop", "SELECT * FROM v_risk_stop")
 def _(t):
-    return ind.risk_stop(t.adj)
+    return ind.risk_stop(t.panel)
 
 
 VIEWS["v_returns"] = """
@@ -245,7 +245,7 @@ SELECT instrument, date, ret FROM (
 
 @query("G17_daily_returns", "SELECT instrument, date, round(ret, 8) AS ret FROM v_returns")
 def _(t):
-    return ind.daily_returns(t.adj, t.action_days, 15).select("instrument", "date", rnd("ret", 8).alias("ret"))
+    return ind.daily_returns(t.panel, t.action_days, 15).select("instrument", "date", rnd("ret", 8).alias("ret"))
 
 
 @query("G18_change_pct", """

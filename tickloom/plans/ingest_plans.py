@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from tickloom import params
 from tickloom.functions import typing as ty
-from tickloom.functions.typing import rnd
+from tickloom.functions.typing import lookup, rnd
 from tickloom.operators import panel
 from tickloom.operators import quality as qa
 from tickloom.plans.panel_plans import trades
@@ -56,10 +56,10 @@ def _(t):
 
 
 @query("A3_missing_dates", """
-SELECT c.date FROM v_cal c, (SELECT max(date) AS m FROM v_days) x WHERE c.is_trading AND c.date BETWEEN x.m - CAST(floor(2000 * 1.2) AS INT) AND x.m AND c.date NOT IN (SELECT date FROM v_bars WHERE instrument % 10 = 3)""")
+SELECT c.date FROM v_cal c, (SELECT max(date) AS m FROM v_days) x WHERE c.is_trading AND c.date BETWEEN x.m - CAST(floor(2000 * 1.2) AS INT) AND x.m AND c.date NOT IN (SELECT date FROM v_bars WHERE trades > 2)""")
 def _(t):
     as_of = t.bounds.select(F.col("last").alias("as_of"))
-    return panel.missing_dates(t.calendar, t.bars.where("instrument % 10 = 3"), as_of, 2000)
+    return panel.missing_dates(t.calendar, t.bars.where("trades > 2"), as_of, 2000)  # a date counts once an instrument has traded on it often enough
 
 
 @query("A4_panel_upsert", """
@@ -119,11 +119,11 @@ def _(t):
 
 @query("A12_parameter_tables", """
 SELECT name, coalesce(v, d) AS value FROM (VALUES ('revenue', 0.2e0), ('profitability', 0.25e0), ('valuation', 0.15e0), ('flow', 0.2e0), ('momentum', 0.2e0)) p(name, d)
-LEFT JOIN (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'flow' WHEN '5-LOW' THEN 'momentum' END AS n, round(count(*) * 1.0e0 / (SELECT count(*) FROM orders), 6) AS v FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1) g ON g.n = p.name""")
+LEFT JOIN (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'flow' WHEN '2-HIGH' THEN 'revenue' WHEN '3-MEDIUM' THEN 'unknown' WHEN '5-LOW' THEN 'momentum' ELSE 'other' END AS n, round(count(*) * 1.0e0 / (SELECT count(*) FROM orders), 6) AS v FROM orders GROUP BY 1) g ON g.n = p.name""")
 def _(t):
     o = t.read("orders")
     total = o.agg(F.count("*").alias("total"))
-    given = o.where("o_orderpriority in ('1-URGENT', '5-LOW')").groupBy(F.when(F.col("o_orderpriority") == "1-URGENT", "flow").otherwise("momentum").alias("name")).agg(F.count("*").alias("n"))
+    given = o.groupBy(lookup(F.col("o_orderpriority"), {"1-URGENT": "flow", "2-HIGH": "revenue", "3-MEDIUM": "unknown", "5-LOW": "momentum"}, "other").alias("name")).agg(F.count("*").alias("n"))
     given = given.crossJoin(F.broadcast(total)).select("name", rnd(F.col("n") / F.col("total"), 6).alias("value"))  # total is one row
     return sn.parameter_table(t.spark, params.STAGE1_WEIGHTS, given)
 
@@ -202,9 +202,9 @@ def _(t):
 
 
 @query("B10_sector_counts", """
-SELECT coalesce(s.sector, 'other') AS sector, count(*) AS instruments FROM (SELECT DISTINCT instrument FROM v_days_inst) i LEFT JOIN (SELECT * FROM v_sectors WHERE instrument % 12 <> 5) s ON s.instrument = i.instrument GROUP BY 1""")
+SELECT coalesce(s.sector, 'other') AS sector, count(*) AS instruments FROM (SELECT DISTINCT instrument FROM v_days_inst) i LEFT JOIN (SELECT instrument, CASE WHEN instrument % 12 <> 5 THEN sector END AS sector FROM v_sectors) s ON s.instrument = i.instrument GROUP BY 1""")
 def _(t):
-    known = t.sectors.where("instrument % 12 <> 5")
+    known = t.sectors.select("instrument", F.when(F.col("instrument") % 12 != 5, F.col("sector")).alias("sector"))
     x = t.ticks.select("instrument").distinct().join(known, "instrument", "left")
     return x.groupBy(F.coalesce("sector", F.lit("other")).alias("sector")).agg(F.count("*").alias("instruments")).orderBy(F.desc("instruments"), "sector")
 
@@ -240,7 +240,7 @@ def _(t):
 
 
 GATE_SRC = """(SELECT 'daily' AS dataset, count(*) AS rows, count(*) FILTER (WHERE errors <> '') AS e FROM v_raw_checked UNION ALL
- SELECT 'company', count(*), count(*) FILTER (WHERE paid_in_capital < 1.5e9) FROM v_company UNION ALL SELECT 'valuation', count(*), count(*) FILTER (WHERE pe < 0) FROM v_val_latest)"""
+ SELECT 'company', count(*), count(*) FILTER (WHERE paid_in_capital < 1.5e9) FROM v_company UNION ALL SELECT 'valuation', count(*), count(*) FILTER (WHERE (pe >= 0) IS NOT TRUE) FROM v_val_latest)"""
 
 
 def reports(t):

@@ -50,7 +50,7 @@ SELECT *, CASE WHEN ratio50 IS NULL THEN 'unknown'
 
 
 def market(t):
-    return mk.market_state(t.adj, t.action_days, max_gap_days=15)
+    return t.shared("market", ("lineitem",), lambda: mk.market_state(t.panel, t.action_days, max_gap_days=15))
 
 
 def raw_regimes(t):
@@ -62,7 +62,7 @@ def raw_regimes(t):
 
 @query("J1_market_breadth", "SELECT date, above, total, round(breadth, 8) AS breadth FROM v_breadth")
 def _(t):
-    return mk.breadth(t.adj).select("date", "above", "total", rnd("breadth", 8).alias("breadth"))
+    return mk.breadth(t.panel).select("date", "above", "total", rnd("breadth", 8).alias("breadth"))
 
 
 @query("J2_market_volatility", "SELECT date, leaders, round(volatility, 8) AS volatility FROM v_market")
@@ -144,13 +144,14 @@ def _(t):
 
 
 @query("J9_data_quality", """
-SELECT sector, max(n) AS max_bars, CASE WHEN max(n) < 240 THEN 'INSUFFICIENT_300D' ELSE 'OK' END AS data_quality,
+SELECT month, sector, max(n) AS max_bars, CASE WHEN max(n) < 240 THEN 'INSUFFICIENT_300D' ELSE 'OK' END AS data_quality,
   CASE WHEN max(n) < 240 THEN 'low' WHEN max(n) < 270 THEN 'medium' ELSE 'high' END AS confidence
-FROM (SELECT instrument, count(*) AS n FROM v_bars WHERE date < DATE '1998-06-01' GROUP BY 1) JOIN v_sectors USING (instrument) GROUP BY sector""")
+FROM (SELECT instrument, date_trunc('month', date)::DATE AS month, row_number() OVER (PARTITION BY instrument ORDER BY date) AS n FROM v_bars) JOIN v_sectors USING (instrument) GROUP BY 1, 2""")
 def _(t):
-    n = panel.between(t.bars, "date", None, dt.date(1998, 5, 31)).groupBy("instrument").agg(F.count("*").alias("n"))
-    q = n.join(t.sectors, "instrument").groupBy("sector").agg(F.max("n").alias("max_bars"))
-    return q.select("sector", "max_bars", mk.data_quality(F.col("max_bars")).alias("q")).select("sector", "max_bars", "q.*")
+    # as of every month with a bar in the sector
+    n = t.panel.select("instrument", F.trunc("date", "month").alias("month"), F.col("ord").alias("n"))
+    q = n.join(t.sectors, "instrument").groupBy("month", "sector").agg(F.max("n").cast("bigint").alias("max_bars"))
+    return q.select("month", "sector", "max_bars", mk.data_quality(F.col("max_bars")).alias("q")).select("month", "sector", "max_bars", "q.*")
 
 
 @query("J10_position_multiplier", """
@@ -170,7 +171,7 @@ SELECT date, ad_ratio, CASE WHEN ad_ratio >= 1.5e0 THEN 'strong' WHEN ad_ratio >
 FROM (SELECT date, CASE WHEN rejected > 0 THEN round((passed + watch) * 1.0e0 / rejected, 3) ELSE 2.0e0 END AS ad_ratio FROM v_ad)""")
 def _(t):
     m = F.col("momentum")
-    d = ind.momentum(t.ranked).groupBy("date").agg(F.count_if(m >= 60).alias("p"), F.count_if((m >= 45) & (m < 60)).alias("w"), F.count_if(m < 45).alias("r"))
+    d = ind.momentum(t.panel).groupBy("date").agg(F.count_if(m >= 60).alias("p"), F.count_if((m >= 45) & (m < 60)).alias("w"), F.count_if(m < 45).alias("r"))
     return d.select("date", mk.advance_decline(F.col("p"), F.col("w"), F.col("r")).alias("x")).select("date", "x.*")
 
 
@@ -220,4 +221,4 @@ SELECT sector, date, avg(ret) AS ret FROM v_returns JOIN v_sectors USING (instru
 SELECT a.sector AS sector_a, b.sector AS sector_b, CASE WHEN a.sector = b.sector THEN 1.0e0 WHEN count(*) >= 10 THEN round(coalesce(corr(a.ret, b.ret), 0), 3) ELSE 0.0e0 END AS correlation, count(*) AS n
 FROM v_sector_ret a JOIN v_sector_ret b ON a.date = b.date WHERE a.date IN (SELECT DISTINCT date FROM v_sector_ret ORDER BY date DESC LIMIT 60) GROUP BY 1, 2""")
 def _(t):
-    return mk.sector_correlation(ind.daily_returns(t.adj, t.action_days, 15), t.sectors)
+    return mk.sector_correlation(ind.daily_returns(t.panel, t.action_days, 15), t.sectors)

@@ -151,10 +151,10 @@ def _(t):
 
 @query("F4_asof_join", """
 SELECT l_orderkey, l_linenumber, l_partkey, e.instrument, e.at, b.date AS bar_date, round(b.close, 4) AS bar_close
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS instrument, CAST(l_shipdate AS DATE) + 3 AS at FROM lineitem WHERE l_quantity > 40) e
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS instrument, CAST(l_shipdate AS DATE) + 3 AS at FROM lineitem) e
 ASOF LEFT JOIN v_bars b ON b.instrument = e.instrument AND b.date <= e.at""")
 def _(t):
-    e = t.read("lineitem").where("l_quantity > 40").select(
+    e = t.read("lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("instrument"),
         F.date_add(F.col("l_shipdate").cast("date"), 3).alias("at"))
     hits = panel.asof_join(e, t.bars, ["close"], spread=8)
@@ -187,14 +187,14 @@ def _(t):
 
 
 @query("F9_full_outer_weights", """
-SELECT coalesce(o.instrument, n.instrument) AS instrument, coalesce(o.w, 0.0e0) AS old, coalesce(n.w, 0.0e0) AS new
-FROM (SELECT instrument, sum(volume) AS w FROM v_bars WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-01-03' GROUP BY 1) o
-FULL OUTER JOIN (SELECT instrument, sum(volume) AS w FROM v_bars WHERE date BETWEEN DATE '1999-01-04' AND DATE '1999-01-06' GROUP BY 1) n
-ON o.instrument = n.instrument""")
-def _(t):
-    part = lambda a, b: panel.between(t.bars, "date", a, b).groupBy("instrument").agg(F.sum("volume").alias("w"))
-    return panel.key_union(
-        part(dt.date(1999, 1, 1), dt.date(1999, 1, 3)), part(dt.date(1999, 1, 4), dt.date(1999, 1, 6)), "instrument", "w")
+SELECT coalesce(o.key, n.key) AS key, coalesce(o.w, 0.0e0) AS old, coalesce(n.w, 0.0e0) AS new
+FROM (SELECT instrument || '/' || strftime(date_trunc('month', date) + INTERVAL 1 MONTH, '%Y-%m') AS key, sum(volume) AS w FROM v_bars GROUP BY 1) o
+FULL OUTER JOIN (SELECT instrument || '/' || strftime(date, '%Y-%m') AS key, sum(volume) AS w FROM v_bars GROUP BY 1) n ON o.key = n.key""")
+def _(t):
+    # every month of every instrument against the month before
+    month = t.bars.groupBy("instrument", F.trunc("date", "month").alias("month")).agg(F.sum("volume").alias("w"))
+    keyed = lambda shift: month.select(F.concat_ws("/", "instrument", F.date_format(F.add_months("month", shift), "yyyy-MM")).alias("key"), "w")
+    return panel.key_union(keyed(1), keyed(0), "key", "w")
 
 
 @query("F10_candidates_with_price", """

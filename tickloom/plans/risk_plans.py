@@ -9,11 +9,10 @@ from tickloom.functions.typing import dbl, letter_grade, rnd
 from tickloom.operators import backtest as bt
 from tickloom.operators import indicators as ind
 from tickloom.operators import risk as rk
-from tickloom.plans.backtest_plans import allocations
+from tickloom.plans.backtest_plans import SOURCES, allocations
 from tickloom.plans.panel_plans import trades as order_trades
 from tickloom.plans.registry import query
 from tickloom.sources.sql_views import VIEWS
-from tickloom.sources.store import store
 
 VIEWS["v_pos"] = """
 SELECT a.month AS portfolio, a.date, a.instrument, a.sector, a.entry_ord, a.allocation_pct * 10000.0e0 AS value, a.allocation_pct, CAST((a.instrument * 13) % 100 AS DOUBLE) AS conviction FROM v_alloc a WHERE allocation_pct > 0"""
@@ -29,17 +28,15 @@ FROM v_pret a JOIN v_pret b ON a.portfolio = b.portfolio AND a.k = b.k AND a.ins
 
 
 def positions(t):
-    if "positions" not in t.__dict__:
-        a = allocations(t).select(F.col("month").alias("portfolio"), "date", "instrument", "sector", "entry_ord", (F.col("allocation_pct") * 10000.0).alias("value"),
-                                  ((F.col("instrument") * 13) % 100).cast("double").alias("conviction"))
-        t.__dict__["positions"] = store(a, "positions")
-    return t.__dict__["positions"]
+    return t.shared("positions", SOURCES, lambda: allocations(t).select(
+        F.col("month").alias("portfolio"), "date", "instrument", "sector", "entry_ord", (F.col("allocation_pct") * 10000.0).alias("value"),
+        ((F.col("instrument") * 13) % 100).cast("double").alias("conviction")))
 
 
 def returns60(t):
     w = Window.partitionBy("instrument").orderBy("date")
     rets = t.panel.select("instrument", "ord", ((F.col("adj_close") - F.lag("adj_close").over(w)) / F.lag("adj_close").over(w)).alias("ret")).where("ret is not null")
-    return store(bt.holding_returns(positions(t).withColumn("as_of_ord", F.col("entry_ord")), rets, 60), "returns60")
+    return t.shared("returns60", SOURCES, lambda: bt.holding_returns(positions(t).withColumn("as_of_ord", F.col("entry_ord")), rets, 60))
 
 
 def pairs(t, hr=None):
@@ -126,8 +123,8 @@ FROM (SELECT *, CASE WHEN price <= entry * 0.96e0 THEN 'stop_loss' WHEN price >=
 def _(t):
     p = positions(t).select("portfolio", "instrument", "entry_ord", letter_grade("conviction").alias("grade"))
     want = p.select("portfolio", "instrument", "entry_ord", F.explode(F.sequence(F.col("entry_ord"), F.col("entry_ord") + 10)).alias("ord"))
-    px = store(want.join(t.panel.select("instrument", "ord", "adj_close"), ["instrument", "ord"]).groupBy("portfolio", "instrument").agg(
-        F.max(F.when(F.col("ord") == F.col("entry_ord"), F.col("adj_close"))).alias("entry_price"), F.max_by("adj_close", "ord").alias("price"), F.max("adj_close").alias("highest")), "prices")
+    px = t.shared("prices", SOURCES, lambda: want.join(t.panel.select("instrument", "ord", "adj_close"), ["instrument", "ord"]).groupBy("portfolio", "instrument").agg(
+        F.max(F.when(F.col("ord") == F.col("entry_ord"), F.col("adj_close"))).alias("entry_price"), F.max_by("adj_close", "ord").alias("price"), F.max("adj_close").alias("highest")))
     held = p.join(px.select("portfolio", "instrument", "entry_price"), ["portfolio", "instrument"]).withColumn("stop_loss", F.col("entry_price") * 0.96).withColumn("take_profit", F.col("entry_price") * 1.05)
     out = rk.enforce_stops(held, px.select("portfolio", "instrument", "price", "highest"))
     return out.select("portfolio", "instrument", "signal", "exit_price", "pnl_pct", "trailing_stop")
@@ -143,7 +140,7 @@ VIEWS["v_mean"] = "SELECT portfolio, instrument, avg(ret) AS mean FROM v_apanel
 def moments(t):
     """Stored long covariance and means: small tables read by several joins."""
     panel = rk.aligned_panel(returns60(t), "portfolio")
-    return store(rk.mean_returns(panel, "portfolio"), "means"), store(rk.covariance(panel, "portfolio"), "cov")
+    return t.shared("means", SOURCES, lambda: rk.mean_returns(panel, "portfolio")), t.shared("covariances", SOURCES, lambda: rk.covariance(panel, "portfolio"))
 
 
 @query("L7_covariance", "SELECT portfolio, a, b, round(cov, 10) AS cov FROM v_cov")
@@ -177,12 +174,14 @@ def _(t):
     return x.select("portfolio", "instrument", rnd("implied", 10).alias("implied"), rnd("blended", 10).alias("blended"))
 
 
+#: weight vectors tried per portfolio
+SCENARIOS = 300
 VIEWS["v_scen"] = """
 SELECT portfolio, scenario, instrument, 1.0e0 / n + (w - 1.0e0 / n) * CASE WHEN top > greatest(0.2e0, 1.0e0 / n) THEN (greatest(0.2e0, 1.0e0 / n) - 1.0e0 / n) / (top - 1.0e0 / n) ELSE 1.0e0 END AS weight
 FROM (SELECT *, max(w) OVER (PARTITION BY portfolio, scenario) AS top FROM (SELECT *, u / sum(u) OVER (PARTITION BY portfolio, scenario) AS w FROM (
   SELECT p.portfolio, p.instrument, s.scenario, count(*) OVER (PARTITION BY p.portfolio, s.scenario) AS n,
    CASE WHEN s.scenario = 0 THEN 1.0e0 ELSE ((p.instrument * 7919 + s.scenario * 104729 + s.scenario * p.instrument * 31) % 1000 + 1) / 1000.0e0 END AS u
-  FROM v_pos p CROSS JOIN (SELECT unnest(generate_series(0, 19)) AS scenario) s)))"""
+  FROM v_pos p CROSS JOIN (SELECT unnest(generate_series(0, 299)) AS scenario) s)))"""
 
 
 @query("L10_scenario_search", """
@@ -194,7 +193,7 @@ SELECT portfolio, CAST(scenario AS INT) AS scenario, round(sharpe, 4) AS sharpe,
   ON v.portfolio = r.portfolio AND v.scenario = r.scenario)) WHERE rn = 1""")
 def _(t):
     m, c = moments(t)
-    s = rk.scenario_weights(positions(t), "portfolio", 20, cap=0.2)
+    s = rk.scenario_weights(positions(t), "portfolio", SCENARIOS, cap=0.2)
     best = rk.best_scenario(rk.portfolio_metrics(s, m, c, ["portfolio", "scenario"]), "portfolio")
     return best.select("portfolio", "scenario", rnd("sharpe", 4).alias("sharpe"), rnd("annual_return", 6).alias("annual_return"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.typing import dbl, rnd
 from tickloom.operators import actions as act
 from tickloom.operators import calendar as cal
-from tickloom.sources.store import store
+from tickloom.sources.store import shared as kept_table
 
 # The holiday feed of the test panel (first day, last day, name, description, flag, file).
 HOLIDAY_RULES = (
@@ -38,6 +38,9 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def shared(self, name: str, tables: tuple[str, ...], build) -> DataFrame:
+        return kept_table(self.spark, name, self.root, tuple(f"{self.root}/{t}.parquet" for t in tables), build)
+
     @cached_property
     def ticks(self) -> DataFrame:
         return self.read("lineitem").select(
@@ -115,7 +118,7 @@ class Tables:
 
     @cached_property
     def action_days(self) -> DataFrame:
-        return act.one_action_per_day(self.actions)
+        return self.shared("action-days", ("lineitem",), lambda: act.one_action_per_day(self.actions))
 
     @cached_property
     def adj(self) -> DataFrame:
@@ -133,12 +136,12 @@ class Tables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Ranked adjusted bars as a stored table, for plans that read the panel in several branches."""
-        return store(self.ranked, "panel")
+        """Ranked adjusted bars as the session's stored table, for plans that read the panel in several branches."""
+        return self.shared("panel", ("lineitem",), lambda: self.ranked)
 
     @cached_property
     def trading_calendar(self) -> DataFrame:
-        return store(self.calendar, "calendar")
+        return self.shared("calendar", ("lineitem",), lambda: self.calendar)
 
     @cached_property
     def sectors(self) -> DataFrame:
@@ -160,6 +163,9 @@ class Tables:
 
     @cached_property
     def valuation(self) -> DataFrame:
+        return self.shared("valuation", ("lineitem", "part"), self._valuation)
+
+    def _valuation(self) -> DataFrame:
         li = self.read("lineitem").select("l_suppkey", "l_partkey")
         p = self.read("part").select("p_partkey", "p_size", "p_retailprice")
         # lines are counted per (supplier, part) first, so a hot part joins once per supplier
@@ -175,6 +181,9 @@ class Tables:
 
     @cached_property
     def monthly_revenue(self) -> DataFrame:
+        return self.shared("monthly-revenue", ("lineitem", "orders"), self._monthly_revenue)
+
+    def _monthly_revenue(self) -> DataFrame:
         li = self.read("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_extendedprice").alias("amount"))
         o = self.read("orders").select("o_orderkey", F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"))
         return (
@@ -195,8 +204,22 @@ class Tables:
 
     # --- screening inputs -------------------------------------------------
 
-    def _signed(self, cond: str) -> "F.Column":
-        return F.sum(F.when(F.expr(cond), F.col("l_quantity")).otherwise(-F.col("l_quantity")))
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self.shared("facts", ("lineitem",), self._facts)
+
+    def _facts(self) -> DataFrame:
+        """What the screen takes from the lines of an instrument, in one pass; flow and margin are null where not reported."""
+        k, q, day = F.col("l_suppkey"), F.col("l_quantity"), F.col("l_shipdate").cast("date")
+        signed = lambda cond: F.when(k % 3 != 0, F.sum(F.when(F.expr(cond), q).otherwise(-q)))
+        part = lambda f: F.when(k % 2 == 0, F.sum(F.when(F.col("l_returnflag") == f, q).otherwise(0.0)) * 1000.0)
+        return self.read("lineitem").groupBy("l_suppkey").agg(
+            F.min(day).alias("list_date"),
+            F.max(F.when(F.expr("l_linenumber = 1 and l_returnflag = 'A' and l_quantity < 3"), F.col("l_extendedprice") * 1000.0)).alias("max_pledged"),
+            F.max(F.when(F.expr("l_linenumber = 2 and l_returnflag = 'N' and l_quantity <= 2"), day)).alias("last_penalty"),
+            signed("l_returnflag = 'A' or l_linenumber = 1").alias("foreign_net"), signed("l_linestatus = 'O'").alias("trust_net"), signed("l_linenumber % 2 = 0").alias("total_net"),
+            part("A").alias("margin_buy"), part("R").alias("short_sell"),
+        ).withColumnRenamed("l_suppkey", "instrument")
 
     @cached_property
     def pledges(self) -> DataFrame:
@@ -210,50 +233,41 @@ class Tables:
 
     @cached_property
     def flow(self) -> DataFrame:
-        return self.read("lineitem").where("l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("instrument")).agg(
-            self._signed("l_returnflag = 'A' or l_linenumber = 1").alias("foreign_net"),
-            self._signed("l_linestatus = 'O'").alias("trust_net"),
-            self._signed("l_linenumber % 2 = 0").alias("total_net"),
-        )
+        return self.facts.select("instrument", "foreign_net", "trust_net", "total_net")
 
     @cached_property
     def margin(self) -> DataFrame:
-        part = lambda f: F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0.0))
-        return self.read("lineitem").where("l_suppkey % 2 = 0").groupBy(F.col("l_suppkey").alias("instrument")).agg(
-            (part("A") * 1000.0).alias("margin_buy"), (part("R") * 1000.0).alias("short_sell"),
-        ).withColumn("short_balance", F.col("short_sell") * (F.col("instrument") % 5) / 10.0)
+        return self.facts.select("instrument", "margin_buy", "short_sell", (F.col("short_sell") * (F.col("instrument") % 5) / 10.0).alias("short_balance"))
 
     @cached_property
     def revenue_latest(self) -> DataFrame:
         return (
-            self.revenue.where("instrument % 23 <> 7").groupBy("instrument")
+            self.revenue.groupBy("instrument")
             .agg(F.max_by(F.struct("rev_yoy", "rev_mom"), "month").alias("r")).select("instrument", "r.*")
         )
 
     @cached_property
     def valuation_latest(self) -> DataFrame:
-        return self.valuation.where("instrument % 29 <> 11").select(
-            "instrument", ((F.col("pe") - 25.5) * 10.0 + 20.0).alias("pe"), (F.col("pb") / 2.0).alias("pb"))
+        given = lambda c: F.when(F.col("instrument") % 29 != 11, c)
+        return self.valuation.select("instrument", given((F.col("pe") - 25.5) * 10.0 + 20.0).alias("pe"), given(F.col("pb") / 2.0).alias("pb"))
 
     @cached_property
     def screen_rows(self) -> DataFrame:
         """One row per instrument with everything the screen needs."""
         from tickloom.operators import indicators as ind
 
-        hit = lambda df, name: df.withColumn(name, F.lit(True))
-        rows = (
-            ind.latest_features(self.ranked)
-            .join(hit(self.company.where("instrument % 31 <> 4"), "has_company"), "instrument", "left")
-            .join(self.pledges.groupBy("instrument").agg(F.max("pledged").alias("max_pledged")), "instrument", "left")
-            .join(self.penalties.groupBy("instrument").agg(F.max("penalty_date").alias("last_penalty")), "instrument", "left")
-            .join(hit(self.revenue_latest, "has_rev"), "instrument", "left")
-            .join(hit(self.valuation_latest, "has_val"), "instrument", "left")
-            .join(hit(self.flow, "has_flow"), "instrument", "left")
-            .join(hit(self.margin, "has_margin"), "instrument", "left")
-            .join(self.action_days.groupBy("instrument").agg(F.max("ex_date").alias("last_ex")), "instrument", "left")
-        )
-        code = F.lpad((F.col("instrument") * 83 % 10000).cast("string"), 4, "0")
         k = F.col("instrument")
+        firm = self.read("supplier").select(
+            F.col("s_suppkey").alias("instrument"), F.col("s_name").alias("name"),
+            F.when(F.col("s_suppkey") % 31 != 4, (F.col("s_acctbal") + 2000.0) * 1e6).alias("paid_in_capital"))
+        last_ex = self.action_days.groupBy("instrument").agg(F.max("ex_date").alias("last_ex"))
+        rows = ind.latest_features(self.panel)
+        for part in (firm, self.facts, self.revenue_latest.withColumn("has_rev", F.lit(True)), self.valuation_latest, last_ex):
+            rows = rows.join(part, "instrument", "left")
+        given = lambda c: F.col(c).isNotNull()
+        rows = rows.withColumns({
+            "list_date": F.when(given("paid_in_capital"), F.col("list_date")), "short_balance": F.col("short_sell") * (k % 5) / 10.0,
+            "has_company": given("paid_in_capital"), "has_val": given("pe"), "has_flow": given("total_net"), "has_margin": given("margin_buy")})
+        code = F.lpad((F.col("instrument") * 83 % 10000).cast("string"), 4, "0")
         reason = F.when(k % 17 == 3, "sanctioned").when(k % 19 == 5, "trading_halt").when(k % 37 == 2, "margin_suspended")
-        flags = {f: F.coalesce(F.col(f), F.lit(False)) for f in ("has_company", "has_rev", "has_val", "has_flow", "has_margin")}
-        return rows.withColumns(flags).withColumn("code", code).withColumn("list_reason", reason)
+        return rows.withColumn("has_rev", F.coalesce("has_rev", F.lit(False))).withColumn("code", code).withColumn("list_reason", reason)

@@ -65,6 +65,11 @@ FROM (
   FROM (SELECT CAST(unnest(generate_series(mn, mx, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT min(date) mn, max(date) mx FROM v_days)) d
   LEFT JOIN v_hol h ON h.date = d.date) c"""
 
+VIEWS["v_cal_wide"] = VIEWS["v_cal"].replace(
+    "(SELECT min(date) mn, max(date) mx FROM v_days)",
+    """(SELECT min(date) mn, max(date) mx FROM (SELECT date FROM v_days UNION ALL SELECT CAST(o_orderdate AS DATE) FROM orders
+      UNION ALL SELECT CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) FROM orders))""")
+
 VIEWS["v_actions_all"] = """
 SELECT instrument, date AS ex_date, round(1.0e0 + 10.0e0 * l_tax, 4) AS cash_div, round(5.0e0 * l_tax, 4) AS stock_div,
        CASE WHEN l_orderkey % 2 = 0 THEN 'official' ELSE 'declaration' END AS source, l_orderkey AS seq
@@ -161,7 +166,7 @@ def _expand(sql: str) -> str:
         visit(name)
     if not order:
         return sql.strip()
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in order)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{body[15:]}"
@@ -174,26 +179,26 @@ SELECT l_suppkey AS instrument, l_extendedprice * 1000.0e0 AS pledged FROM linei
 VIEWS["v_penalty"] = """
 SELECT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS penalty_date FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'N' AND l_quantity <= 2"""
 VIEWS["v_flow"] = """
-SELECT l_suppkey AS instrument, sum(CASE WHEN l_returnflag = 'A' OR l_linenumber = 1 THEN l_quantity ELSE -l_quantity END) AS foreign_net,
-  sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity END) AS trust_net,
-  sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE -l_quantity END) AS total_net FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1"""
+SELECT l_suppkey AS instrument, CASE WHEN l_suppkey % 3 <> 0 THEN sum(CASE WHEN l_returnflag = 'A' OR l_linenumber = 1 THEN l_quantity ELSE -l_quantity END) END AS foreign_net,
+  CASE WHEN l_suppkey % 3 <> 0 THEN sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity END) END AS trust_net,
+  CASE WHEN l_suppkey % 3 <> 0 THEN sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE -l_quantity END) END AS total_net FROM lineitem GROUP BY 1"""
 VIEWS["v_margin"] = """
 SELECT instrument, buy AS margin_buy, sell AS short_sell, sell * (instrument % 5) / 10.0e0 AS short_balance FROM (
-  SELECT l_suppkey AS instrument, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) * 1000.0e0 AS buy,
-    sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) * 1000.0e0 AS sell FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)"""
+  SELECT l_suppkey AS instrument, CASE WHEN l_suppkey % 2 = 0 THEN sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) * 1000.0e0 END AS buy,
+    CASE WHEN l_suppkey % 2 = 0 THEN sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) * 1000.0e0 END AS sell FROM lineitem GROUP BY 1)"""
 VIEWS["v_rev_latest"] = """
-SELECT instrument, rev_yoy, rev_mom FROM v_revenue WHERE instrument % 23 <> 7 QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY month DESC) = 1"""
+SELECT instrument, rev_yoy, rev_mom FROM v_revenue QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY month DESC) = 1"""
 VIEWS["v_val_latest"] = """
-SELECT instrument, (pe - 25.5e0) * 10.0e0 + 20.0e0 AS pe, pb / 2.0e0 AS pb FROM v_valuation WHERE instrument % 29 <> 11"""
+SELECT instrument, CASE WHEN instrument % 29 <> 11 THEN (pe - 25.5e0) * 10.0e0 + 20.0e0 END AS pe, CASE WHEN instrument % 29 <> 11 THEN pb / 2.0e0 END AS pb FROM v_valuation"""
 VIEWS["v_screen_in"] = """
 SELECT m.instrument, lpad(CAST(m.instrument * 83 % 10000 AS VARCHAR), 4, '0') AS code, m.date, m.close, m.n_bars, m.momentum, m.vol5, m.vol_prev5, a.adv,
-  c.name, c.paid_in_capital, c.list_date, c.instrument IS NOT NULL AS has_company, p.max_pledged, q.last_penalty,
-  r.rev_yoy, r.rev_mom, r.instrument IS NOT NULL AS has_rev, v.pe, v.pb, v.instrument IS NOT NULL AS has_val,
-  f.foreign_net, f.trust_net, f.total_net, f.instrument IS NOT NULL AS has_flow, g.margin_buy, g.short_sell, g.short_balance, g.instrument IS NOT NULL AS has_margin,
+  c.name, c.paid_in_capital, CASE WHEN c.paid_in_capital IS NOT NULL THEN c.list_date END AS list_date, c.paid_in_capital IS NOT NULL AS has_company, p.max_pledged, q.last_penalty,
+  r.rev_yoy, r.rev_mom, r.instrument IS NOT NULL AS has_rev, v.pe, v.pb, v.pe IS NOT NULL AS has_val,
+  f.foreign_net, f.trust_net, f.total_net, f.total_net IS NOT NULL AS has_flow, g.margin_buy, g.short_sell, g.short_balance, g.margin_buy IS NOT NULL AS has_margin,
   coalesce(gf.timing_adjustment, 0.0e0) AS timing_adjustment, coalesce(va.score_adjustment, 0.0e0) AS volume_adjustment, x.last_ex,
   CASE WHEN m.instrument % 17 = 3 THEN 'sanctioned' WHEN m.instrument % 19 = 5 THEN 'trading_halt' WHEN m.instrument % 37 = 2 THEN 'margin_suspended' END AS list_reason
 FROM v_mom m LEFT JOIN v_adv a ON a.instrument = m.instrument
-LEFT JOIN (SELECT * FROM v_company WHERE instrument % 31 <> 4) c ON c.instrument = m.instrument
+LEFT JOIN (SELECT instrument, name, list_date, CASE WHEN instrument % 31 <> 4 THEN paid_in_capital END AS paid_in_capital FROM v_company) c ON c.instrument = m.instrument
 LEFT JOIN (SELECT instrument, max(pledged) AS max_pledged FROM v_pledge GROUP BY 1) p ON p.instrument = m.instrument
 LEFT JOIN (SELECT instrument, max(penalty_date) AS last_penalty FROM v_penalty GROUP BY 1) q ON q.instrument = m.instrument
 LEFT JOIN v_rev_latest r ON r.instrument = m.instrument LEFT JOIN v_val_latest v ON v.instrument = m.instrument
