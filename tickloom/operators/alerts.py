@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.typing import lookup
+from tickloom.sources.store import store
+from tickloom.sources.workers import ship
 
 # Severity per alert type and the types that are never suppressed or have no instrument.
 SEVERITY = {
@@ -62,64 +64,155 @@ def walk(ts: np.ndarray, last: int | None, gap: int) -> list[int]:
     return out
 
 
-def spaced(events: DataFrame, keys: Sequence[str], ts: str, event_id: str, seconds: int, chunk_seconds: int = DAY) -> DataFrame:
+#: chunks that one task composes
+FAN = 16
+
+
+def reduce_chunk(t: np.ndarray, start: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, finals) of a chunk: the last event its chain accepts, by the first one accepted.
+
+    An earlier event can only push the first accept up to ``gap`` into the chunk.
+    Chains that end alike are one step: only the last of their starts is kept.
+    """
+    m = min(len(t), int(np.searchsorted(t, start + gap)) + 1)
+    nxt, cur = np.searchsorted(t, t + gap), np.arange(m)
+    while (nxt[cur] < len(t)).any():
+        cur = np.where(nxt[cur] < len(t), np.minimum(nxt[cur], len(t) - 1), cur)
+    return steps(t[:m], t[cur])
+
+
+def steps(starts: np.ndarray, finals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = np.concatenate((finals[1:] != finals[:-1], [True])) if len(finals) else np.zeros(0, bool)
+    return starts[last], finals[last]
+
+
+def enter(starts: np.ndarray, finals: np.ndarray, last: np.ndarray, gap: int) -> np.ndarray:
+    """The last accepted time after a chunk for each last accepted time before it."""
+    i = np.searchsorted(starts, last + gap)
+    return np.where(i < len(starts), np.append(finals, 0)[i], last)
+
+
+def compose(parts: list[tuple[np.ndarray, np.ndarray]], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """One step function of consecutive chunks.
+
+    An event before them pushes the first accept less than ``gap`` past their first
+    event, so starts beyond that, but for the next one, are left out.
+    """
+    starts, finals = [], []
+    for n, (s, f) in enumerate(parts):
+        if starts:
+            s, f = s[s > starts[-1][-1]], f[s > starts[-1][-1]]
+        if not len(s):
+            continue
+        for later in parts[n + 1 :]:
+            f = enter(*later, f, gap)
+        starts.append(s)
+        finals.append(f)
+        if s[-1] >= starts[0][0] + gap:
+            break
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    s, f = np.concatenate(starts), np.concatenate(finals)
+    end = int(np.searchsorted(s, s[0] + gap)) + 1
+    return steps(s[:end], f[:end])
+
+
+def spaced(events: DataFrame, keys: Sequence[str], ts: str, event_id: str, seconds: int, chunk_seconds: int | None = None) -> DataFrame:
     """Events that pass a cooldown measured from the last *accepted* event of their key.
 
-    The rule is a chain along time, and one key may hold most of the events,
-    so a key is cut into time chunks that run in parallel:
+    The rule is a chain along time, and one key may hold most of the events, so a
+    key is cut into time chunks (as long as the cooldown, unless given) that form a
+    tree:
 
     1. equal times collapse in a partial aggregate;
-    2. every chunk is reduced to a step function: for each possible first
-       accepted event, the last event the chain accepts in the chunk;
-    3. these small functions are applied in order per key, which gives the
-       last accepted time before each chunk;
-    4. each chunk is walked once more from there and emits its events.
-
-    No task sees more than one chunk of one key, or one key's step functions.
+    2. every chunk becomes a step function: for each possible first accepted
+       event, the last event the chain accepts;
+    3. level by level, ``FAN`` neighbouring functions are composed into one;
+    4. from the top down, the last accepted time before each node is handed to its
+       children;
+    5. each chunk is walked once more from there and emits its events.
+
+    A task holds the events of one chunk, or ``FAN`` functions of at most one
+    cooldown's events each; neither grows with the length of the history.
     """
-    if chunk_seconds < seconds:
-        raise ValueError("a chunk must be at least as long as the cooldown")
-    gap, size = seconds * 1_000_000, chunk_seconds * 1_000_000
+    spark = events.sparkSession
+    ship(spark)
+    gap, size = seconds * 1_000_000, (chunk_seconds or seconds) * 1_000_000
     k = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys])
-    us = micros(ts)
-    d = events.select(k.alias("k"), us.alias("us"), F.col(event_id).alias("id")).groupBy("k", F.floor(F.col("us") / size).alias("chunk"), "us").agg(F.min("id").alias("id"))
-
-    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy())
-        start = int(pdf["chunk"].iloc[0]) * size
-        # an earlier accepted event can only push the first accept up to `gap` into the chunk
-        m = min(len(t), int(np.searchsorted(t, start + gap)) + 1)
-        nxt = np.searchsorted(t, t + gap)
-        cur = np.arange(m)
-        while True:
-            step = nxt[cur]
-            move = step < len(t)
-            if not move.any():
-                break
-            cur = np.where(move, np.minimum(step, len(t) - 1), cur)
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])], "starts": [t[:m].tolist()], "finals": [t[cur].tolist()]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        last, before = None, []
-        for starts, finals in zip(pdf["starts"], pdf["finals"]):
-            before.append(last)
-            i = 0 if last is None else int(np.searchsorted(np.asarray(starts), last + gap))
-            if i < len(starts):
-                last = int(finals[i])
-        return pd.DataFrame({"k": pdf["k"], "chunk": pdf["chunk"], "last": pd.array(before, dtype="Int64")})
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        first = pdf["last"].iloc[0]
-        return pdf.iloc[walk(pdf["us"].to_numpy(), None if pd.isna(first) else int(first), gap)][["id"]]
-
-    maps = d.groupBy("k", "chunk").applyInPandas(reduce_chunk, "k string, chunk bigint, starts array<bigint>, finals array<bigint>")
-    entry = maps.groupBy("k").applyInPandas(chain, "k string, chunk bigint, last bigint")
-    kept = d.join(entry, ["k", "chunk"]).groupBy("k", "chunk").applyInPandas(emit, "id bigint")
+    d = events.select(k.alias("k"), micros(ts).alias("us"), F.col(event_id).alias("id")).groupBy("k", F.floor(F.col("us") / size).alias("chunk"), "us").agg(F.min("id").alias("id"))
+    node = "k string, chunk bigint, starts array<bigint>, finals array<bigint>"
+    numbers = lambda a: np.asarray(a, np.int64)
+
+    def leaf(g):
+        yield (g["k"][0], int(g["chunk"][0]), *reduce_chunk(numbers(g["us"]), int(g["chunk"][0]) * size, gap))
+
+    def join(g):
+        functions = [(numbers(s), numbers(f)) for s, f in zip(g["starts"], g["finals"])]
+        yield (g["k"][0], int(g["g"][0]), *compose(functions, gap))
+
+    def descend(g):
+        last = None if pd.isna(g["last"][0]) else int(g["last"][0])
+        for k_, chunk, s, f in zip(g["k"], g["chunk"], g["starts"], g["finals"]):
+            yield k_, int(chunk), last
+            if len(s):
+                last = int(f[0]) if last is None else int(enter(numbers(s), numbers(f), np.array([last]), gap)[0])
+
+    def emit(g):
+        first = g["last"][0]
+        for at in walk(numbers(g["us"]), None if pd.isna(first) else int(first), gap):
+            yield (int(g["id"][at]),)
+
+    levels = [store(by_group(d, ["k", "chunk"], "us", leaf, node), "cooldown-0")]
+    span = levels[0].agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).first()  # one row
+    lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
+    parent = F.floor(F.col("chunk") / FAN).alias("g")
+    while lo != hi:
+        lo, hi = lo // FAN, hi // FAN
+        levels.append(store(by_group(levels[-1].select("*", parent), ["k", "g"], "chunk", join, node), f"cooldown-{len(levels)}"))
+    entry = levels[-1].select("k", "chunk", F.lit(None).cast("bigint").alias("last"))
+    for below in reversed(levels[:-1]):
+        down = below.select("*", parent).join(entry.withColumnRenamed("chunk", "g"), ["k", "g"])
+        entry = by_group(down, ["k", "g"], "chunk", descend, "k string, chunk bigint, last bigint")
+    kept = by_group(d.join(entry, ["k", "chunk"]), ["k", "chunk"], "us", emit, "id bigint")
     return events.join(kept.withColumnRenamed("id", event_id), event_id, "left_semi")
 
 
+def by_group(df: DataFrame, keys: Sequence[str], order: str, fn, schema: str) -> DataFrame:
+    """Rows that ``fn`` yields for each group of ``keys``, given as arrays in ``order``.
+
+    Groups stream past in sorted partitions, so many small ones cost no more than
+    their rows; only the group at hand is held.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            rest = yield from finished(pdf, False)
+        if rest is not None:
+            yield from finished(rest, True)
+
+    def finished(pdf, last):
+        if not len(pdf):
+            return None
+        fresh = np.zeros(len(pdf), bool)
+        fresh[0] = True
+        for key in keys:
+            values = pdf[key].to_numpy()
+            fresh[1:] |= values[1:] != values[:-1]
+        bounds = [*np.flatnonzero(fresh).tolist(), len(pdf)]
+        columns, rows = {c: pdf[c].to_numpy() for c in pdf.columns}, []
+        for a, b in zip(bounds, bounds[1:] if last else bounds[1:-1]):
+            rows.extend(fn({c: v[a:b] for c, v in columns.items()}))
+        if rows:
+            out = pd.DataFrame(rows, columns=names)
+            yield out.assign(last=out["last"].astype("Int64")) if "last" in names else out
+        return None if last else pdf.iloc[bounds[-2] :]
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 def rate_limited(alerts: DataFrame, cal: DataFrame, channel: str, kind: str, ts: str, event_id: str, seconds: int = RATE_LIMIT_SECONDS) -> DataFrame:
     """Alerts sent after holiday suppression and the minimum spacing per channel."""
     day = cal.select(F.col("date").alias("_day"), F.col("is_trading").alias("_open"))

@@ -92,7 +92,7 @@ def platt(samples: DataFrame, score: str, outcome: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     train = samples.select(array_to_vector(F.array(F.col(score).cast("double"))).alias("features"), F.col(outcome).cast("double").alias("label"))
-    fit = LogisticRegression(maxIter=200, regParam=0.0, standardization=True).fit(train)
+    fit = LogisticRegression(maxIter=500, tol=1e-12, regParam=0.0, standardization=True).fit(train)
     # two numbers of the fitted model, not data
     return samples.sparkSession.range(1).select(dbl(float(fit.coefficients[0])).alias("platt_a"), dbl(float(fit.intercept)).alias("platt_b"))
 

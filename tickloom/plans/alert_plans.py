@@ -61,7 +61,8 @@ def _(t):
     return deduped(t).select("event_id", F.concat_ws("|", "kind", "desk").alias("alert_key"))
 
 
-@query("N3_alert_cooldown_stream", N3_SQL)
+# rows that the final watermark (the latest time less the lateness, in whole milliseconds) has not passed are undecided
+@query("N3_alert_cooldown_stream", N3_SQL + " WHERE e.us < ((SELECT max(us) FROM v_ev) // 1000 - 14400000) * 1000")
 def _(t):
     schema = t.read("events").schema
     src = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.root)

@@ -143,9 +143,16 @@ def _(t):
     return fo.fit_bins(samples(t), "model", "predicted", "outcome", ["doc_id"])
 
 
-@query("M8_platt_fit")
+@query("M8_platt_fit", """
+WITH RECURSIVE f AS (
+  SELECT 0 AS i, 0.0e0 AS a, 0.0e0 AS b
+  UNION ALL
+  SELECT i + 1, a + (sw * gx - swx * g) / (sw * swxx - swx * swx), b + (swxx * g - swx * gx) / (sw * swxx - swx * swx)
+  FROM (SELECT i, a, b, sum(p * (1 - p)) AS sw, sum(p * (1 - p) * x) AS swx, sum(p * (1 - p) * x * x) AS swxx, sum(y - p) AS g, sum((y - p) * x) AS gx
+        FROM (SELECT f.i, f.a, f.b, s.predicted AS x, s.outcome AS y, 1 / (1 + exp(-(f.a * s.predicted + f.b))) AS p FROM f, v_samples s WHERE f.i < 30) GROUP BY 1, 2, 3))
+SELECT round(a, 3) AS platt_a, round(b, 3) AS platt_b FROM f WHERE i = 30""")
 def _(t):
-    return fo.platt(samples(t), "predicted", "outcome").select(rnd("platt_a", 4).alias("platt_a"), rnd("platt_b", 4).alias("platt_b"))
+    return fo.platt(samples(t), "predicted", "outcome").select(rnd("platt_a", 3).alias("platt_a"), rnd("platt_b", 3).alias("platt_b"))
 
 
 _N = " + ".join(f"CAST({d} IS NOT NULL AS INT)" for d in fx.DIMENSIONS)

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the stateful rules. State per key is a few scalars."""
+"""Structured Streaming forms of the stateful rules."""
 
 from __future__ import annotations
 
@@ -10,48 +10,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tickloom.operators.alerts import walk
-from tickloom.operators.market import next_regime
 from tickloom import params
+from tickloom.operators.alerts import next_digest, severity, walk
+from tickloom.operators.market import next_regime
+from tickloom.sources.workers import ship
 
 
 def dedupe_stream(alerts: DataFrame, keys: list[str], ts: str, event_id: str, seconds: int, lateness: str = "4 hours") -> DataFrame:
-    """Cooldown from the last accepted alert of each key.
-
-    State is the last accepted time. It expires once the watermark is past the
-    cooldown, when it can no longer reject anything. Rows later than the
-    watermark are dropped by the engine.
+    """Cooldown from the last accepted alert of each key, in event time.
+
+    Rows wait in the key's state until the watermark has passed them, as an earlier
+    row may still come; then they are walked in time order. State is the last
+    accepted time and the waiting rows of one lateness; without waiting rows it
+    expires once the cooldown is over. Rows later than the watermark are dropped by
+    the engine, which counts them in its progress. Rows that no watermark has
+    passed yet are not decided.
     """
     gap = seconds * 1_000_000
+    ship(alerts.sparkSession)
     x = alerts.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lateness).select(
         F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]).alias("k"), "_ts", F.unix_micros("_ts").alias("us"), F.col(event_id).alias("event_id"))
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last, times, ids = state.get if state.exists else (None, [], [])
+        waiting = dict(zip(times, ids))
+        if not state.hasTimedOut:
+            for batch in batches:
+                for us, event in zip(batch["us"].tolist(), batch["event_id"].tolist()):
+                    waiting[us] = min(event, waiting.get(us, event))
+        now = state.getCurrentWatermarkMs()
+        due = np.array(sorted(us for us in waiting if us < now * 1000), dtype=np.int64)
+        taken = [int(due[i]) for i in walk(due, last, gap)]
+        out = [waiting[us] for us in taken]
+        last = taken[-1] if taken else last
+        for us in due.tolist():
+            del waiting[us]
+        rest = sorted(waiting)
+        if rest or (last is not None and last + gap >= now * 1000):
+            state.update((last, rest, [waiting[us] for us in rest]))
+            state.setTimeoutTimestamp(max(now + 1, (rest[0] if rest else last + gap) // 1000))
+        elif state.exists:
             state.remove()
-            return
-        # one small row per distinct time of this key in this trigger
-        rows = pd.concat([b[["us", "event_id"]] for b in batches]).sort_values(["us", "event_id"]).drop_duplicates("us")
-        last = state.get[0] if state.exists else None
-        t = rows["us"].to_numpy()
-        taken = walk(t, last, gap)
-        if taken:
-            last = int(t[taken[-1]])
-            state.update((last,))
-        if last is not None:
-            due = (last + gap) // 1000 + 1
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            else:
-                state.remove()
-        yield pd.DataFrame({"k": key[0], "event_id": rows["event_id"].to_numpy()[np.array(taken, dtype=int)]})
-
-    return x.groupBy("k").applyInPandasWithState(step, "k string, event_id bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        yield pd.DataFrame({"k": [key[0]] * len(out), "event_id": pd.array(out, dtype="int64")})
+
+    return x.groupBy("k").applyInPandasWithState(step, "k string, event_id bigint", "last bigint, times array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def regime_stream(raw: DataFrame, market: str = "market", min_days: int = params.MIN_REGIME_DAYS) -> DataFrame:
     """Regime and days-in-regime from a stream of raw daily regimes (dates arrive in order per market)."""
 
+    ship(raw.sparkSession)
+
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         prev, days = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values("date")
@@ -67,9 +76,11 @@ def regime_stream(raw: DataFrame, market: str = "market", min_days: int = params
         step, f"{market} string, date date, regime string, days_in_regime int", "regime string, days int", "append", GroupStateTimeout.NoTimeout)
 
 
-def digest_stream(alerts: DataFrame, kind: str, ts: str, lateness: str = "4 hours") -> DataFrame:
-    """Half-day digest counts with a watermark; a window is emitted once no late row can change it."""
-    return alerts.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lateness).groupBy(F.window("_ts", "12 hours"), kind).agg(F.count("*").alias("alerts"))
+def digest_stream(alerts: DataFrame, kind: str, ts: str, offset_hours: int = 8, lateness: str = "4 hours") -> DataFrame:
+    """The digests of ``operators.alerts.digests`` as a stream; a digest is emitted once no late row can change it."""
+    local = F.col(ts) + F.expr(f"INTERVAL {offset_hours} HOURS")
+    info = alerts.where(severity(F.col(kind)) == "info").withColumn("digest", next_digest(local).cast("timestamp")).withWatermark("digest", lateness)
+    return info.groupBy("digest", kind).agg(F.count("*").alias("alerts"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
