@@ -93,30 +93,32 @@ def price_path(bars: DataFrame, trading_days: DataFrame | None = None) -> DataFr
     return x.withColumn("time_t", F.min(can_exit).over(back)).withColumn("n_t", F.max("t").over(Window.partitionBy(KEY)))
 
 
-def simulate_exits(trades: DataFrame, path: DataFrame, max_days: int = 20, end_reason: str = "max_holding_days") -> DataFrame:
+def simulate_exits(trades: DataFrame, path: DataFrame, max_days: int = 20, end_reason: str = "max_holding_days", key: Sequence[str] = (KEY, "entry_ord")) -> DataFrame:
     """First stop, target or time exit of every trade; the stop wins a tie on the same bar.
 
-    Trades carry instrument, entry_ord, stop_loss, take_profit. A trade without
+    Trades carry instrument, entry_ord, stop_loss, take_profit; ``key`` names the columns that tell them apart. A trade without
     any exit closes ``max_days`` bars later or on the last bar.
     """
     at = path.select(KEY, F.col("ord").alias("entry_ord"), F.col("t").alias("entry_t"), "n_t", "n_bars")
     limit = path.where("is_trading").select(KEY, F.col("t").alias("_t20"), F.col("time_t").alias("_end"))
-    tr = trades.withColumn("_id", F.struct(*trades.columns)).join(at, [KEY, "entry_ord"])
+    ids = [F.col(c).alias(f"_id{i}") for i, c in enumerate(key)]
+    names = [f"_id{i}" for i in range(len(key))]
+    tr = trades.select("*", *ids).join(at, [KEY, "entry_ord"])
     tr = tr.withColumn("_t20", F.col("entry_t") + max_days).join(limit, [KEY, "_t20"], "left")
     last = F.coalesce(F.col("_end"), F.col("n_t"))
     steps = F.when(last > F.col("entry_t"), F.sequence(F.col("entry_t") + 1, last))
-    walk = tr.select("_id", KEY, "entry_t", "stop_loss", "take_profit", F.explode(steps).alias("t"))
+    walk = tr.select(*names, KEY, "entry_t", "stop_loss", "take_profit", F.explode(steps).alias("t"))
     bars = path.where("is_trading").select(KEY, "t", "date", "price", "is_ex", "cash_div", "stock_div")
     check = F.when(F.col("is_ex"), (F.col("price") + F.col("cash_div")) * (dbl(1) + F.col("stock_div") / 10.0)).otherwise(F.col("price"))
     hit = walk.join(bars, [KEY, "t"]).withColumn("_p", check)
     event = F.when(F.col("_p") <= F.col("stop_loss"), F.struct(F.col("stop_loss").alias("exit_price"), F.lit("stop_loss").alias("exit_reason"), F.col("date").alias("exit_date"))).when(
         F.col("_p") >= F.col("take_profit"), F.struct(F.col("take_profit").alias("exit_price"), F.lit("take_profit").alias("exit_reason"), F.col("date").alias("exit_date"))).when(
         ~F.col("is_ex") & (F.col("t") - F.col("entry_t") >= max_days), F.struct(F.col("price").alias("exit_price"), F.lit("max_holding_days").alias("exit_reason"), F.col("date").alias("exit_date")))
-    first = hit.withColumn("_e", event).where(F.col("_e").isNotNull()).groupBy("_id").agg(F.min_by("_e", "t").alias("_e"))
+    first = hit.withColumn("_e", event).where(F.col("_e").isNotNull()).groupBy(*names).agg(F.min_by("_e", "t").alias("_e"))
     fall = path.select(KEY, F.col("ord").alias("_ord"), F.col("price").alias("_fp"), F.col("date").alias("_fd"))
-    out = tr.select("_id", KEY, F.least(F.col("entry_ord") + max_days, F.col("n_bars")).alias("_ord")).join(first, "_id", "left").join(fall, [KEY, "_ord"], "left")
+    out = tr.withColumn("_ord", F.least(F.col("entry_ord") + max_days, F.col("n_bars"))).join(first, names, "left").join(fall, [KEY, "_ord"], "left")
     return out.select(
-        "_id.*",
+        *trades.columns,
         F.coalesce(F.col("_e.exit_price"), F.col("_fp")).alias("exit_price"),
         F.coalesce(F.col("_e.exit_reason"), F.lit(end_reason)).alias("exit_reason"),
         F.coalesce(F.col("_e.exit_date"), F.col("_fd")).alias("exit_date"))
@@ -140,13 +142,23 @@ def net_pnl(entry: Column, exit_: Column, cost: Column) -> Column:
     return ((exit_ - entry) / entry - cost) * 100
 
 
-def equity_curve(trades: DataFrame, group: Sequence[str], chunk: str, order: Sequence[Column | str], pnl: str = "net") -> DataFrame:
-    """Cumulative result, running peak (from zero), running maximum, drawdown and position after every trade."""
+#: width of the ranges that a chunk's trades are divided into
+SPLIT = 1024
+
+
+def equity_curve(trades: DataFrame, group: Sequence[str], chunk: str, order: Sequence[Column | str], pnl: str = "net", split: str | None = None) -> DataFrame:
+    """Cumulative result, running peak (from zero), running maximum, drawdown and position after every trade.
+
+    ``split`` is the numeric column that orders the trades of a chunk; its ranges
+    divide a chunk that would hold too many for one task.
+    """
     x = trades.withColumn("_one", F.lit(1))
+    if split:
+        x, chunk = x.withColumn("_part", F.struct(F.col(chunk).alias("c"), F.floor(F.col(split) / SPLIT).alias("r"))), "_part"
     out = running(
         x, group, chunk, order, {"cumulative": pnl, "_pos": "_one"},
         {"peak": (pnl, "cumulative", 0.0), "best": (pnl, "cumulative", None)})
-    return out.withColumn("drawdown", F.col("peak") - F.col("cumulative")).withColumn("idx", F.col("_pos") - 1).drop("_pos", "_one")
+    return out.withColumn("drawdown", F.col("peak") - F.col("cumulative")).withColumn("idx", F.col("_pos") - 1).drop("_pos", "_one", "_part")
 
 
 def backtest_summary(curve: DataFrame, group: Sequence[str], pnl: str = "net", days: str = "holding_days") -> DataFrame:
@@ -399,7 +411,7 @@ def scenario_vector(i: int, dims: int) -> list[float]:
     return [round(x / sum(draws), 4) for x in draws]
 
 
-def weight_search(signals: DataFrame, dims: Sequence[str], chunk: str, order: Sequence[str], n: int = 100, minimum: float = 55.0) -> DataFrame:
+def weight_search(signals: DataFrame, dims: Sequence[str], chunk: str, order: Sequence[str], n: int = 100, minimum: float = 55.0, split: str | None = None) -> DataFrame:
     """Metrics of the trades each weight vector would have taken, with the objective.
 
     Each signal is paired with the fixed list of vectors; only those it passes
@@ -409,7 +421,7 @@ def weight_search(signals: DataFrame, dims: Sequence[str], chunk: str, order: Se
     terms = [F.col(d) * F.col(f"w_{d}") for d in dims]
     taken = x.where(sum(terms[1:], terms[0]) >= minimum)
     weights = [f"w_{d}" for d in dims]
-    m = performance(equity_curve(taken, ["scenario", *weights], chunk, order, "net_pnl_pct"), ["scenario", *weights])
+    m = performance(equity_curve(taken, ["scenario", *weights], chunk, order, "net_pnl_pct", split), ["scenario", *weights])
     m = m.withColumn("objective", rnd(F.col("sharpe_ratio") + F.col("win_rate") / 100 - F.col("max_drawdown") / 100, 6))
     best = Window.partitionBy(F.lit(0)).orderBy(F.desc("objective"), "scenario")  # one row per vector
     return m.withColumn("best", F.row_number().over(best) == 1)

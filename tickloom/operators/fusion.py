@@ -97,9 +97,18 @@ def platt(samples: DataFrame, score: str, outcome: str) -> DataFrame:
     return samples.sparkSession.range(1).select(dbl(float(fit.coefficients[0])).alias("platt_a"), dbl(float(fit.intercept)).alias("platt_b"))
 
 
-def rank_batch(scored: DataFrame, batch: str, score: str, key: str) -> DataFrame:
-    w = Window.partitionBy(batch).orderBy(F.desc(score), key)
-    return scored.withColumn("rank", F.row_number().over(w))
+def rank_batch(scored: DataFrame, batch: str, score: str, key: str, digits: int = 4, width: int = 4096) -> DataFrame:
+    """Rank within a batch by falling score, then by the numeric ``key``.
+
+    A value's rank follows from the counts of the values above it (at most
+    10**digits values of a probability rounded to ``digits``); rows of one value
+    are numbered by ranges of the key. No batch is sorted in one task.
+    """
+    values = scored.groupBy(batch, score).agg(F.count("*").alias("_m"))
+    above = Window.partitionBy(batch).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.select(batch, score, F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_above"))
+    x = running(scored.withColumn("_c", F.floor(F.col(key) / width)).withColumn("_one", F.lit(1)), [batch, score], "_c", [key], {"_pos": "_one"})
+    return x.join(values, [batch, score]).withColumn("rank", F.col("_above") + F.col("_pos")).drop("_c", "_one", "_pos", "_above")
 
 
 def batch_summary(scored: DataFrame, batch: str, score: str) -> DataFrame:

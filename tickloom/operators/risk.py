@@ -28,11 +28,11 @@ def trailing_pct(grade: Column) -> Column:
     return lookup(grade, TRAILING_TIERS, DEFAULT_TRAIL)
 
 
-def position_limits(positions: DataFrame, pairs: DataFrame, portfolio: str = "portfolio") -> DataFrame:
-    """Share of stock and sector, correlation alerts and action per position."""
+def position_limits(positions: DataFrame, pairs: DataFrame, portfolio: str = "portfolio", limit: float = CORRELATION_LIMIT) -> DataFrame:
+    """Share of stock and sector, correlation alerts and action per position. Pairs are those within a portfolio, whose size its position limits bound."""
     w, ws = Window.partitionBy(portfolio), Window.partitionBy(portfolio, "sector")
     x = positions.withColumn("_tot", F.sum("value").over(w)).withColumn("_sec", F.sum("value").over(ws))
-    hot = pairs.where(F.abs("correlation") > CORRELATION_LIMIT)
+    hot = pairs.where(F.abs("correlation") > limit)
     alerts = hot.select(portfolio, F.col("a").alias(KEY)).unionByName(hot.select(portfolio, F.col("b").alias(KEY))).groupBy(portfolio, KEY).agg(F.count("*").alias("alerts"))
     x = x.join(alerts, [portfolio, KEY], "left").withColumn("alerts", F.coalesce("alerts", F.lit(0)))
     x = x.withColumn("stock_pct", rnd(F.col("value") / F.col("_tot"), 4)).withColumn("sector_pct", rnd(F.col("_sec") / F.col("_tot"), 4))
@@ -173,13 +173,13 @@ def smooth_allocation(pairs: DataFrame, group: str, max_change: float = 0.05) ->
     return x.withColumn("weight", F.col("_s") / F.sum("_s").over(w)).withColumn("change", F.col("_s") - F.col("_o")).withColumn("limited", hit).drop("_o", "_n", "_d", "_s")
 
 
-def violations(weights: DataFrame, sectors: DataFrame, pairs: DataFrame, portfolio: str = "portfolio") -> DataFrame:
+def violations(weights: DataFrame, sectors: DataFrame, pairs: DataFrame, portfolio: str = "portfolio", limit: float = CORRELATION_LIMIT) -> DataFrame:
     """One row per broken rule: stock cap, sector cap, correlated pairs, total."""
     v = lambda kind, subject, val: [F.lit(kind).alias("rule"), subject.cast("string").alias("subject"), rnd(val, 4).alias("value")]
     stock = weights.where(F.col("weight") > MAX_STOCK + 0.001).select(portfolio, *v("single_stock_cap", F.col(KEY), F.col("weight")))
     sec = weights.join(sectors.select(KEY, "sector"), KEY, "left").groupBy(portfolio, F.coalesce("sector", F.lit("other")).alias("sector")).agg(F.sum("weight").alias("w"))
     sector = sec.where(F.col("w") > MAX_SECTOR + 0.001).select(portfolio, *v("sector_cap", F.col("sector"), F.col("w")))
-    corr = pairs.where(F.abs("correlation") > CORRELATION_LIMIT).groupBy(portfolio).agg(F.count("*").alias("n")).where("n > 2").select(
+    corr = pairs.where(F.abs("correlation") > limit).groupBy(portfolio).agg(F.count("*").alias("n")).where("n > 2").select(
         portfolio, *v("correlation_risk", F.lit("pairs"), F.col("n")))
     tot = weights.groupBy(portfolio).agg(F.sum("weight").alias("w")).where(F.abs(F.col("w") - 1.0) > 0.001).select(portfolio, *v("total_weight", F.lit("sum"), F.col("w")))
     return stock.unionByName(sector).unionByName(corr).unionByName(tot)
@@ -187,12 +187,11 @@ def violations(weights: DataFrame, sectors: DataFrame, pairs: DataFrame, portfol
 
 def expected_from_score(candidates: DataFrame, batch: str, score: str, minimum: float = 0.35, fallback: int = 10) -> DataFrame:
     """Candidates above the minimum, or the best ``fallback`` of a batch that has none; expected return from the score."""
-    w = Window.partitionBy(batch).orderBy(F.desc(score), KEY)
-    ok = candidates.withColumn("_ok", F.col(score) >= minimum)
-    none = ok.groupBy(batch).agg(F.max(F.col("_ok").cast("int")).alias("_any"))
-    x = ok.join(none, batch).withColumn("_r", F.row_number().over(w))
-    x = x.where(F.col("_ok") | ((F.col("_any") == 0) & (F.col("_r") <= fallback)))
-    return x.withColumn("expected", (F.col(score) - 0.5) * 0.002).drop("_ok", "_any", "_r")
+    good = candidates.where(F.col(score) >= minimum)
+    none = candidates.groupBy(batch).agg(F.max(F.coalesce((F.col(score) >= minimum).cast("int"), F.lit(0))).alias("_any")).where("_any = 0").select(batch)
+    w = Window.partitionBy(batch).orderBy(F.desc(score), KEY)  # a group limit: ``fallback`` rows per batch and task
+    best = candidates.join(none, batch, "left_semi").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= fallback).drop("_r")
+    return good.unionByName(best).withColumn("expected", (F.col(score) - 0.5) * 0.002)
 
 
 def previous_asof(dates: DataFrame, stored: DataFrame, date: str = "date") -> DataFrame:

@@ -8,7 +8,7 @@ from tickloom.functions.typing import letter_grade, lookup, rnd
 from tickloom.operators import alerts as al
 from tickloom.plans.backtest_plans import results
 from tickloom.plans.fundamental_plans import deep
-from tickloom.plans.market_plans import raw_regimes
+from tickloom.plans.market_plans import REGIME_SQL, regimes
 from tickloom.plans.registry import query
 from tickloom.plans.screen_plans import screened
 from tickloom.sources.sql_views import VIEWS
@@ -101,10 +101,10 @@ def _(t):
     return alerts(t).groupBy("kind", al.route(F.col("kind")).alias("route")).agg(F.count("*").alias("alerts"))
 
 
-@query("N8_regime_changes", """
-SELECT date, old, raw_regime AS new FROM (SELECT date, raw_regime, lag(raw_regime) OVER (ORDER BY date) AS old FROM v_raw_regime) WHERE old IS NOT NULL AND old <> raw_regime""")
+@query("N8_regime_changes", REGIME_SQL.rsplit("SELECT", 1)[0] + """
+SELECT date, old, regime AS new FROM (SELECT date, regime, lag(regime) OVER (ORDER BY date) AS old FROM f) WHERE old IS NOT NULL AND old <> regime""")
 def _(t):
-    return al.changes(raw_regimes(t).select("market", "date", "raw_regime"), "market", "raw_regime").select("date", "old", "new")
+    return al.changes(regimes(t).select("market", "date", "regime"), "market", "regime").select("date", "old", "new")
 
 
 @query("N9_instrument_code", """

@@ -88,7 +88,7 @@ def path(t):
 
 def closed(t):
     tr = entries(t).select("month", "date", "rank", "instrument", "sector", "entry_ord", "entry_price", "stop_loss", "take_profit", "stop_type", "score")
-    return bt.simulate_exits(tr, path(t))
+    return bt.simulate_exits(tr, path(t), key=("month", "instrument"))
 
 
 def results(t):
@@ -337,7 +337,7 @@ def _simulated(t):
     c = c.withColumn("stop_type", F.when(F.col("atr") > 0, "atr").otherwise("fallback_pct")).select(
         "month", "date", "instrument", "sector", "entry_ord", "entry_price", "stop_loss", "take_profit", "stop_type", "momentum")
     bars = t.panel.select("instrument", "date", "ord", "n_bars", F.col("adj_close").alias("price"), F.lit(None).cast("double").alias("cash_div"), F.lit(None).cast("double").alias("stock_div"))
-    x = bt.simulate_exits(c, bt.price_path(bars), end_reason="end_of_data")
+    x = bt.simulate_exits(c, bt.price_path(bars), end_reason="end_of_data", key=("month", "instrument"))
     net = bt.net_pnl(F.col("entry_price"), F.col("exit_price"), round_trip_cost(code()))
     return x.withColumn("net_pnl_pct", rnd(net, 2)).withColumn("win", net > 0)
 
@@ -361,7 +361,7 @@ FROM (SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE win) * 1.0e0 / count(
 
 @query("K15_performance_metrics", _metrics_sql("v_sim", "sector", "month, instrument"))
 def _(t):
-    return bt.performance(bt.equity_curve(simulated(t), ["sector"], "month", ["instrument"], "net_pnl_pct"), ["sector"])
+    return bt.performance(bt.equity_curve(simulated(t), ["sector"], "month", ["instrument"], "net_pnl_pct", "instrument"), ["sector"])
 
 
 VIEWS["v_wf"] = """
@@ -372,7 +372,7 @@ VIEWS["v_wfm"] = _metrics_sql("v_wf", '"window"', "month, instrument")
 
 def wf_metrics(t):
     x = bt.walk_forward(simulated(t), t.days, "date")
-    return bt.performance(bt.equity_curve(x, ["window"], "month", ["instrument"], "net_pnl_pct"), ["window"])
+    return bt.performance(bt.equity_curve(x, ["window"], "month", ["instrument"], "net_pnl_pct", "instrument"), ["window"])
 
 
 @query("K16_walk_forward", 'SELECT "window", total_trades, win_rate, avg_pnl, sharpe_ratio, max_drawdown FROM v_wfm')
@@ -412,7 +412,7 @@ SELECT s.*, g.scenario FROM v_signals s CROSS JOIN {_grid_sql()} WHERE revenue *
 @query("K17_weight_search", f"""
 SELECT *, row_number() OVER (ORDER BY objective DESC, scenario) = 1 AS best FROM (SELECT *, round(sharpe_ratio + win_rate / 100 - max_drawdown / 100, 6) AS objective FROM (SELECT scenario, total_trades, win_rate, sharpe_ratio, max_drawdown FROM ({_metrics_sql('v_grid', 'scenario', 'month, instrument')})))""")
 def _(t):
-    x = bt.weight_search(signals(t), DIMS, "month", ["instrument"], n=100)
+    x = bt.weight_search(signals(t), DIMS, "month", ["instrument"], n=100, split="instrument")
     return x.select("scenario", "total_trades", "win_rate", "sharpe_ratio", "max_drawdown", "objective", "best")
 
 
@@ -442,7 +442,7 @@ def _(t):
 SELECT sector, total_trades, win_rate, sharpe_ratio, NOT (total_trades < 10 OR win_rate < 45 OR sharpe_ratio < 0) AS valid,
   CASE WHEN total_trades < 10 THEN 'insufficient_trades' WHEN win_rate < 45 THEN 'win_rate_below_threshold' WHEN sharpe_ratio < 0 THEN 'negative_sharpe' ELSE 'ok' END AS reason FROM ({_metrics_sql('v_sim', 'sector', 'month, instrument')})""")
 def _(t):
-    m = bt.performance(bt.equity_curve(simulated(t), ["sector"], "month", ["instrument"], "net_pnl_pct"), ["sector"])
+    m = bt.performance(bt.equity_curve(simulated(t), ["sector"], "month", ["instrument"], "net_pnl_pct", "instrument"), ["sector"])
     return bt.accept_weights(m).select("sector", "total_trades", "win_rate", "sharpe_ratio", "valid", "reason")
 
 

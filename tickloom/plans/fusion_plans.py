@@ -173,7 +173,9 @@ def _(t):
 
 @query("M10_fusion_ranking", "SELECT instrument, month, ensemble_score, row_number() OVER (PARTITION BY month ORDER BY ensemble_score DESC, instrument) AS rank FROM v_ens")
 def _(t):
-    r = fo.rank_batch(scored(t)[0], "month", "ensemble_score", "instrument")
+    # read twice, for the counts of its values and for its rows
+    scores = t.shared("ensemble", ("lineitem",), lambda: scored(t)[0].select("instrument", "month", "ensemble_score"))
+    r = fo.rank_batch(scores, "month", "ensemble_score", "instrument")
     return r.select("instrument", "month", "ensemble_score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -181,4 +183,4 @@ def _(t):
 SELECT month, count(*) AS total, round(round(sum(ensemble_score), 6) / count(*), 4) AS avg_score, max(ensemble_score) AS max_score, min(ensemble_score) AS min_score,
   count(*) FILTER (WHERE ensemble_score >= 0.65e0) AS high_conviction, count(*) FILTER (WHERE ensemble_score < 0.35e0) AS low_conviction FROM v_ens GROUP BY month""")
 def _(t):
-    return fo.batch_summary(scored(t)[0], "month", "ensemble_score")
+    return fo.batch_summary(t.shared("ensemble", ("lineitem",), lambda: scored(t)[0].select("instrument", "month", "ensemble_score")), "month", "ensemble_score")

@@ -86,7 +86,12 @@ def _(t):
 
 
 VIEWS["v_xsig"] = """
-SELECT date, ((day(date) * 7) % 41 - 20) / 100.0e0 AS signal FROM v_days"""
+SELECT date, least(0.2e0, greatest(-0.2e0, round(
+   CASE WHEN v > 0 THEN CASE WHEN v < 15 THEN 0.1e0 WHEN v > 25 THEN -0.1e0 ELSE round(0.1e0 - (v - 15) * 0.02e0, 4) END ELSE 0 END
+   + CASE WHEN fxc < -0.5e0 THEN -0.1e0 WHEN fxc > 0.5e0 THEN 0.05e0 ELSE 0 END
+   + CASE WHEN pc - ic < -2 THEN -0.05e0 WHEN pc - ic > 2 THEN 0.05e0 ELSE 0 END, 4))) AS signal
+FROM (SELECT date, round((vix - 28) * 20 + 20, 4) AS v, round((fx / lag(fx) OVER w - 1) * 100, 4) AS fxc, round((peer / lag(peer) OVER w - 1) * 300, 4) AS pc, round((idx / lag(idx) OVER w - 1) * 300, 4) AS ic
+  FROM v_wide WINDOW w AS (ORDER BY date))"""
 VIEWS["v_override"] = """
 SELECT r.date, raw_regime, signal, CASE WHEN signal < -0.15e0 THEN CASE raw_regime WHEN 'normal' THEN 'caution' WHEN 'caution' THEN 'stress' WHEN 'stress' THEN 'crisis' ELSE raw_regime END
   WHEN signal > 0.15e0 THEN CASE raw_regime WHEN 'crisis' THEN 'stress' WHEN 'stress' THEN 'caution' WHEN 'caution' THEN 'normal' ELSE raw_regime END ELSE raw_regime END AS regime
@@ -95,7 +100,7 @@ FROM v_raw_regime r JOIN v_xsig x ON x.date = r.date"""
 
 @query("J6_cross_asset_override", "SELECT date, raw_regime, signal, regime FROM v_override")
 def _(t):
-    r = raw_regimes(t).withColumn("signal", ((F.dayofmonth("date") * 7) % 41 - 20) / 100.0)
+    r = raw_regimes(t).join(cross_asset(t), "date")
     return r.select("date", "raw_regime", "signal", mk.cross_asset_override(F.col("raw_regime"), F.col("signal")).alias("regime"))
 
 
@@ -112,7 +117,7 @@ SELECT date, raw_regime, regime, d AS days_in_regime FROM f"""
 
 
 def regimes(t):
-    raw = raw_regimes(t).withColumn("signal", ((F.dayofmonth("date") * 7) % 41 - 20) / 100.0)
+    raw = raw_regimes(t).join(cross_asset(t), "date")
     raw = raw.withColumn("raw_regime", mk.cross_asset_override(F.col("raw_regime"), F.col("signal")))
     return mk.regime_path(raw)
 
@@ -197,14 +202,12 @@ def _(t):
     return mk.pair_correlation(w, "idx", "peer").unionByName(mk.pair_correlation(w, "idx", "fx", -1.0)).unionByName(mk.pair_correlation(w, "idx", "vix"))
 
 
-@query("J13_cross_asset_signal", """
-SELECT date, least(0.2e0, greatest(-0.2e0, round(
-   CASE WHEN v > 0 THEN CASE WHEN v < 15 THEN 0.1e0 WHEN v > 25 THEN -0.1e0 ELSE round(0.1e0 - (v - 15) * 0.02e0, 4) END ELSE 0 END
-   + CASE WHEN fxc < -0.5e0 THEN -0.1e0 WHEN fxc > 0.5e0 THEN 0.05e0 ELSE 0 END
-   + CASE WHEN pc - ic < -2 THEN -0.05e0 WHEN pc - ic > 2 THEN 0.05e0 ELSE 0 END, 4))) AS signal
-FROM (SELECT date, round((vix - 28) * 20 + 20, 4) AS v, round((fx / lag(fx) OVER w - 1) * 100, 4) AS fxc, round((peer / lag(peer) OVER w - 1) * 300, 4) AS pc, round((idx / lag(idx) OVER w - 1) * 300, 4) AS ic
-  FROM v_wide WINDOW w AS (ORDER BY date))""")
+@query("J13_cross_asset_signal", "SELECT date, signal FROM v_xsig")
 def _(t):
+    return cross_asset(t)
+
+
+def cross_asset(t):
     from pyspark.sql import Window
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     ch = lambda c, k: rnd((F.col(c) / F.lag(c).over(w) - 1) * k, 4)
