@@ -151,6 +151,7 @@ def _(t):
     return fun.sentiment_by(articles_once(t), ["instrument"])
 
 
+PAGE_DATES = r"<time[^>]*>\s*(\d{4}-\d{2}-\d{2})"
 PAGE_TITLES = "(?is)<(?:h1|title|a href)[^>]*>(.*?)</(?:h1|title|a)>"
 
 
@@ -161,7 +162,7 @@ SELECT page_id, pos, title, '2024-03-01' AS date FROM (
 WHERE length(title) >= 6""")
 def _(t):
     p = t.read("pages").select("page_id", "html")
-    return fun.extract_headlines(p, title_pattern=PAGE_TITLES, default_date=DOC_DAY, must_match=None).select("page_id", "pos", "title", "date")
+    return fun.extract_headlines(p, PAGE_TITLES, PAGE_DATES, default_date=DOC_DAY, must_match=None).select("page_id", "pos", "title", "date")
 
 
 VIEWS["v_q0"] = """

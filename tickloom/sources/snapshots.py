@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.errors import AnalysisException
 
 
 def write_json_snapshot(df: DataFrame, root: str, dataset: str, date: str) -> None:
@@ -18,12 +17,10 @@ def write_json_snapshot(df: DataFrame, root: str, dataset: str, date: str) -> No
 def read_dataset(spark: SparkSession, root: str, dataset: str, schema: StructType, required: bool = True) -> DataFrame | None:
     """Typed read with bad rows kept in ``_corrupt``; a missing optional dataset gives None."""
     full = StructType([*schema.fields]).add("_corrupt", "string")
-    try:
-        return spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/{dataset}")
-    except AnalysisException:
-        if required:
-            raise
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{dataset}")
+    if not required and not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
+    return spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/{dataset}")
 
 
 def on_date(df: DataFrame, date: str, value=None) -> DataFrame:
