@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,6 +13,7 @@ from tickloom.functions import typing as ty
 from tickloom.functions.typing import lookup, rnd
 from tickloom.operators import panel
 from tickloom.operators import quality as qa
+from tickloom.plans.market_plans import raw_regimes
 from tickloom.plans.panel_plans import trades
 from tickloom.plans.registry import query
 from tickloom.plans.screen_plans import screened
@@ -140,12 +144,16 @@ def _(t):
 @query("A14_load_counts", """
 SELECT 'bars' AS "table", count(*) FILTER (WHERE date >= DATE '1999-01-01') AS inserted, count(*) FILTER (WHERE date < DATE '1999-01-01') AS skipped FROM v_bars
 UNION ALL SELECT 'actions', count(DISTINCT (instrument, ex_date)) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v_actions_all o WHERE o.source = 'official' AND o.instrument = a.instrument AND o.ex_date = a.ex_date)),
-  count(*) - count(DISTINCT (instrument, ex_date)) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v_actions_all o WHERE o.source = 'official' AND o.instrument = a.instrument AND o.ex_date = a.ex_date)) FROM v_actions_all a""")
+  count(*) - count(DISTINCT (instrument, ex_date)) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v_actions_all o WHERE o.source = 'official' AND o.instrument = a.instrument AND o.ex_date = a.ex_date)) FROM v_actions_all a
+UNION ALL SELECT 'regimes', count(*) FILTER (WHERE date >= DATE '1999-01-01'), count(*) FILTER (WHERE date < DATE '1999-01-01') FROM v_raw_regime
+UNION ALL SELECT 'trades', count(*) FILTER (WHERE entry_date >= DATE '1999-01-01'), count(*) FILTER (WHERE entry_date < DATE '1999-01-01') FROM v_trades""")
 def _(t):
-    b, a = t.bars.select("instrument", "date"), t.actions_all
+    # what was loaded up to 1998 (official actions), then everything again
+    b, a, r, tr = t.bars.select("instrument", "date"), t.actions_all, raw_regimes(t).select("date", "raw_regime"), trades(t)
     return sn.load_counts(
-        [("bars", b.where("date < '1999-01-01'")), ("actions", a.where("source = 'official'"))], [("bars", b), ("actions", a)],
-        {"bars": ["instrument", "date"], "actions": ["instrument", "ex_date"]})
+        [("bars", b.where("date < '1999-01-01'")), ("actions", a.where("source = 'official'")), ("regimes", r.where("date < '1999-01-01'")), ("trades", tr.where("entry_date < '1999-01-01'"))],
+        [("bars", b), ("actions", a), ("regimes", r), ("trades", tr)],
+        {"bars": ["instrument", "date"], "actions": ["instrument", "ex_date"], "regimes": ["date"], "trades": ["trade_id"]})
 
 
 @query("B1_safe_float", "SELECT instrument, date, coalesce(TRY_CAST(nullif(closing_price, 'NaN') AS DOUBLE), 0) AS close, coalesce(TRY_CAST(trade_volume AS DOUBLE), -1) AS volume FROM v_raw")
@@ -232,6 +240,27 @@ def _(t):
     return c.select("instrument", F.col("day").alias("date"), "valid", qa.default_adj_close().alias("adj_close"))
 
 
+@query("B11_record_rules", """
+SELECT 'valuation' AS dataset, count(*) AS rows, count(*) FILTER (WHERE pb - 1.5e0 < 0) AS error_rows FROM v_val_latest
+UNION ALL SELECT 'company', count(*), count(*) FILTER (WHERE s_acctbal < 0) FROM supplier
+UNION ALL SELECT 'revenue', count(*), count(*) FILTER (WHERE revenue < 1e5) FROM v_revenue
+UNION ALL SELECT 'action', count(*), count(*) FILTER (WHERE seq % 11 = 0 OR cash_div < 1.2e0) FROM v_actions_all
+UNION ALL SELECT 'regime', count(*), count(*) FILTER (WHERE day(date) = 1) FROM v_raw_regime
+UNION ALL SELECT 'holiday', count(*), count(*) FILTER (WHERE name = 'Eve') FROM v_raw_hol""")
+def _(t):
+    code = F.col("instrument").cast("string").alias("code")
+    batches = {
+        "valuation": (t.valuation_latest.select(code, (F.col("pb") - 1.5).cast("string").alias("pb_ratio")), qa.valuation_rules()),
+        "company": (t.read("supplier").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_acctbal").cast("string").alias("paid_in_capital")), qa.company_rules()),
+        "revenue": (t.monthly_revenue.select(code, (F.col("revenue") - 1e5).cast("string").alias("revenue")), qa.revenue_rules()),
+        "action": (t.actions_all.select(code, F.when(F.col("seq") % 11 != 0, F.col("ex_date")).alias("ex_date"), (F.col("cash_div") - 1.2).cast("string").alias("cash_div"), "stock_div"), qa.action_rules()),
+        "regime": (raw_regimes(t).select(F.when(F.dayofmonth("date") == 1, "sideways").otherwise(F.col("raw_regime")).alias("regime"), F.lit("high").alias("confidence"), F.lit(1).alias("days_in_regime")), qa.regime_rules()),
+        "holiday": (t.raw_holidays.select("era_date", F.when(F.col("name") != "Eve", F.col("name")).alias("name")), qa.holiday_rules()),
+    }
+    checked = [qa.batch_report(qa.check_rows(df, rules).withColumn("dataset", F.lit(name)), ["dataset"]) for name, (df, rules) in batches.items()]
+    return reduce(DataFrame.unionByName, checked).select("dataset", "rows", "error_rows")
+
+
 @query("B12_batch_validation", """
 SELECT snapshot, count(*) AS rows, count(*) FILTER (WHERE errors = '') AS valid_rows, count(*) FILTER (WHERE errors <> '') AS error_rows, round(count(*) FILTER (WHERE errors <> '') * 1.0e0 / count(*), 6) AS error_rate,
   count(*) FILTER (WHERE errors <> '') * 1.0e0 / count(*) > 0.05e0 AS warn FROM v_raw_checked GROUP BY 1""")
