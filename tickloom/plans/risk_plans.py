@@ -10,6 +10,7 @@ from tickloom.operators import backtest as bt
 from tickloom.operators import indicators as ind
 from tickloom.operators import risk as rk
 from tickloom.plans.backtest_plans import SOURCES, allocations
+from tickloom.plans.market_plans import REGIME_SQL, regimes
 from tickloom.plans.panel_plans import trades as order_trades
 from tickloom.plans.registry import query
 from tickloom.sources.sql_views import VIEWS
@@ -253,10 +254,24 @@ def _(t):
     return rk.pnl_var(order_trades(t), ["instrument"])
 
 
-@query("L14_dashboard_risk", """
+def drawdowns(t):
+    """Deepest fall of each portfolio's weighted return path from its peak, over the last 60 bars before entry."""
+    path = returns60(t).join(weights(t), ["portfolio", "instrument"]).groupBy("portfolio", "k").agg(F.sum(F.col("weight") * F.col("ret")).alias("r"))
+    w = Window.partitionBy("portfolio").orderBy(F.desc("k"))  # at most 60 rows per portfolio
+    path = path.withColumn("cum", F.sum("r").over(w)).withColumn("peak", F.greatest(dbl(0), F.max("cum").over(w)))
+    return path.groupBy("portfolio").agg(F.max(F.col("peak") - F.col("cum")).alias("dd"))
+
+
+@query("L14_dashboard_risk", REGIME_SQL.rsplit("SELECT", 1)[0] + """
 SELECT portfolio, CAST(least(10, CASE WHEN top > 0.4e0 THEN 3 WHEN top > 0.3e0 THEN 2 WHEN top > 0.25e0 THEN 1 ELSE 0 END + CASE WHEN dd > 0.15e0 THEN 3 WHEN dd > 0.1e0 THEN 2 WHEN dd > 0.05e0 THEN 1 ELSE 0 END + CASE WHEN lv >= 5 THEN 4 ELSE greatest(0, lv - 1) END) AS INT) AS risk_score
-FROM (SELECT portfolio, max(x) / sum(x) AS top, max(c) / 500 AS dd, any_value(CAST(month(portfolio) % 6 AS INT)) AS lv FROM (SELECT portfolio, sector, sum(value) AS x, max(conviction) AS c FROM v_pos GROUP BY 1, 2) GROUP BY 1)""")
+FROM (SELECT s.portfolio, s.top, coalesce(g.dd, 0) AS dd, CASE f.regime WHEN 'black_swan' THEN 5 WHEN 'crisis' THEN 4 WHEN 'stress' THEN 3 WHEN 'caution' THEN 2 WHEN 'normal' THEN 1 ELSE 0 END AS lv
+  FROM (SELECT portfolio, max(x) / sum(x) AS top, max(d) AS date FROM (SELECT portfolio, sector, sum(value) AS x, max(date) AS d FROM v_pos GROUP BY 1, 2) GROUP BY 1) s
+  LEFT JOIN f ON f.date = s.date
+  LEFT JOIN (SELECT portfolio, max(peak - cum) AS dd FROM (SELECT *, greatest(0, max(cum) OVER (PARTITION BY portfolio ORDER BY k DESC)) AS peak FROM (
+    SELECT portfolio, k, sum(r) OVER (PARTITION BY portfolio ORDER BY k DESC) AS cum FROM (SELECT b.portfolio, b.k, sum(p.weight * b.ret) AS r FROM v_pret b JOIN v_pwt p ON p.portfolio = b.portfolio AND p.instrument = b.instrument GROUP BY 1, 2))) GROUP BY 1) g ON g.portfolio = s.portfolio)""")
 def _(t):
-    s = positions(t).groupBy("portfolio", "sector").agg(F.sum("value").alias("x"), F.max("conviction").alias("c"))
-    p = s.groupBy("portfolio").agg((F.max("x") / F.sum("x")).alias("top"), (F.max("c") / 500).alias("dd"))
-    return p.select("portfolio", rk.dashboard_risk(F.col("top"), F.col("dd"), F.month("portfolio") % 6).alias("risk_score"))
+    s = positions(t).groupBy("portfolio", "sector").agg(F.sum("value").alias("x"), F.max("date").alias("d"))
+    p = s.groupBy("portfolio").agg((F.max("x") / F.sum("x")).alias("top"), F.max("d").alias("date"))
+    level = F.array_position(F.array(*[F.lit(r) for r in ("normal", "caution", "stress", "crisis", "black_swan")]), F.coalesce("regime", F.lit(""))).cast("int")
+    p = p.join(regimes(t).select("date", "regime"), "date", "left").join(drawdowns(t), "portfolio", "left")
+    return p.select("portfolio", rk.dashboard_risk(F.col("top"), F.coalesce("dd", dbl(0)), level).alias("risk_score"))
