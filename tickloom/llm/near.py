@@ -50,7 +50,8 @@ def band_keys(signature: Column, bands: int, rows: int) -> Column:
 def members(scratch: Scratch, units: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, id, n): the buckets of two or more units, ``n`` the size of the bucket."""
     keyed = units.select("id", F.explode(band_keys(F.col("sig"), bands, rows)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that a large bucket is one skewed side of a plain join
+    sizes = scratch.store(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     return scratch.store(keyed.join(sizes, "key"), "members")
 
 

@@ -71,56 +71,48 @@ def pieces(words: np.ndarray, piece: int, shingle: int) -> tuple[np.ndarray, np.
     return chosen, *out
 
 
-def _lines(keyed: DataFrame, shingle: int, min_words: int, size: int) -> DataFrame:
-    """(digest, d, h, start, end, words, sig) of every paragraph; sig only with a digest's first in a task."""
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("d", T.LongType()), T.StructField("h", T.LongType())] + [T.StructField(n, T.IntegerType()) for n in ("start", "end", "words")] + [T.StructField("sig", T.BinaryType())])
+def _cut(keyed: DataFrame, shingle: int, min_words: int, size: int, piece: int) -> DataFrame:
+    """Paragraphs (digest, words, sig) and pieces (k1, k2) of every text, with d, h, start, end.
+
+    Words are hashed once for both. sig comes only with a digest's first paragraph in a task.
+    """
+    numbers = [T.StructField(n, T.LongType()) for n in ("d", "h")] + [T.StructField(n, T.IntegerType()) for n in ("start", "end")]
+    schema = T.StructType([*numbers, T.StructField("digest", T.BinaryType()), T.StructField("words", T.IntegerType()), T.StructField("sig", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         minhash, sent = MinHash(size), set()
+
+        def batch_of(**columns):
+            n = len(columns["d"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(n, t) for name, t in zip(schema.names, kinds, strict=True)], names=schema.names)
+
         for batch in batches:
-            bodies, rows = binary(batch.column(2)), tuple([] for _ in schema.names)
+            bodies, lines, inner = binary(batch.column(2)), {n: [] for n in ("d", "h", "start", "end", "digest", "words", "sig")}, []
             for i, (d, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 data = bodies[i].as_py()
                 words, starts, ends = word_hashes(data)
+                chosen, one, two = pieces(words, piece, shingle)
+                if len(chosen):
+                    inner.append((np.full(len(chosen), d), np.full(len(chosen), h), starts[chosen].astype(np.int32), ends[chosen + piece - 1].astype(np.int32), one.view(np.int64), two.view(np.int64)))
                 first, end = paragraphs(data, words, starts, min_words)
                 shingles = shingle_hashes(words, shingle) if len(first) else None
                 for a, b in zip(first.tolist(), end.tolist(), strict=True):
                     digest = hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest()
-                    own = shingles[a : b - shingle + 1] if b - a >= shingle else shingle_hashes(words[a:b], shingle)
-                    sig = None if digest in sent else minhash(own).tobytes()
-                    sent.add(digest)
-                    for column, value in zip(rows, (digest, d, h, int(starts[a]), int(ends[b - 1]), b - a, sig), strict=True):
+                    sig = None
+                    if digest not in sent:
+                        sig = minhash(shingles[a : b - shingle + 1] if b - a >= shingle else shingle_hashes(words[a:b], shingle)).tobytes()
+                        sent.add(digest)
+                    for column, value in zip(lines.values(), (d, h, int(starts[a]), int(ends[b - 1]), digest, b - a, sig), strict=True):
                         column.append(value)
-                if len(sent) > 200_000:
-                    sent.clear()
-                if len(rows[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=schema.names)
-                    rows = tuple([] for _ in schema.names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=schema.names)
-
-    import pyarrow as pa
-
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return keyed.select("d", "h", "body").mapInArrow(run, schema)
-
-
-def _pieces(keyed: DataFrame, piece: int, shingle: int) -> DataFrame:
-    """(k1, k2, d, h, start, end) of every piece, in bytes."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("k1", "k2", "d", "h")] + [T.StructField(n, T.IntegerType()) for n in ("start", "end")])
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            bodies = binary(batch.column(2))
-            for i, (d, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                words, starts, ends = word_hashes(bodies[i].as_py())
-                chosen, one, two = pieces(words, piece, shingle)
-                if len(chosen):
-                    k = len(chosen)
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(k, d)), pa.array(np.full(k, h)), pa.array(starts[chosen].astype(np.int32)), pa.array(ends[chosen + piece - 1].astype(np.int32))], names=schema.names)
+            if len(sent) > 200_000:
+                sent.clear()
+            if lines["d"]:
+                yield batch_of(**lines)
+            if inner:
+                yield batch_of(**dict(zip(("d", "h", "start", "end", "k1", "k2"), map(np.concatenate, zip(*inner, strict=True)), strict=True)))
 
     return keyed.select("d", "h", "body").mapInArrow(run, schema)
 
@@ -146,7 +138,10 @@ def _sets(keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def _passages(matched: DataFrame) -> DataFrame:
-    """Overlapping pieces of a document with the same verdict, as one passage each."""
+    """Overlapping pieces of a document with the same verdict, as one passage each.
+
+    A piece stays in its owner, the document with the smallest id, where it comes first.
+    """
     schema = T.StructType([T.StructField("d", T.LongType()), T.StructField("h", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("cluster_id", T.LongType()), T.StructField("removed", T.BooleanType())])
 
     def run(batches):
@@ -155,20 +150,22 @@ def _passages(matched: DataFrame) -> DataFrame:
         for batch in batches:
             out = tuple([] for _ in schema.names)
             for d, h, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for removed in (False, True):
-                    spans = []
-                    for r in sorted((r for r in rows if r["removed"] == removed), key=lambda r: (r["start"], r["end"])):
-                        if spans and r["start"] <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], r["end"])
-                            spans[-1][2] = min(spans[-1][2], r["owner"])
-                        else:
-                            spans.append([r["start"], r["end"], r["owner"]])
-                    for lo, hi, owner in spans:
+                spans, first = {False: [], True: []}, {}
+                for r in sorted(rows, key=lambda r: (r["start"], r["end"])):
+                    removed = r["owner"] != d or first.setdefault((r["k1"], r["k2"]), r["start"]) != r["start"]
+                    line = spans[removed]
+                    if line and r["start"] <= line[-1][1]:
+                        line[-1][1] = max(line[-1][1], r["end"])
+                        line[-1][2] = min(line[-1][2], r["owner"])
+                    else:
+                        line.append([r["start"], r["end"], r["owner"]])
+                for removed, line in spans.items():
+                    for lo, hi, owner in line:
                         for column, value in zip(out, (d, h, lo, hi, owner, removed), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=schema.names)
 
-    by_doc = matched.groupBy("d", "h").agg(F.collect_list(F.struct("start", "end", "owner", "removed")).alias("rows"))
+    by_doc = matched.groupBy("d", "h").agg(F.collect_list(F.struct("start", "end", "owner", "k1", "k2")).alias("rows"))
     return by_doc.mapInArrow(run, schema)
 
 
@@ -176,12 +173,13 @@ def repeated_paragraphs(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     """(doc_id, start, end, kind, cluster_id, removed): one row per occurrence of a repeated paragraph or passage.
 
     ``start`` and ``end`` are bytes of the text; ``cluster_id`` is the doc_id of the
-    first occurrence; ``removed`` is false for that occurrence alone. Documents
+    first occurrence; ``removed`` is false for that occurrence alone (rows that repeat a document share it). Documents
     without repeats have no row.
     """
     scratch = Scratch(docs.sparkSession, "paragraphs")
     keyed, bands = identified(only(docs, "doc_id", "text")), tune(percent / 100, miss, rows)
-    lines = scratch.store(_lines(keyed, shingle, min_words, bands * rows), "lines")
+    cut = scratch.store(_cut(keyed, shingle, min_words, bands * rows, piece), "cut")
+    lines, inner = cut.where("digest is not null"), cut.where("k1 is not null")
     place = F.struct("d", "h", "start", "end")
     units = scratch.store(lines.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("at")).withColumnRenamed("digest", "id"), "units")
     reps = lines.where("sig is not null").select(F.col("digest").alias("id"), "sig").dropDuplicates(["id"])
@@ -196,11 +194,11 @@ def repeated_paragraphs(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     same = lambda head: (F.col("d") == F.col(f"{head}.d")) & (F.col("h") == F.col(f"{head}.h")) & (F.col("start") == F.col(f"{head}.start"))
     whole = lines.select("digest", "d", "h", "start", "end").join(clustered, "digest")
     whole = whole.select("d", "h", "start", "end", F.col("head.d").alias("cluster_id"), (~same("head")).alias("removed"), F.lit("paragraph").alias("kind"))
-    cut = _pieces(keyed, piece, shingle)
-    twice = cut.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "start")).alias("head")).where("n > 1")
-    matched = cut.join(twice, ["k1", "k2"]).select("d", "h", "start", "end", F.col("head.d").alias("owner"), (~same("head")).alias("removed"))
-    inner = _passages(matched).withColumn("kind", F.lit("passage"))
-    found = whole.unionByName(inner)
+    # stored, so that a very common piece is one skewed side of a plain join
+    twice = scratch.store(inner.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("d").alias("owner")).where("n > 1").select("k1", "k2", "owner"), "twice")
+    matched = inner.select("k1", "k2", "d", "h", "start", "end").join(twice, ["k1", "k2"])
+    passages = _passages(matched).withColumn("kind", F.lit("passage"))
+    found = whole.unionByName(passages)
     out = scratch.store(found.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "start", "end", "kind", F.when(F.col("cluster_id") != NO_ID, F.col("cluster_id")).alias("cluster_id"), "removed"), "answer")
     scratch.drop(*[name for name in scratch.held if name != "answer"])
     return out
