@@ -38,7 +38,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
 
 
-@query("op3_minhash_bayes")
+@query("op3_minhash_bayes", minhash_dedup.NEAR_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +64,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op8_multi_index")
+@query("op8_multi_index", vector_dedup.PAIRS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 

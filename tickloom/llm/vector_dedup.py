@@ -255,3 +255,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = RE
     out = scratch.store(out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "answer")
     scratch.drop(*[name for name in scratch.held if name != "answer"])
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: DuckDB's form for ``embeddings``: every pair compared, for tables on which the search has full recall
+PAIRS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_sum(list_transform(embedding, lambda c: abs(c))) > 0),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT t.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, t.vec_id = m.component_id AS kept
+FROM embeddings t LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) n ON n.a = t.vec_id JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) m ON m.node = t.vec_id
+"""
