@@ -156,6 +156,8 @@ def _open(uri: str):
 
 def write_whole(uri: str, pieces) -> int:
     """Write the pieces under another name, then move the file into place."""
+    from pyarrow.fs import FileType
+
     system, path = _open(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft, size = f"{path}.{uuid.uuid4().hex}", 0
@@ -163,6 +165,10 @@ def write_whole(uri: str, pieces) -> int:
         for piece in pieces:
             out.write(piece)
             size += len(piece)
+    from pyarrow.fs import FileType
+
+    if system.get_file_info(path).type != FileType.NotFound:
+        system.delete_file(path)  # an earlier attempt's file, of the same content
     system.move(draft, path)
     return size
 
