@@ -197,12 +197,22 @@ def pair_correlation(wide: DataFrame, a: str, b: str, sign: float = 1.0) -> Data
     return r.agg(F.lit(f"{a}_vs_{b}").alias("pair"), corr.alias("correlation"), F.count("*").alias("n"))
 
 
-def cross_asset_signal(vix: Column, fx_level: Column, fx_change: Column, peer_level: Column, peer_change: Column, index_change: Column) -> Column:
+def cross_asset_parts(vix: Column, fx_level: Column, fx_change: Column, peer_level: Column, peer_change: Column, index_change: Column) -> Column:
+    """struct(risk, fx, divergence): the parts of the cross-asset signal."""
     risk = F.when(vix > 0, F.when(vix < 15, 0.1).when(vix > 25, -0.1).otherwise(rnd(dbl(0.1) - (vix - 15) * 0.02, 4))).otherwise(0.0)
     fx = F.when(fx_level.isNotNull(), F.when(fx_change < -0.5, -0.1).when(fx_change > 0.5, 0.05).otherwise(0.0)).otherwise(0.0)
     spread = peer_change - index_change
     div = F.when(peer_level.isNotNull(), F.when(spread < -2, -0.05).when(spread > 2, 0.05).otherwise(0.0)).otherwise(0.0)
-    return clamp(rnd(F.coalesce(risk, dbl(0)) + F.coalesce(fx, dbl(0)) + F.coalesce(div, dbl(0)), 4), -0.2, 0.2)
+    zero = lambda c: F.coalesce(c, dbl(0))
+    return F.struct(zero(risk).alias("risk"), zero(fx).alias("fx"), zero(div).alias("divergence"))
+
+
+def signal_of(parts: Column) -> Column:
+    return clamp(rnd(parts["risk"] + parts["fx"] + parts["divergence"], 4), -0.2, 0.2)
+
+
+def cross_asset_signal(vix: Column, fx_level: Column, fx_change: Column, peer_level: Column, peer_change: Column, index_change: Column) -> Column:
+    return signal_of(cross_asset_parts(vix, fx_level, fx_change, peer_level, peer_change, index_change))
 
 
 def sector_series(bars: DataFrame, sectors: DataFrame, value: str = "close") -> DataFrame:

@@ -85,13 +85,13 @@ def _(t):
     return raw_regimes(t).select("date", "raw_regime")
 
 
-VIEWS["v_xsig"] = """
-SELECT date, least(0.2e0, greatest(-0.2e0, round(
-   CASE WHEN v > 0 THEN CASE WHEN v < 15 THEN 0.1e0 WHEN v > 25 THEN -0.1e0 ELSE round(0.1e0 - (v - 15) * 0.02e0, 4) END ELSE 0 END
-   + CASE WHEN fxc < -0.5e0 THEN -0.1e0 WHEN fxc > 0.5e0 THEN 0.05e0 ELSE 0 END
-   + CASE WHEN pc - ic < -2 THEN -0.05e0 WHEN pc - ic > 2 THEN 0.05e0 ELSE 0 END, 4))) AS signal
+VIEWS["v_xparts"] = """
+SELECT date, CASE WHEN v > 0 THEN CASE WHEN v < 15 THEN 0.1e0 WHEN v > 25 THEN -0.1e0 ELSE round(0.1e0 - (v - 15) * 0.02e0, 4) END ELSE 0 END AS risk,
+   CASE WHEN fxc < -0.5e0 THEN -0.1e0 WHEN fxc > 0.5e0 THEN 0.05e0 ELSE 0 END AS fx,
+   CASE WHEN pc - ic < -2 THEN -0.05e0 WHEN pc - ic > 2 THEN 0.05e0 ELSE 0 END AS divergence
 FROM (SELECT date, round((vix - 28) * 20 + 20, 4) AS v, round((fx / lag(fx) OVER w - 1) * 100, 4) AS fxc, round((peer / lag(peer) OVER w - 1) * 300, 4) AS pc, round((idx / lag(idx) OVER w - 1) * 300, 4) AS ic
   FROM v_wide WINDOW w AS (ORDER BY date))"""
+VIEWS["v_xsig"] = "SELECT *, least(0.2e0, greatest(-0.2e0, round(risk + fx + divergence, 4))) AS signal FROM v_xparts"
 VIEWS["v_override"] = """
 SELECT r.date, raw_regime, signal, CASE WHEN signal < -0.15e0 THEN CASE raw_regime WHEN 'normal' THEN 'caution' WHEN 'caution' THEN 'stress' WHEN 'stress' THEN 'crisis' ELSE raw_regime END
   WHEN signal > 0.15e0 THEN CASE raw_regime WHEN 'crisis' THEN 'stress' WHEN 'stress' THEN 'caution' WHEN 'caution' THEN 'normal' ELSE raw_regime END ELSE raw_regime END AS regime
@@ -171,13 +171,17 @@ VIEWS["v_ad"] = """
 SELECT date, count(*) FILTER (WHERE momentum >= 60) AS passed, count(*) FILTER (WHERE momentum >= 45 AND momentum < 60) AS watch, count(*) FILTER (WHERE momentum < 45) AS rejected FROM v_mom GROUP BY date"""
 
 
+def advance_decline(t):
+    m = F.col("momentum")
+    d = ind.momentum(t.panel).groupBy("date").agg(F.count_if(m >= 60).alias("p"), F.count_if((m >= 45) & (m < 60)).alias("w"), F.count_if(m < 45).alias("r"))
+    return d.select("date", mk.advance_decline(F.col("p"), F.col("w"), F.col("r")).alias("x")).select("date", "x.*")
+
+
 @query("J11_advance_decline", """
 SELECT date, ad_ratio, CASE WHEN ad_ratio >= 1.5e0 THEN 'strong' WHEN ad_ratio >= 1 THEN 'normal' WHEN ad_ratio >= 0.5e0 THEN 'weak' ELSE 'very_weak' END AS label
 FROM (SELECT date, CASE WHEN rejected > 0 THEN round((passed + watch) * 1.0e0 / rejected, 3) ELSE 2.0e0 END AS ad_ratio FROM v_ad)""")
 def _(t):
-    m = F.col("momentum")
-    d = ind.momentum(t.panel).groupBy("date").agg(F.count_if(m >= 60).alias("p"), F.count_if((m >= 45) & (m < 60)).alias("w"), F.count_if(m < 45).alias("r"))
-    return d.select("date", mk.advance_decline(F.col("p"), F.col("w"), F.col("r")).alias("x")).select("date", "x.*")
+    return advance_decline(t)
 
 
 VIEWS["v_wide"] = """
@@ -207,13 +211,28 @@ def _(t):
     return cross_asset(t)
 
 
-def cross_asset(t):
+def cross_parts(t):
     from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(0)).orderBy("date")
+    w = Window.partitionBy(F.lit(0)).orderBy("date")  # one row per date
     ch = lambda c, k: rnd((F.col(c) / F.lag(c).over(w) - 1) * k, 4)
     x = wide(t).select("date", rnd((F.col("vix") - 28) * 20 + 20, 4).alias("v"), "fx", "peer", ch("fx", 100).alias("fxc"), ch("peer", 300).alias("pc"), ch("idx", 300).alias("ic"))
     c = F.col
-    return x.select("date", mk.cross_asset_signal(c("v"), c("fx"), c("fxc"), c("peer"), c("pc"), c("ic")).alias("signal"))
+    return x.select("date", mk.cross_asset_parts(c("v"), c("fx"), c("fxc"), c("peer"), c("pc"), c("ic")).alias("p")).withColumn("signal", mk.signal_of(F.col("p")))
+
+
+def cross_asset(t):
+    return cross_parts(t).select("date", "signal")
+
+
+@query("J13_market_context", f"""
+SELECT x.date, risk, fx, divergence, signal, ad_ratio, idx_peer, idx_fx FROM v_xsig x
+LEFT JOIN (SELECT date, CASE WHEN rejected > 0 THEN round((passed + watch) * 1.0e0 / rejected, 3) ELSE 2.0e0 END AS ad_ratio FROM v_ad) a ON a.date = x.date,
+(SELECT correlation AS idx_peer FROM ({_corr_sql("idx", "peer", "1.0e0")})), (SELECT correlation AS idx_fx FROM ({_corr_sql("idx", "fx", "-1.0e0")}))""")
+def _(t):
+    w = wide(t)
+    pair = lambda a, b, sign, name: mk.pair_correlation(w, a, b, sign).select(F.col("correlation").alias(name))  # one row
+    x = cross_parts(t).select("date", "p.*", "signal").join(advance_decline(t).select("date", "ad_ratio"), "date", "left")
+    return x.crossJoin(F.broadcast(pair("idx", "peer", 1.0, "idx_peer"))).crossJoin(F.broadcast(pair("idx", "fx", -1.0, "idx_fx")))
 
 
 VIEWS["v_sector_ret"] = """
