@@ -165,8 +165,6 @@ def write_whole(uri: str, pieces) -> int:
         for piece in pieces:
             out.write(piece)
             size += len(piece)
-    from pyarrow.fs import FileType
-
     if system.get_file_info(path).type != FileType.NotFound:
         system.delete_file(path)  # an earlier attempt's file, of the same content
     system.move(draft, path)
