@@ -181,8 +181,8 @@ def advance_decline(passed: Column, watch: Column, rejected: Column) -> Column:
 
 
 def wide_series(series: DataFrame, names: list[str], key: str = "series", value: str = "close") -> DataFrame:
-    """One column per named series on each date (single pass, no self joins)."""
-    return series.where(F.col(key).isin(names)).groupBy("date").agg(
+    """One column per named series on each date of any series (single pass, no self joins)."""
+    return series.groupBy("date").agg(
         *[F.max(F.when(F.col(key) == n, F.nullif(F.col(value), dbl(0)))).alias(n) for n in names]
     )
 
