@@ -40,6 +40,8 @@ from tickloom.llm.text import SLICE, binary, mix, powers
 LENGTH, GRAM = 200, 64
 #: windows of a run at most, bytes compared by the shallow sort, runs of one name per task, bytes sorted at once
 LONGEST_RUN, SHALLOW, NAME_RUNS, SORT_BYTES = 256, 32, 2000, 4 << 20
+#: bytes of distinct runs a task holds before it passes them on
+HELD_BYTES = 16 << 20
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -110,28 +112,48 @@ def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _extract(joined: DataFrame, length: int) -> DataFrame:
-    """(name, n, digest, body, d, h, first): one row per run; its bytes only with the first run of that digest in a task."""
-    schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("body", T.BinaryType()), T.StructField("d", T.LongType()), T.StructField("h", T.LongType()), T.StructField("first", T.IntegerType())])
+    """Two kinds of rows: (digest, d, h, first) per run; (name, n, digest, body, copies) per distinct run of a task.
+
+    Distinct runs are held until ``HELD_BYTES`` of them are, so equal ones leave the task as one.
+    """
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("d", T.LongType()), T.StructField("h", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("name", T.LongType()), T.StructField("n", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("body", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
-        sent: set[bytes] = set()
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        held: dict[bytes, list] = {}
+        size = 0
+
+        def rows(**columns):
+            n = len(columns["digest"])
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * n), t) for name, t in zip(schema.names, kinds, strict=True)], names=schema.names)
+
+        def flush():
+            items = list(held.items())
+            for i in range(0, len(items), 4096):
+                part = items[i : i + 4096]
+                yield rows(digest=[k for k, _ in part], **{c: [v[x] for _, v in part] for x, c in enumerate(("name", "n", "copies", "body"))})
+            held.clear()
+
         for batch in batches:
             bodies = binary(batch.column(2))
             for i, (d, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                body, rows = bodies[i].as_py(), batch.column(3)[i].as_py()
-                names, ns, digests, texts, firsts = [], [], [], [], []
-                for r in rows:
+                body, digests, firsts = bodies[i].as_py(), [], []
+                for r in batch.column(3)[i].as_py():
                     text = body[r["first"] : r["last"] + length]
                     digest = hashlib.blake2b(text, digest_size=16).digest()
-                    names.append(r["name"]), ns.append(r["n"]), digests.append(digest), firsts.append(r["first"])
-                    texts.append(None if digest in sent else text)
-                    sent.add(digest)
-                if len(sent) > 200_000:
-                    sent.clear()
-                k = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()), pa.array([d] * k, pa.int64()), pa.array([h] * k, pa.int64()), pa.array(firsts, pa.int32())], names=schema.names)
+                    digests.append(digest), firsts.append(r["first"])
+                    if digest in held:
+                        held[digest][2] += 1
+                    else:
+                        held[digest] = [r["name"], r["n"], 1, text]
+                        size += len(text)
+                yield rows(digest=digests, d=[d] * len(digests), h=[h] * len(digests), first=firsts)
+            if size > HELD_BYTES:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     return joined.mapInArrow(run, schema)
 
@@ -199,12 +221,31 @@ def deep_shallow(buffer: bytes, places: np.ndarray, length: int, shallow: int =
             return order, group
     if shallow < length and len(open_):
         starts = np.flatnonzero(np.concatenate(([True], group[open_][1:] != group[open_][:-1])))
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(open_)], strict=True):
-            at = int(open_[lo])
-            for same in blind_trie(buffer, order[at : at + hi - lo].tolist(), length):
-                order[at : at + len(same)] = same
-                group[at : at + len(same)] = at
-                at += len(same)
+        sizes = np.diff([*starts, len(open_)])
+        # a trie of two leaves is one comparison: all of them at once, eight bytes at a time
+        left = starts[sizes == 2]
+        a, b = order[open_[left]], order[open_[left + 1]]
+        undecided, greater, equal = np.arange(len(left)), np.zeros(len(left), bool), np.ones(len(left), bool)
+        for depth in range(shallow - shallow % 8, length, 8):
+            x, y = key[a[undecided] + depth], key[b[undecided] + depth]
+            if depth + 8 > length:
+                x, y = (v >> np.uint64(8 * (depth + 8 - length)) for v in (x, y))
+            differ = x != y
+            greater[undecided[differ]], equal[undecided[differ]] = (x > y)[differ], False
+            undecided = undecided[~differ]
+        order[open_[left]], order[open_[left + 1]] = np.where(greater, b, a), np.where(greater, a, b)
+        group[open_[left + 1]] = np.where(equal, open_[left], open_[left + 1])
+        many = np.flatnonzero(sizes > 2)
+        members = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in many]) if len(many) else np.zeros(0, np.int64)
+        line, places_, groups_ = order[open_[members]].tolist(), [], []
+        at = 0
+        for first, size in zip(open_[starts[many]].tolist(), sizes[many].tolist(), strict=True):
+            for same in blind_trie(buffer, line[at : at + size], length):
+                groups_ += [first] * len(same)
+                places_ += same
+                first += len(same)
+            at += size
+        order[open_[members]], group[open_[members]] = places_, groups_
     return order, group
 
 
@@ -245,16 +286,23 @@ def _sort(strings: DataFrame, length: int) -> DataFrame:
         held, alone, size, key, group = [], [], 0, None, []
 
         def admit():
-            """Take over a whole name. One run that occurs several times needs no sorting."""
-            nonlocal size
+            """Take over a whole name, equal runs of several tasks as one. One run that occurs several times needs no sorting."""
+            nonlocal size, group
             if not group:
                 return
+            merged = {}
+            for row in group:
+                if row[1] in merged:
+                    merged[row[1]][2] += row[2]
+                else:
+                    merged[row[1]] = list(row)
+            group = list(merged.values())
             if len(group) == 1 and group[0][2] > 1 and group[0][4] == 1:
                 alone.append((group[0][1], len(group[0][3]) - length))
             else:
                 held.extend(group)
                 size += sum(len(g[3]) for g in group)
-            group.clear()
+            group = []
 
         def flush():
             texts = [h[3] for h in held]
@@ -334,13 +382,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix")
     keyed = identified(only(docs, "doc_id", "text"))
-    runs = _runs(keyed, length, gram)
-    names = runs.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1")
+    runs = scratch.store(_runs(keyed, length, gram), "runs")
+    # stored, so that a very common name is one skewed side of a plain join
+    names = scratch.store(runs.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1"), "names")
     shared = runs.join(names, "name")
     by_doc = shared.groupBy("d", "h").agg(F.collect_list(F.struct("name", "n", "first", "last")).alias("runs"))
     found = scratch.store(_extract(keyed.join(by_doc, ["d", "h"]).select("d", "h", "body", "runs"), length), "found")
-    counted = found.groupBy("digest").agg(F.count("*").alias("copies"), F.max("name").alias("name"), F.max("n").alias("n"))
-    strings = found.where("body is not null").select("digest", "body").dropDuplicates(["digest"]).join(counted, "digest")
+    scratch.drop("runs")
+    strings = found.where("body is not null").select("name", "n", "digest", "copies", "body")
     strings = strings.withColumn("salts", F.ceil(F.col("n") / name_runs).cast("int")).withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int"))
     matched = scratch.store(_sort(strings, length), "matched")
     # strings that their own task could not match: a digest seen in several tasks is a match
@@ -349,7 +398,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     late = across.where("kind = 1").join(twice, "window").select("digest", "first", "last")
     spans_ = matched.where("kind = 0").select("digest", "first", "last").unionAll(late)
     spans_ = spans_.select("digest", F.col("first").alias("lo"), F.col("last").alias("hi"))
-    ranges = found.select("digest", "d", "h", "first").join(spans_, "digest")
+    ranges = found.where("body is null").select("digest", "d", "h", "first").join(spans_, "digest")
     ranges = ranges.groupBy("d", "h").agg(F.collect_list(F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))).alias("ranges"))
     ranges = scratch.store(ranges, "ranges")
     scratch.drop("found", "matched")
