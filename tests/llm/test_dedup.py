@@ -58,8 +58,10 @@ def test_exact_against_brute_force(docs, crowded, texts):
         assert collections.Counter(tuple(r) for r in exact_dedup.exact_duplicates(frame).collect()) == expected
     least = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_duplicates(docs, largest=False).collect()}
     assert least[10] == 7 and least[5] == 4
-    kept = exact_dedup.keep_owners(crowded)
-    assert kept.columns == crowded.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [2, 3, 5, 6, 8, 9, 10, 11, 11, 12, 13, 14, 15, 16]
+    for limit in (1, 4000, exact_dedup.TRIE_BYTES):
+        kept = exact_dedup.keep_owners(crowded, limit=limit)
+        assert sorted(r["text"] or "" for r in kept.collect()) == sorted({t or "" for _, t in texts})
+    assert kept.columns == crowded.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [2, 3, 5, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16]
 
 
 def test_exact_trie_separates_equal_hashes_and_spills(docs, texts):

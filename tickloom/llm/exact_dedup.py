@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from tickloom.llm.common import Scratch, only, parts
 
 #: bytes of text a trie holds before a subtree is spilled
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 32 << 20
+#: bytes of whole rows a task weighs against each other at once
+ROW_BYTES = 8 << 20
 
 
 class Node:
@@ -235,11 +237,68 @@ def exact_duplicates(docs: DataFrame, largest: bool = True, limit: int = TRIE_BY
     )
 
 
-def keep_owners(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """``docs`` without the copies; all columns stay."""
-    scratch = Scratch(docs.sparkSession, "owners")
-    shared = scratch.store(owners(only(docs, "doc_id", "text"), largest), "owners")
-    gone = shared.select("sha", F.col("owner").alias("__owner")).where("__owner is not null")
-    rows = docs.withColumn("__sha", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
-    joined = rows.join(gone.withColumnRenamed("sha", "__shared"), F.col("__sha") == F.col("__shared"), "left")
-    return joined.where("__owner is null or doc_id = __owner").select(*[F.col(f"`{c}`") for c in docs.columns])
+def _owners_of(table, largest: bool):
+    """Row numbers of the owners among a table's rows, and of those in the last row's bucket (length and hash)."""
+    import pyarrow as pa
+
+    ids, lengths, hashes = (table.column(name).to_pylist() for name in ("doc_id", "__length", "__hash"))
+    buckets, tries = list(zip(lengths, hashes, strict=True)), {}
+    for i, (doc, bucket, body) in enumerate(zip(ids, buckets, table.column("text").cast(pa.large_binary()), strict=True)):
+        if bucket not in tries:
+            tries[bucket] = Trie(True, 1 << 62)
+        tries[bucket].add(body.as_py() or b"", (doc is not None, (doc if largest else -doc) if doc is not None else 0, i), 1)
+    rows = {bucket: [owner[2] for _, owner, _ in trie.items()] for bucket, trie in tries.items()}
+    return sorted(r for group in rows.values() for r in group), sorted(rows[buckets[-1]])
+
+
+def _first_owners(largest: bool, limit: int):
+    """Scan side: the owner's row of every text, over ``limit`` bytes of rows at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            held.append(batch)
+            size += batch.nbytes
+            if size > limit:
+                table = pa.Table.from_batches(held)
+                yield from table.take(pa.array(_owners_of(table, largest)[0])).to_batches()
+                held, size = [], 0
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from table.take(pa.array(_owners_of(table, largest)[0])).to_batches()
+
+    return run
+
+
+def _last_owners(largest: bool):
+    """Reduce side, rows sorted by bucket: a bucket that may go on is carried as its owners so far."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        carried = None
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            table = pa.Table.from_batches([*([] if carried is None else carried.to_batches()), batch])
+            rows, last = _owners_of(table, largest)
+            carried = table.take(pa.array(last))
+            done = sorted(set(rows) - set(last))
+            if done:
+                yield from table.take(pa.array(done)).to_batches()
+        if carried is not None:
+            yield from carried.to_batches()
+
+    return run
+
+
+def keep_owners(docs: DataFrame, largest: bool = True, limit: int = ROW_BYTES) -> DataFrame:
+    """``docs`` with one row of each text, its owner; all columns stay.
+
+    The owner's whole row travels with its text, so the texts cross the network once.
+    """
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.withColumns({"__length": F.octet_length(body).cast("long"), "__hash": F.xxhash64(body)})
+    owned = rows.mapInArrow(_first_owners(largest, limit), rows.schema)
+    dealt = owned.repartition(parts(docs.sparkSession), "__length", "__hash").sortWithinPartitions("__length", "__hash")
+    return dealt.mapInArrow(_last_owners(largest), rows.schema).drop("__length", "__hash")

@@ -9,8 +9,9 @@ are checked on their full shingle sets, so no link is wrong.
 Defined results: null and empty texts and texts of white space only have no
 shingles, link with nothing and stay; a text of fewer than k words is one
 shingle; equal sets are one class; rows that repeat a doc_id with one text get
-that document's answer each; a null doc_id links with nothing and is kept; an
-empty table gives an empty table; other columns are ignored.
+that document's answer each; a null doc_id stands for no class, gets the component
+of its equals and is kept; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -73,12 +74,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     spark = docs.sparkSession
     scratch, size = Scratch(spark, "minhash"), bands * rows
     rows_ = scratch.store(signatures(docs, k, size), "rows")
-    classes = rows_.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    classes = rows_.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("sig", "doc_id").alias("sig"))
     classes = scratch.store(classes, "classes")
-    reps = rows_.where("sig is not null").select(F.col("doc_id").alias("id"), "sig", "set_id").join(classes.select("id", "set_id"), ["id", "set_id"], "left_semi").select("id", "sig").dropDuplicates(["id"])
-    inside = members(scratch, reps, bands, rows)
+    inside = members(scratch, classes, bands, rows)
     candidates = inside.select("id").distinct()
-    sigs = rows_.where("sig is not null").select(F.col("doc_id").alias("id"), "sig").join(candidates, "id", "left_semi").dropDuplicates(["id"])
+    sigs = classes.select("id", "sig").join(candidates, "id", "left_semi").dropDuplicates(["id"])
     units = scratch.store(sigs.join(shingle_sets(docs, candidates, k), "id"), "units")
     nodes = link_all(scratch, inside, units, batches_of(size, batch_size, percent / 100, miss), percent)
     # only classes that hold several documents or a link need to be looked up
@@ -94,3 +94,20 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates; all columns stay."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
+#: DuckDB's form for ``documents``: all pairs that share a shingle, exact similarity, reachability
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) m ON m.node = d.doc_id
+"""
