@@ -16,8 +16,8 @@ import zlib
 
 import numpy as np
 
-#: pieces a worker remembers before it starts anew
-REMEMBERED = 1_000_000
+#: pieces of a generation; a worker remembers two, so those in use outlive those that are not
+REMEMBERED = 300_000
 
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
 _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -70,11 +70,16 @@ class Encoder:
         model, letters, dtype = self.lib.model, _byte_letters(), self.dtype
 
         class Pieces(dict):
+            older: dict = {}
+
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= REMEMBERED:
+                    self.older = dict(self)
                     self.clear()
-                shown = piece.encode().decode("latin-1").translate(letters)
-                ids = np.array([t.id for t in model.tokenize(shown)], dtype).tobytes()
+                ids = self.older.get(piece)
+                if ids is None:
+                    shown = piece.encode().decode("latin-1").translate(letters)
+                    ids = np.array([t.id for t in model.tokenize(shown)], dtype).tobytes()
                 if len(piece) <= 64:
                     self[piece] = ids
                 return ids
