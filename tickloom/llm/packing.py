@@ -70,7 +70,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, plane = encoder(path), projection()
+        encode, plane = encoder(path, literal=False), projection()
         last, row = np.array([end], encode.dtype).tobytes(), TaskContext.get().partitionId() << 33
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = 2, with_id
     def cut(batches):
         import pyarrow as pa
 
-        encode = encoder(path)
+        encode = encoder(path, literal=False)
         for batch in batches:
             out = [[] for _ in schema.names]
             for doc, curve, n, raw, place in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):

@@ -246,7 +246,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        encode = encoder(path)
+        encode = encoder(path, literal=False)
         last = np.array([end], encode.dtype).tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
@@ -263,7 +263,7 @@ def frequencies(stored: DataFrame, path: str) -> Frequencies:
     def count(batches):
         import pyarrow as pa
 
-        total, dtype = np.zeros(1, np.int64), encoder(path).dtype
+        total, dtype = np.zeros(1, np.int64), encoder(path, literal=False).dtype
         for batch in batches:
             for value in batch.column(0):
                 got = np.bincount(np.frombuffer(value.as_buffer(), dtype))
@@ -293,7 +293,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int = 0) -> DataFram
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, total, dtype = TaskContext.get().partitionId(), 0, encoder(path).dtype
+        part, total, dtype = TaskContext.get().partitionId(), 0, encoder(path, literal=False).dtype
 
         def rows():
             nonlocal total

@@ -3,9 +3,10 @@
 Both supported files split a text into pieces by a fixed pattern and then merge
 bytes within a piece. Pieces repeat, so a worker remembers the ids of the pieces
 it has seen. The pattern is applied here to texts whose characters it classes the
-same way in every Unicode version (Latin letters and below); any other text is
-encoded whole by the library, as is any tokenizer file of another kind. The ids
-are the library's in either case.
+same way in every Unicode version (Latin letters and below); any
+other text is encoded whole by the library, as is a text that holds an added token
+of the file, and any tokenizer file of another kind. The ids are the library's in
+either case.
 """
 
 from __future__ import annotations
@@ -49,21 +50,30 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of a text as little-endian bytes, ``width`` bytes each."""
+    """Ids of a text as little-endian bytes, ``width`` bytes each.
 
-    def __init__(self, path: str):
+    With ``literal`` an added token in a text is split like any other characters;
+    otherwise it is one id, as in the library's plain call.
+    """
+
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = literal
+        added = said.get("added_tokens") or []
+        # literal spares special tokens alone; the others are one id in either case
+        self.whole = [t["content"] for t in added if not (literal and t["special"])]
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.lower = (said.get("normalizer") or {}).get("type") == "Sequence"
         self.pattern = None
         pre = json.dumps(said.get("pre_tokenizer"))
-        if self.lower and json.dumps(_WORD_SPLIT) in pre:
+        if self.lower and any(t["normalized"] for t in added):
+            pass  # such a token is found in the normalized text
+        elif self.lower and json.dumps(_WORD_SPLIT) in pre:
             self.pattern = _latin(_WORD_SPLIT)
         elif not said.get("normalizer") and '"use_regex": true' in pre and '"add_prefix_space": false' in pre:
             self.pattern = _latin(_BYTE_SPLIT)
@@ -87,19 +97,19 @@ class Encoder:
         self.pieces = Pieces()
 
     def __call__(self, text: str) -> bytes:
-        if self.pattern is None or _SIMPLE.search(text):
+        if self.pattern is None or _SIMPLE.search(text) or any(t in text for t in self.whole):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower() if self.lower else text)))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = True) -> Encoder:
     """The worker's encoder of a file; it lives as long as the worker does."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, literal) not in _ENCODERS:
+        _ENCODERS[path, literal] = Encoder(path, literal)
+    return _ENCODERS[path, literal]
 
 
 def crc32_ids(ids: np.ndarray, before: int = 0) -> int:
