@@ -32,3 +32,12 @@ def test_packs_and_files_hold_the_librarys_plain_ids(spark, tmp_path):
     rows = token_files.read_ids(token_files.write_ids(docs, folder, BYTE), folder).collect()
     want = {i: np.array([*plain_ids(BYTE, t), 0], "<u4") for i, t in enumerate(SPECIAL)}
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == collections.Counter((i, len(x), crc32_ids(x)) for i, x in want.items())
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_each_latin_character_by_itself(path):
+    """Also the 23 capitals whose small letter lies beyond the classes of the fast split."""
+    encode, lib = tokens.encoder(path, literal=False), Tokenizer.from_file(path)
+    for c in map(chr, range(0x250)):
+        for t in (f"{c}liyev", f"x{c}y 1{c}"):
+            assert np.frombuffer(encode(t), encode.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids

@@ -3,7 +3,7 @@
 Both supported files split a text into pieces by a fixed pattern and then merge
 bytes within a piece. Pieces repeat, so a worker remembers the ids of the pieces
 it has seen. The pattern is applied here to texts whose characters it classes the
-same way in every Unicode version (Latin letters and below); any
+same way in every Unicode version (Latin letters and below, also when lowered); any
 other text is encoded whole by the library, as is a text that holds an added token
 of the file, and any tokenizer file of another kind. The ids are the library's in
 either case.
@@ -23,7 +23,8 @@ REMEMBERED = 300_000
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
 _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = " \t\n\x0b\x0c\r\xa0"
-_SIMPLE = re.compile(f"[^\x00-\x1b\x20-\x84\x86-įı-ɏ]")
+_AWAY = "".join(c for c in map(chr, range(0x250)) if c.lower() > "\u024f")  # capitals whose small letter is none of these
+_SIMPLE = re.compile(f"[^\x00-\x1b\x20-\x84\x86-įı-ɏ]|[{_AWAY}]")
 
 #: fixed values of the two tokenizer files: the splitting pattern that each names
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
