@@ -90,9 +90,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates; all columns stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+def keep_one(docs: DataFrame, k: int = 5, **options) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates; all columns stay. Sets are of five words here."""
+    gone = near_duplicates(docs, k, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 

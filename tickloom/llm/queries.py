@@ -40,7 +40,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_minhash_bayes", minhash_dedup.NEAR_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
 @query("op4_rans_files")
