@@ -1,6 +1,9 @@
 """Repeated paragraphs by MinHash banding, and repeated passages inside longer paragraphs.
 
-A paragraph is a line of at least ``min_words`` words. Equal paragraphs (by their
+A paragraph is a line of at least ``min_words`` words, by default as many as a
+shingle has. Lines up to a blank line that look wrapped (none over ``WRAP``
+characters, each but the last with the next word filling three quarters of the
+longest at least) are also one paragraph together. Equal paragraphs (by their
 word sequence) are one unit; units are banded by MinHash over word shingles with
 the fewest bands that miss a pair at the threshold with probability ``miss`` at
 most; units that share a band are compared by the exact Jaccard similarity of
@@ -35,7 +38,7 @@ from tickloom.llm.near import batches_of, link_all, members
 from tickloom.llm.suffix_dedup import sliding
 from tickloom.llm.text import MinHash, binary, mix, powers, shingle_hashes, word_hashes
 
-SHINGLE, PERCENT, MIN_WORDS, PIECE, ROWS, MISS = 5, 80, 20, 26, 3, 1e-3
+SHINGLE, PERCENT, MIN_WORDS, PIECE, ROWS, MISS, WRAP = 5, 80, 5, 26, 3, 1e-3, 200
 
 
 def tune(threshold: float, miss: float = MISS, rows: int = ROWS) -> int:
@@ -43,13 +46,35 @@ def tune(threshold: float, miss: float = MISS, rows: int = ROWS) -> int:
     return max(1, ceil(log(miss) / log(1 - threshold**rows))) if threshold < 1 else 1
 
 
-def paragraphs(data: bytes, words: np.ndarray, starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and word past the end of the lines with enough words."""
-    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
-    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-    end = np.concatenate((first[1:], [len(words)])) if len(first) else first
-    long = end - first >= min_words
-    return first[long], end[long]
+def paragraphs(data: bytes, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word and word past the end of the paragraphs, the first word of the wrapped one around each, and whether it is that."""
+    if not len(words):
+        return *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
+    raw = np.frombuffer(data, np.uint8)
+    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    end = np.concatenate((first[1:], [len(words)]))
+    top, low, high = wrapped(raw, line[first], first, end, starts, ends)
+    out = np.concatenate((first, low)), np.concatenate((end, high)), np.concatenate((top, low)), np.arange(len(first) + len(low)) >= len(first)
+    long = out[1] - out[0] >= min_words
+    return tuple(x[long] for x in out)
+
+
+def wrapped(raw: np.ndarray, line: np.ndarray, first: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of what each line belongs to, and first word and word past the end of the wrapped paragraphs."""
+    new = np.concatenate(([True], np.diff(line) > 1))
+    if new.all():
+        return first, *[np.zeros(0, np.int64)] * 2
+    inner = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that do not begin a character
+    width = lambda a, b: b - a - (np.searchsorted(inner, b) - np.searchsorted(inner, a))
+    long, head = width(starts[first], ends[end - 1]), width(starts[first], ends[first])
+    heads, block = np.flatnonzero(new), np.cumsum(new) - 1
+    longest = np.maximum.reduceat(long, heads)
+    full = np.concatenate((4 * (long[:-1] + 1 + head[1:]) > 3 * longest[block[:-1]], [True])) | np.concatenate((new[1:], [True]))
+    lines = np.diff(np.concatenate((heads, [len(first)])))
+    good = np.logical_and.reduceat(full, heads) & (longest <= WRAP) & (lines > 1)
+    low, high = first[heads], end[heads + lines - 1]
+    return np.where(good[block], low[block], first), low[good], high[good]
 
 
 def pieces(words: np.ndarray, piece: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,17 +97,18 @@ def pieces(words: np.ndarray, piece: int, shingle: int) -> tuple[np.ndarray, np.
 
 
 def _cut(keyed: DataFrame, shingle: int, min_words: int, size: int, piece: int) -> DataFrame:
-    """Paragraphs (digest, words, sig) and pieces (k1, k2) of every text, with d, h, start, end.
+    """Paragraphs (digest, top, lines, sig) and pieces (k1, k2) of every text, with d, h, start, end.
 
-    Words are hashed once for both. sig comes only with a digest's first paragraph in a task.
+    Words are hashed once for both. ``lines`` marks wrapped paragraphs, ``top`` is the start of the one
+    around a line. sig comes only with a digest's first paragraph in a task.
     """
     numbers = [T.StructField(n, T.LongType()) for n in ("d", "h")] + [T.StructField(n, T.IntegerType()) for n in ("start", "end")]
-    schema = T.StructType([*numbers, T.StructField("digest", T.BinaryType()), T.StructField("words", T.IntegerType()), T.StructField("sig", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+    schema = T.StructType([*numbers, T.StructField("digest", T.BinaryType()), T.StructField("top", T.IntegerType()), T.StructField("lines", T.BooleanType()), T.StructField("sig", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64())
         minhash, sent = MinHash(size), set()
 
         def batch_of(**columns):
@@ -90,23 +116,30 @@ def _cut(keyed: DataFrame, shingle: int, min_words: int, size: int, piece: int)
             return pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(n, t) for name, t in zip(schema.names, kinds, strict=True)], names=schema.names)
 
         for batch in batches:
-            bodies, lines, inner = binary(batch.column(2)), {n: [] for n in ("d", "h", "start", "end", "digest", "words", "sig")}, []
+            bodies, lines, inner = binary(batch.column(2)), {n: [] for n in ("d", "h", "start", "end", "digest", "top", "lines", "sig")}, []
             for i, (d, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 data = bodies[i].as_py()
                 words, starts, ends = word_hashes(data)
                 chosen, one, two = pieces(words, piece, shingle)
                 if len(chosen):
                     inner.append((np.full(len(chosen), d), np.full(len(chosen), h), starts[chosen].astype(np.int32), ends[chosen + piece - 1].astype(np.int32), one.view(np.int64), two.view(np.int64)))
-                first, end = paragraphs(data, words, starts, min_words)
-                shingles = shingle_hashes(words, shingle) if len(first) else None
-                for a, b in zip(first.tolist(), end.tolist(), strict=True):
-                    digest = hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest()
-                    sig = None
+                first, end, top, joined = paragraphs(data, words, starts, ends, min_words)
+                if not len(first):
+                    continue
+                digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+                new, sigs = [], [None] * len(digests)
+                for j, digest in enumerate(digests):
                     if digest not in sent:
-                        sig = minhash(shingles[a : b - shingle + 1] if b - a >= shingle else shingle_hashes(words[a:b], shingle)).tobytes()
                         sent.add(digest)
-                    for column, value in zip(lines.values(), (d, h, int(starts[a]), int(ends[b - 1]), digest, b - a, sig), strict=True):
-                        column.append(value)
+                        new.append(j)
+                by_run = [j for j in new if end[j] - first[j] >= shingle]
+                if by_run:
+                    for j, sig in zip(by_run, minhash.runs(shingle_hashes(words, shingle), first[by_run], end[by_run] - shingle + 1), strict=True):
+                        sigs[j] = sig.tobytes()
+                for j in set(new) - set(by_run):
+                    sigs[j] = minhash(shingle_hashes(words[first[j] : end[j]], shingle)).tobytes()
+                for column, values in zip(lines.values(), ([d] * len(first), [h] * len(first), starts[first].tolist(), ends[end - 1].tolist(), digests, starts[top].tolist(), joined.tolist(), sigs), strict=True):
+                    column.extend(values)
             if len(sent) > 200_000:
                 sent.clear()
             if lines["d"]:
@@ -180,16 +213,18 @@ def repeated_paragraphs(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     keyed, bands = identified(only(docs, "doc_id", "text")), tune(percent / 100, miss, rows)
     cut = scratch.store(_cut(keyed, shingle, min_words, bands * rows, piece), "cut")
     lines, inner = cut.where("digest is not null"), cut.where("k1 is not null")
-    place = F.struct("d", "h", "start", "end")
-    units = scratch.store(lines.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("at")).withColumnRenamed("digest", "id"), "units")
+    place, around = F.struct("d", "h", "start", "end"), F.struct("d", "h", "top")
+    units = scratch.store(lines.groupBy("digest").agg(*[F.count_if(F.col("lines") == x).alias(n) for n, x in (("single", False), ("joined", True))], F.min(place).alias("at"), F.min(around).alias("low"), F.max(around).alias("high")).withColumnRenamed("digest", "id"), "units")
     reps = lines.where("sig is not null").select(F.col("digest").alias("id"), "sig").dropDuplicates(["id"])
     inside = members(scratch, reps, bands, rows)
     wanted = units.join(inside.select("id").distinct(), "id").select("id", "at.*")
     full = scratch.store(_sets(keyed, wanted, shingle).join(reps, "id"), "full")
     nodes = link_all(scratch, inside, full, batches_of(bands * rows, bands * rows, percent / 100, 1e-6), percent)
-    placed = units.join(nodes, units.id == nodes.node, "left").select("id", "copies", "at", "component", F.coalesce("component", "id").alias("c"))
-    placed = scratch.store(placed.where("copies > 1 or component is not null"), "placed")
-    heads = placed.groupBy("c").agg(F.min("at").alias("head"))
+    placed = units.join(nodes, units.id == nodes.node, "left").select("id", "single", "joined", "low", "high", "at", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("linked"))
+    placed = scratch.store(placed.where("single > 1 or joined > 1 or low <> high or linked"), "placed")
+    # a wrapped paragraph that is like its own first line repeats nothing
+    heads = placed.groupBy("c").agg(F.min("at").alias("head"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("single").alias("single"), F.sum("joined").alias("joined"))
+    heads = heads.where("single > 1 or joined > 1 or low <> high").select("c", "head")
     clustered = scratch.store(placed.join(heads, "c").select(F.col("id").alias("digest"), "head"), "clusters")
     same = lambda head: (F.col("d") == F.col(f"{head}.d")) & (F.col("h") == F.col(f"{head}.h")) & (F.col("start") == F.col(f"{head}.start"))
     whole = lines.select("digest", "d", "h", "start", "end").join(clustered, "digest")

@@ -132,3 +132,17 @@ class MinHash:
             part = hashes[i : i + 512]
             np.minimum(least, (self.a[:, None] * part[None, :] + self.b[:, None]).min(axis=1), out=least)
         return (least >> np.uint64(32)).astype("<u4")
+
+    def runs(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Signatures of the runs hashes[first:last], none empty; runs may overlap, each hash is looked at once."""
+        least, step = np.full((len(first), self.size), np.iinfo(np.uint64).max, np.uint64), 1024
+        for at in range(0, len(hashes), step):
+            part = hashes[at : at + step]
+            here = np.flatnonzero((first < at + len(part)) & (last > at))
+            if not len(here):
+                continue
+            values = np.full((self.size, len(part) + 1), np.iinfo(np.uint64).max, np.uint64)  # the last column ends a run
+            np.add(self.a[:, None] * part[None, :], self.b[:, None], out=values[:, :-1])
+            edges = np.stack((np.maximum(first[here] - at, 0), np.minimum(last[here] - at, len(part))), axis=1).ravel()
+            least[here] = np.minimum(least[here], np.minimum.reduceat(values, edges, axis=1)[:, ::2].T)
+        return (least >> np.uint64(32)).astype("<u4")
