@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, line_index, minhash_dedup, mixing, packing, paragraph_dedup, quality, suffix_dedup, token_files, url_reputation, vector_dedup
+from tickloom.llm import exact_dedup, line_index, merkle, minhash_dedup, mixing, packing, paragraph_dedup, quality, suffix_dedup, token_files, url_reputation, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_line_index", line_index.LINES_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_index.drop_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op12_merkle_manifest", merkle.MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
