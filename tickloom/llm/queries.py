@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, line_index, merkle, minhash_dedup, mixing, packing, paragraph_dedup, quality, suffix_dedup, token_files, url_reputation, vector_dedup
+from tickloom.llm import alignment, exact_dedup, line_index, merkle, minhash_dedup, mixing, packing, paragraph_dedup, quality, suffix_dedup, token_files, url_reputation, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_merkle_manifest", merkle.MERKLE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+@query("op13_galloping_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
