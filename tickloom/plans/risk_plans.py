@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.typing import dbl, letter_grade, rnd
 from tickloom.operators import backtest as bt
 from tickloom.operators import indicators as ind
+from tickloom.operators import optimiser
 from tickloom.operators import risk as rk
 from tickloom.plans.backtest_plans import SOURCES, allocations
 from tickloom.plans.market_plans import REGIME_SQL, regimes
@@ -247,6 +248,60 @@ def _(t):
     return rk.previous_asof(t.days, positions(t))
 
 
+VIEWS["v_ochosen"] = """
+SELECT portfolio, instrument, score, least(score, 0.8e0) AS conf, (score - 0.5e0) * 0.002e0 AS expected FROM (
+ SELECT *, bool_or(score >= 0.35e0) OVER (PARTITION BY portfolio) AS anyok, row_number() OVER (PARTITION BY portfolio ORDER BY score DESC, instrument) AS r FROM (SELECT portfolio, instrument, conviction / 100 AS score FROM v_pos))
+WHERE score >= 0.35e0 OR (NOT anyok AND r <= 10)"""
+VIEWS["v_opanel"] = """
+SELECT r.portfolio, r.instrument, r.k, r.ret FROM v_pret r JOIN v_ochosen c ON c.portfolio = r.portfolio AND c.instrument = r.instrument
+JOIN (SELECT portfolio, min(mk) AS n FROM (SELECT p.portfolio, p.instrument, max(k) AS mk FROM v_pret p JOIN v_ochosen o ON o.portfolio = p.portfolio AND o.instrument = p.instrument GROUP BY 1, 2) GROUP BY 1) m ON m.portfolio = r.portfolio AND r.k <= m.n AND m.n >= 30"""
+VIEWS["v_ocov"] = """
+SELECT a.portfolio, a.instrument AS a, b.instrument AS b, covar_samp(a.ret, b.ret) AS cov FROM v_opanel a JOIN v_opanel b ON a.portfolio = b.portfolio AND a.k = b.k GROUP BY 1, 2, 3"""
+VIEWS["v_oscen"] = """
+SELECT portfolio, scenario, instrument, 1.0e0 / n + (w - 1.0e0 / n) * CASE WHEN top > greatest(0.2e0, 1.0e0 / n) THEN (greatest(0.2e0, 1.0e0 / n) - 1.0e0 / n) / (top - 1.0e0 / n) ELSE 1.0e0 END AS weight
+FROM (SELECT *, max(w) OVER (PARTITION BY portfolio, scenario) AS top FROM (SELECT *, u / sum(u) OVER (PARTITION BY portfolio, scenario) AS w FROM (
+  SELECT p.portfolio, p.instrument, s.scenario, count(*) OVER (PARTITION BY p.portfolio, s.scenario) AS n,
+   CASE WHEN s.scenario = 0 THEN 1.0e0 ELSE ((p.instrument * 7919 + s.scenario * 104729 + s.scenario * p.instrument * 31) % 1000 + 1) / 1000.0e0 END AS u
+  FROM (SELECT DISTINCT portfolio, instrument FROM v_opanel) p CROSS JOIN (SELECT unnest(generate_series(0, 299)) AS scenario) s)))"""
+VIEWS["v_oopt"] = """
+SELECT portfolio, any_value(ids) AS ids, list({'s': scenario, 'vol': vol, 'own': own, 'fixed': fixed, 'w': w, 'm': m} ORDER BY scenario) AS opts FROM (
+ SELECT portfolio, scenario, list(instrument ORDER BY instrument) AS ids, sqrt(sum(weight * wc) * 252) AS vol, (sum(weight * expected) * 252 - 0.011e0) / sqrt(sum(weight * wc) * 252) AS own,
+  sum(weight * conf * expected) AS fixed, list(weight ORDER BY instrument) AS w, list(answer ORDER BY instrument) AS m
+ FROM (SELECT b.portfolio, b.scenario, b.instrument, any_value(b.weight) AS weight, any_value(cb.conf) AS conf, any_value(cb.expected) AS expected, sum(a.weight * cov) AS wc, sum(a.weight * (1.0e0 - ca.conf) * cov * 2.5e0) AS answer
+  FROM v_oscen b JOIN v_ocov c ON c.portfolio = b.portfolio AND c.b = b.instrument JOIN v_oscen a ON a.portfolio = b.portfolio AND a.scenario = b.scenario AND a.instrument = c.a
+  JOIN v_ochosen ca ON ca.portfolio = a.portfolio AND ca.instrument = a.instrument JOIN v_ochosen cb ON cb.portfolio = b.portfolio AND cb.instrument = b.instrument GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1"""
+VIEWS["v_orow"] = """
+SELECT row_number() OVER (ORDER BY d.portfolio) AS step, d.portfolio, coalesce(o.ids, d.ids) AS ids, o.opts FROM (SELECT portfolio, list(instrument ORDER BY instrument) AS ids FROM v_ochosen GROUP BY 1) d LEFT JOIN v_oopt o ON o.portfolio = d.portfolio"""
+FLOW_SQL = """
+WITH RECURSIVE f AS (
+  SELECT 0::BIGINT AS step, NULL::DATE AS portfolio, []::BIGINT[] AS keys, []::DOUBLE[] AS target, []::DOUBLE[] AS old, []::DOUBLE[] AS weight, []::BOOLEAN[] AS hit, '' AS method, 0.0e0 AS sharpe
+  UNION ALL
+  SELECT step, portfolio, keys, target, old,
+    CASE WHEN method = 'equal_weight' THEN list_transform(target, lambda x: round(x, 4)) ELSE list_transform(moved, lambda x: round(x / list_sum(moved), 6)) END,
+    CASE WHEN method = 'equal_weight' OR list_sum(old) = 0 THEN list_transform(keys, lambda x: false) ELSE hit END, method, sharpe
+  FROM (SELECT *, list_transform(range(1, len(keys) + 1), lambda i: abs(target[i] - old[i]) > 0.05e0) AS hit,
+      list_transform(range(1, len(keys) + 1), lambda i: CASE WHEN list_sum(old) > 0 AND abs(target[i] - old[i]) > 0.05e0 THEN old[i] + sign(target[i] - old[i]) * 0.05e0 ELSE target[i] END) AS moved
+    FROM (SELECT *, list_transform(keys, lambda k: coalesce(list_extract(aim, list_position(ids, k)), 0.0e0)) AS target,
+        list_transform(keys, lambda k: coalesce(list_extract(held, list_position(had, k)) / list_sum(held), 0.0e0)) AS old
+      FROM (SELECT *, list_sort(list_distinct(list_concat(ids, had))) AS keys,
+          CASE WHEN opts IS NULL THEN list_transform(ids, lambda k: 1.0e0 / len(ids)) WHEN blend.r > own.r THEN list_transform(blend.w, lambda x: x / list_sum(blend.w)) ELSE list_transform(own.w, lambda x: x / list_sum(own.w)) END AS aim,
+          CASE WHEN opts IS NULL THEN 'equal_weight' WHEN blend.r > own.r THEN 'blended' ELSE 'mean_variance' END AS method,
+          CASE WHEN opts IS NULL THEN 0.0e0 ELSE greatest(blend.r, own.r) END AS sharpe
+        FROM (SELECT *, list_max(list_transform(opts, lambda o: {'r': round(((o.fixed + list_sum(list_transform(range(1, len(ids) + 1), lambda j: o.m[j] * CASE WHEN list_sum(p) > 0 THEN p[j] / list_sum(p) ELSE 1.0e0 / len(ids) END))) * 252 - 0.011e0) / o.vol, 8), 's': -o.s, 'w': o.w})) AS blend,
+            list_max(list_transform(opts, lambda o: {'r': round(o.own, 8), 's': -o.s, 'w': o.w})) AS own
+          FROM (SELECT n.step, n.portfolio, n.ids, n.opts, list_filter(f.keys, lambda k, i: f.weight[i] > 0) AS had, list_filter(f.weight, lambda w: w > 0) AS held,
+              list_transform(n.ids, lambda k: coalesce(list_extract(f.weight, list_position(f.keys, k)), 0.0e0)) AS p
+            FROM f JOIN v_orow n ON n.step = f.step + 1))))))
+SELECT portfolio AS date, keys[i] AS instrument, round(target[i], 6) AS target, round(old[i], 6) AS previous, round(weight[i] - old[i], 6) AS change, weight[i] AS weight, hit[i] AS limited, method, sharpe
+FROM (SELECT *, unnest(range(1, len(keys) + 1)) AS i FROM f WHERE step > 0)"""
+
+
+@query("L13_optimiser_flow", FLOW_SQL)
+def _(t):
+    c = positions(t).select(F.lit("all").alias("book"), F.col("portfolio").alias("date"), "portfolio", "instrument", (F.col("conviction") / 100).alias("score"))
+    return optimiser.rebalance(c, returns60(t), SCENARIOS, cap=0.2).drop("book")
+
+
 @query("L14_pnl_var", """
 SELECT instrument, n, CASE WHEN n >= 5 THEN round(abs(pnl_pct), 2) ELSE 0.0e0 END AS var_pct FROM (SELECT instrument, pnl_pct, row_number() OVER (PARTITION BY instrument ORDER BY pnl_pct, trade_id) AS pos, count(*) OVER (PARTITION BY instrument) AS n FROM v_trades WHERE pnl_pct IS NOT NULL)
 WHERE pos = floor(n * 0.05e0) + 1""")
