@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from tickloom import params
@@ -20,6 +21,7 @@ from tickloom.plans.screen_plans import screened
 from tickloom.sources import snapshots as sn
 from tickloom.sources.sql_views import VIEWS
 from tickloom.sources.store import fresh_path
+from tickloom.sources.stored import StoredTable, load
 
 VIEWS["v_raw"] = """
 SELECT instrument, date, date_trunc('month', date)::DATE AS snapshot, CAST(instrument AS VARCHAR) || CASE WHEN instrument % 40 = 9 THEN 'B' ELSE '' END AS code, CASE WHEN instrument % 6 = 0 THEN '' ELSE 'Firm ' || instrument END AS name_a, 'Name ' || instrument AS name_b,
@@ -141,6 +143,73 @@ def _(t):
     return t.spark.read.schema(done.schema).parquet(path)
 
 
+BARS = T.StructType([T.StructField("instrument", T.LongType()), T.StructField("date", T.DateType()), T.StructField("close", T.DoubleType())])
+ACTIONS = T.StructType([T.StructField("instrument", T.LongType()), T.StructField("ex_date", T.DateType()), T.StructField("source", T.StringType()), T.StructField("cash_div", T.DoubleType())])
+REGIMES = T.StructType([T.StructField("date", T.DateType()), T.StructField("raw_regime", T.StringType())])
+LEDGER = T.StructType([T.StructField("date", T.DateType()), T.StructField("action", T.StringType()), T.StructField("instrument", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("pnl_abs", T.DoubleType())])
+
+
+def stored_tables(t) -> dict[str, StoredTable]:
+    """Empty stored tables of their own: dates by month or year."""
+    root = fresh_path(t.spark, "loads")
+    make = lambda name, schema, keys, part: StoredTable(t.spark, f"{root}/{name}", schema, keys, part)
+    return {
+        "bars": make("bars", BARS, ["instrument", "date"], F.date_format("date", "yyyy-MM")),
+        "actions": make("actions", ACTIONS, ["instrument", "ex_date"], F.year("ex_date")),
+        "regimes": make("regimes", REGIMES, ["date"], F.year("date")),
+        "ledger": make("ledger", LEDGER, ["date", "action", "instrument", "price"], F.date_format("date", "yyyy-MM")),
+    }
+
+
+def load_rows(t, early: bool) -> dict:
+    """What is loaded first (up to 1998, official actions, regimes still unknown) and what is loaded later (everything)."""
+    bars = t.bars.select("instrument", "date", rnd("close", 4).alias("close"))
+    actions = t.actions_all.select("instrument", "ex_date", "source", "cash_div", "seq", (F.col("source") == "declaration").cast("int").alias("late"))
+    regimes = raw_regimes(t).select("date", "raw_regime")
+    ledger = panel.trade_ledger(trades(t)).select("date", "action", "instrument", "price", "pnl_abs")
+    if not early:
+        return {"bars": bars, "actions": actions, "regimes": regimes, "ledger": ledger}
+    return {"bars": bars.where("date < '1999-01-01'"), "actions": actions.where("late = 0"), "regimes": regimes.where("date < '1999-01-01'").withColumn("raw_regime", F.lit("unknown")), "ledger": ledger.where("date < '1999-01-01'")}
+
+
+LOAD_ORDER = {"bars": ["close"], "actions": ["late", "seq"], "regimes": ["raw_regime"], "ledger": ["pnl_abs"]}
+
+
+@query("A14_stored_load", """
+WITH n AS (
+  SELECT 'bars' AS name, count(*) FILTER (WHERE date < DATE '1999-01-01') AS early, count(*) FILTER (WHERE date < DATE '1999-01-01') AS early_rows, count(*) AS whole, count(*) AS whole_rows, 0 AS again FROM v_bars
+  UNION ALL SELECT 'actions', count(DISTINCT (instrument, ex_date)) FILTER (WHERE source = 'official'), count(*) FILTER (WHERE source = 'official'), count(DISTINCT (instrument, ex_date)), count(*), 0 FROM v_actions_all
+  UNION ALL SELECT 'regimes', count(*) FILTER (WHERE date < DATE '1999-01-01'), count(*) FILTER (WHERE date < DATE '1999-01-01'), count(*), count(*), count(*) FILTER (WHERE date < DATE '1999-01-01' AND raw_regime <> 'unknown') FROM v_raw_regime
+  UNION ALL SELECT 'ledger', count(*) FILTER (WHERE date < DATE '1999-01-01'), count(*) FILTER (WHERE date < DATE '1999-01-01'), count(*), count(*), 0 FROM (
+    SELECT entry_date AS date, 'entry' AS action, instrument, entry_price AS price FROM v_trades GROUP BY ALL UNION ALL SELECT exit_date, 'exit', instrument, exit_price FROM v_trades WHERE exit_date IS NOT NULL GROUP BY ALL))
+SELECT 1 AS run, name AS "table", early AS inserted, early_rows - early AS skipped FROM n
+UNION ALL SELECT 2, name, whole - early + again, whole_rows - (whole - early + again) FROM n
+UNION ALL SELECT 3, name, 0, whole_rows FROM n""")
+def _(t):
+    tables, out = stored_tables(t), None
+    for run, early in ((1, True), (2, False), (3, False)):
+        n = load(tables, load_rows(t, early), LOAD_ORDER, replaced=["regimes"]).select(F.lit(run).alias("run"), "table", "inserted", "skipped")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("A4_stored_upsert", """
+SELECT instrument, date, CASE WHEN date < DATE '1999-01-01' THEN round(close, 4) ELSE 1.0e0 END AS close FROM v_bars""")
+def _(t):
+    table, rows = stored_tables(t)["bars"], load_rows(t, False)["bars"]
+    table.insert(rows.where("date < '1999-01-01'"), LOAD_ORDER["bars"])
+    table.insert(rows.withColumn("close", F.lit(1.0)), LOAD_ORDER["bars"])
+    return table.rows()
+
+
+@query("A6_stored_replace", "SELECT date, raw_regime FROM v_raw_regime")
+def _(t):
+    table = stored_tables(t)["regimes"]
+    for early in (True, False):
+        table.replace(load_rows(t, early)["regimes"], LOAD_ORDER["regimes"])
+    return table.rows()
+
+
 @query("A14_load_counts", """
 SELECT 'bars' AS "table", count(*) FILTER (WHERE date >= DATE '1999-01-01') AS inserted, count(*) FILTER (WHERE date < DATE '1999-01-01') AS skipped FROM v_bars
 UNION ALL SELECT 'actions', count(DISTINCT (instrument, ex_date)) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v_actions_all o WHERE o.source = 'official' AND o.instrument = a.instrument AND o.ex_date = a.ex_date)),
