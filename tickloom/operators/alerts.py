@@ -213,12 +213,16 @@ def by_group(df: DataFrame, keys: Sequence[str], order: str, fn, schema: str) ->
     return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
-def rate_limited(alerts: DataFrame, cal: DataFrame, channel: str, kind: str, ts: str, event_id: str, seconds: int = RATE_LIMIT_SECONDS) -> DataFrame:
-    """Alerts sent after holiday suppression and the minimum spacing per channel."""
+def in_session(alerts: DataFrame, cal: DataFrame, kind: str, ts: str) -> DataFrame:
+    """Alerts of days that are not closed, and those that are never suppressed. ``cal`` has one row per date."""
     day = cal.select(F.col("date").alias("_day"), F.col("is_trading").alias("_open"))
     x = alerts.withColumn("_day", F.col(ts).cast("date")).join(day, "_day", "left")
-    x = x.where(F.col(kind).isin(*NEVER_SUPPRESS) | F.coalesce(F.col("_open"), F.lit(True))).drop("_day", "_open")
-    return spaced(x, [channel], ts, event_id, seconds)
+    return x.where(F.col(kind).isin(*NEVER_SUPPRESS) | F.coalesce(F.col("_open"), F.lit(True))).drop("_day", "_open")
+
+
+def rate_limited(alerts: DataFrame, cal: DataFrame, channel: str, kind: str, ts: str, event_id: str, seconds: int = RATE_LIMIT_SECONDS) -> DataFrame:
+    """Alerts sent after holiday suppression and the minimum spacing per channel."""
+    return spaced(in_session(alerts, cal, kind, ts), [channel], ts, event_id, seconds)
 
 
 def prune_history(history: DataFrame, ts: str, as_of: Column, seconds: int = COOLDOWN_SECONDS) -> DataFrame:

@@ -101,6 +101,55 @@ def _(t):
     return alerts(t).groupBy("kind", al.route(F.col("kind")).alias("route")).agg(F.count("*").alias("alerts"))
 
 
+#: files that the events arrive in, and the latest an event may come after its time
+ARRIVALS, DELAY_SECONDS = 6, 3 * 3600
+
+
+def arriving(t, run) -> None:
+    """Events as files in order of arrival, up to three hours late and so out of order; ``run(stream)`` is called
+    when half of them are there, and again, as a restart, when all are."""
+    events, folder = t.read("events"), fresh_path(t.spark, "arrivals")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(DELAY_SECONDS))
+    timed = events.withColumn("_at", al.micros("ts") / 1e6 + late)
+    span = timed.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
+    width = ((span["hi"] or 0) - (span["lo"] or 0)) / ARRIVALS + 1e-3
+    chunk = F.least(F.floor((F.col("_at") - F.lit(span["lo"])) / width), F.lit(ARRIVALS - 1))
+    for i in range(ARRIVALS):
+        timed.where(chunk == i).drop("_at").coalesce(1).write.mode("append").parquet(folder)
+        if i in (ARRIVALS // 2 - 1, ARRIVALS - 1):
+            run(t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+@query("N5_rate_limit_stream", _chain("v_open_alerts", 30 * 60 * 1000000) + "SELECT e.event_id FROM acc JOIN v_open_alerts e ON e.us = acc.us WHERE e.us < ((SELECT max(us) FROM v_open_alerts) // 1000 - 14400000) * 1000")
+def _(t):
+    days = alerts(t).select(F.col("ts").cast("date").alias("date")).distinct().withColumn("is_trading", F.weekday("date") < 5)
+    path, state = fresh_path(t.spark, "limited-out"), fresh_path(t.spark, "limited-state")
+    done = []
+    arriving(t, lambda src: done.append(rules.drain(rules.rate_limit_stream(alerts(t, src).withColumn("channel", F.lit("main")), days, "channel", "kind", "ts", "event_id"), path, state)))
+    return done[-1].select("event_id")
+
+
+@query("N6_digests_stream", """
+WITH d AS (
+ SELECT digest, kind, count(*) AS alerts, count(DISTINCT message) AS messages, min(ts) AS first_ts, max(ts) AS last_ts FROM (
+  SELECT *, date_trunc('day', l) + CASE WHEN hour(l) < 8 THEN INTERVAL 8 HOUR WHEN hour(l) < 17 THEN INTERVAL 17 HOUR ELSE INTERVAL 32 HOUR END AS digest FROM (SELECT *, ts + INTERVAL 8 HOUR AS l FROM v_alert_s WHERE severity = 'info')) GROUP BY 1, 2)
+SELECT * FROM d WHERE digest <= (SELECT max(digest) FROM d) - INTERVAL 4 HOUR""")
+def _(t):
+    path, state = fresh_path(t.spark, "digests-out"), fresh_path(t.spark, "digests-state")
+    done = []
+    arriving(t, lambda src: done.append(rules.drain(rules.digest_stream(alerts(t, src), "kind", "ts", "message"), path, state)))
+    return done[-1].withColumn("digest", F.col("digest").cast("timestamp_ntz"))
+
+
+@query("N7_routing_stream", """
+SELECT event_id, kind, CASE severity WHEN 'critical' THEN 'send_formatted' WHEN 'warning' THEN 'send' ELSE 'digest' END AS route, substr(sha256(message), 1, 16) AS hash,
+  CASE WHEN kind IN ('regime_change', 'daily') THEN '' ELSE regexp_extract(message, '\\b(\\d{4})\\b', 1) END AS code FROM v_alert_s""")
+def _(t):
+    root, state = fresh_path(t.spark, "routes"), fresh_path(t.spark, "routes-state")
+    arriving(t, lambda src: rules.route_stream(alerts(t, src), root, state))
+    return rules.routed(t.spark, root, alerts(t).schema).select("event_id", "kind", "route", "hash", "code")
+
+
 @query("N8_regime_changes", REGIME_SQL.rsplit("SELECT", 1)[0] + """
 SELECT date, old, regime AS new FROM (SELECT date, regime, lag(regime) OVER (ORDER BY date) AS old FROM f) WHERE old IS NOT NULL AND old <> regime""")
 def _(t):

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tickloom import params
-from tickloom.operators.alerts import next_digest, severity, walk
+from tickloom.operators.alerts import RATE_LIMIT_SECONDS, ROUTES, in_session, instrument_code, message_hash, next_digest, route, severity, walk
 from tickloom.operators.market import next_regime
 from tickloom.sources.workers import ship
 
@@ -76,11 +77,58 @@ def regime_stream(raw: DataFrame, market: str = "market", min_days: int = params
         step, f"{market} string, date date, regime string, days_in_regime int", "regime string, days int", "append", GroupStateTimeout.NoTimeout)
 
 
-def digest_stream(alerts: DataFrame, kind: str, ts: str, offset_hours: int = 8, lateness: str = "4 hours") -> DataFrame:
-    """The digests of ``operators.alerts.digests`` as a stream; a digest is emitted once no late row can change it."""
+def rate_limit_stream(alerts: DataFrame, cal: DataFrame, channel: str, kind: str, ts: str, event_id: str, seconds: int = RATE_LIMIT_SECONDS, lateness: str = "4 hours") -> DataFrame:
+    """``operators.alerts.rate_limited`` as a stream: the calendar, a static table, is joined by day before the
+    channel's spacing is decided, so suppressed alerts never wait in state. Decisions are those of ``dedupe_stream``."""
+    return dedupe_stream(in_session(alerts, cal, kind, ts), [channel], ts, event_id, seconds, lateness)
+
+
+def digest_stream(alerts: DataFrame, kind: str, ts: str, message: str, offset_hours: int = 8, lateness: str = "4 hours") -> DataFrame:
+    """The digests of ``operators.alerts.digests`` as a stream; a digest is emitted once no late row can change it.
+
+    Messages are counted once each by a first aggregate per message hash, whose rows leave
+    its state when the digest closes and are added up by the second one.
+    """
     local = F.col(ts) + F.expr(f"INTERVAL {offset_hours} HOURS")
     info = alerts.where(severity(F.col(kind)) == "info").withColumn("digest", next_digest(local).cast("timestamp")).withWatermark("digest", lateness)
-    return info.groupBy("digest", kind).agg(F.count("*").alias("alerts"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    each = info.groupBy("digest", kind, message_hash(F.col(message)).alias("hash")).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    return each.groupBy("digest", kind).agg(F.sum("n").alias("alerts"), F.count("*").alias("messages"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
+def route_batch(root: str, kind: str, message: str) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` calls: each alert goes to the sink of its route, one folder per sink and batch.
+
+    A batch that runs again, after a failure between its sinks or before its commit,
+    replaces its own folders, so that no alert is written twice or lost. Critical alerts
+    carry a formatted message.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        k = F.col(kind)
+        rows = batch.withColumns({"route": route(k), "hash": message_hash(F.col(message)), "code": instrument_code(F.col(message), k)}).persist()
+        try:
+            for name in ROUTES.values():
+                mine = rows.where(F.col("route") == name).drop("route")
+                if name == "send_formatted":
+                    mine = mine.withColumn(message, F.concat(F.lit("["), F.upper(k), F.lit("] "), F.when(F.col("code") != "", F.concat("code", F.lit(": "))).otherwise(""), message))
+                mine.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return write
+
+
+def route_stream(alerts: DataFrame, root: str, checkpoint: str, kind: str = "kind", message: str = "message") -> None:
+    """Route what is available now; what an earlier run with this checkpoint has routed is not read again."""
+    q = alerts.writeStream.foreachBatch(route_batch(root, kind, message)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def routed(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """All sinks of ``route_stream`` over alerts of ``schema``, with their route."""
+    full = StructType([*schema.fields]).add("hash", "string").add("code", "string").add("batch", "long")
+    sinks = [spark.read.schema(full).parquet(f"{root}/{name}").withColumn("route", F.lit(name)) for name in ROUTES.values()]
+    return sinks[0].unionByName(sinks[1]).unionByName(sinks[2])
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
