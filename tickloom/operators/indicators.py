@@ -40,8 +40,38 @@ def sma(c: Column | str, period: int, key: str = KEY) -> Column:
     return F.when(F.row_number().over(w) >= period, F.avg(c).over(w.rowsBetween(-(period - 1), 0)))
 
 
-def with_sma(bars: DataFrame, periods: Sequence[int], value: str = "adj_close") -> DataFrame:
-    return bars.withColumns({f"sma{p}": sma(value, p) for p in periods})
+def with_sma(bars: DataFrame, periods: Sequence[int], value: str = "adj_close", key: str = KEY) -> DataFrame:
+    """``sma{p}`` for each period, as ``sma`` gives it, in constant time per row and period.
+
+    A sliding frame is walked for every row. Here only the shortest period has one; a
+    longer one adds up to ten lagged sums of a shorter period that divides it. Sums are
+    only added, never taken apart, so nothing cancels; nulls are left out by a running count.
+    """
+    w = by_date(key)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    ordered = sorted(set(periods))
+    # a short sum to begin with, where the periods have none themselves
+    todo = ordered if not ordered or ordered[0] <= 10 else [*[p for p in (10,) if any(q % p == 0 and q // p <= 10 for q in ordered)], *ordered]
+    x = bars.withColumns({"_n": F.row_number().over(w), "_c": F.count(value).over(so_far)})
+    done: list[int] = []
+    while todo:
+        of = {p: max((q for q in done if p % q == 0 and p // q <= 10), default=None) for p in todo}
+        ready = [p for p in todo if of[p]] or todo[:1]
+        sums = {}
+        for p in ready:
+            if of[p]:
+                parts = [F.lag(f"_s{of[p]}", of[p] * i).over(w) if i else F.col(f"_s{of[p]}") for i in range(p // of[p])]
+                total = parts[0]
+                for part in parts[1:]:
+                    total = total + part
+            else:
+                total = F.when(F.col("_n") >= p, F.coalesce(F.sum(value).over(w.rowsBetween(-(p - 1), 0)), dbl(0)))
+            sums[f"_s{p}"] = total
+        x = x.withColumns(sums)
+        done += ready
+        todo = [p for p in todo if p not in ready]
+    count = {p: F.col("_c") - F.coalesce(F.lag("_c", p).over(w), F.lit(0)) for p in ordered}
+    return x.withColumns({f"sma{p}": F.col(f"_s{p}") / F.nullif(count[p], F.lit(0)) for p in ordered}).drop("_n", "_c", *[f"_s{p}" for p in done])
 
 
 def alignment_points(current: Column, ma5: Column, ma10: Column, ma20: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom import params
 from tickloom.functions.typing import clamp, dbl, lookup, rnd
-from tickloom.operators.indicators import KEY, by_date, sma
+from tickloom.operators.indicators import KEY, by_date, sma, with_sma
 
 
 def breadth(bars: DataFrame, period: int = 20, value: str = "adj_close") -> DataFrame:
@@ -41,42 +41,66 @@ def breadth(bars: DataFrame, period: int = 20, value: str = "adj_close") -> Data
     )
 
 
-def instrument_state(bars: DataFrame, ex_days: DataFrame, max_gap_days: int) -> DataFrame:
-    """Per bar: trailing volume, SMA flags and running return moments, with the date the state ends."""
+def numbered_days(bars: DataFrame) -> DataFrame:
+    """(date, t, last_t): the dates with a bar, numbered from 0, and the last number (one row per date)."""
+    days = bars.select("date").distinct()
+    return days.select("date", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1).alias("t")).withColumn("last_t", F.max("t").over(Window.partitionBy(F.lit(0))))
+
+
+def instrument_state(bars: DataFrame, ex_days: DataFrame, max_gap_days: int, days: DataFrame | None = None) -> DataFrame:
+    """Per bar: trailing volume, SMA flags and running return moments, with the trading days [from_t, until_t) of the state."""
     w = by_date()
+    bars = bars.join(numbered_days(bars) if days is None else days, "date")
     all_so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     prev, gap = F.lag("adj_close").over(w), F.datediff("date", F.lag("date").over(w))
     marked = bars.join(ex_days.select(KEY, F.col("ex_date").alias("date"), F.lit(True).alias("is_ex")), [KEY, "date"], "left")
     ret = F.when((prev > 0) & (gap <= max_gap_days) & F.col("is_ex").isNull(), (F.col("adj_close") - prev) / prev)
     x = marked.withColumn("ret", ret).withColumn("n", F.row_number().over(w).cast("long"))
-    flag = lambda p: F.coalesce((F.col("adj_close") > sma("adj_close", p)).cast("long"), F.lit(0))
-    x = x.withColumns({
+    flag = lambda p: F.coalesce((F.col("adj_close") > F.col(f"sma{p}")).cast("long"), F.lit(0))
+    x = with_sma(x, (50, 150, 300)).withColumns({
         "vol20": F.avg("adj_volume").over(w.rowsBetween(-19, 0)),
         "above50": flag(50), "above150": flag(150), "above300": flag(300),
         "has50": (F.col("n") >= 50).cast("long"),
         "r_n": F.count("ret").over(all_so_far),
         "r_m": F.coalesce(F.avg("ret").over(all_so_far), dbl(0)),
         "r_v": F.coalesce(F.var_pop("ret").over(all_so_far), dbl(0)),
-        "until": F.lead("date").over(w),
+        "until_t": F.coalesce(F.lead("t").over(w), F.col("last_t") + 1),
     })
-    return x.where("n >= 20").select(KEY, "date", "until", "n", "vol20", "above50", "above150", "above300", "has50", "r_n", "r_m", "r_v")
+    return x.where("n >= 20").select(KEY, "date", F.col("t").alias("from_t"), "until_t", "n", "vol20", "above50", "above150", "above300", "has50", "r_n", "r_m", "r_v")
+
+
+def blocks(states: DataFrame, start: str, end: str) -> DataFrame:
+    """``states`` with (level, index), a row for each dyadic block of the days [start, end): two per level at the
+    most, one for a single day. Block (k, i) is the days [i * 2**k, (i + 1) * 2**k)."""
+    level = F.explode(F.sequence(F.lit(0), F.floor(F.log2((F.col(end) - F.col(start)).cast("double"))).cast("int")))
+    x = states.withColumn("level", level).withColumn("_half", F.expr("shiftleft(1, level)"))
+    # what lower levels leave to this one: whole blocks from _a up to _b; an odd end of it is a block of this level
+    x = x.withColumn("_a", F.expr(f"shiftright({start} + _half - 1, level)")).withColumn("_b", F.expr(f"shiftright({end}, level)")).where("_a < _b and (_a % 2 = 1 or _b % 2 = 1)")
+    odd = F.when(F.col("_a") % 2 == 0, F.array(F.col("_b") - 1)).when(F.col("_b") % 2 == 0, F.array("_a")).otherwise(F.array(F.col("_a"), F.col("_b") - 1))
+    return x.withColumn("index", F.explode(odd)).drop("_a", "_b", "_half", start, end)
 
 
-def leaders(state: DataFrame, last_date: DataFrame, top: int = 20) -> DataFrame:
-    """The ``top`` instruments by trailing volume on every date (states carried to the next bar).
+def leaders(state: DataFrame, days: DataFrame, top: int = 20) -> DataFrame:
+    """The ``top`` instruments by trailing volume on every trading day (states last until the next bar).
 
-    Each state is expanded over the days it is valid, at most one row per
-    instrument and day, and ranked with a group limit per day.
+    A state is cut into the dyadic blocks of its days, so it is one row where the
+    next bar is the next day and a few after a gap, never one row per day. A state covers
+    its blocks whole, so a block needs its ``top`` states only (a group limit before the
+    shuffle); a day's leaders are among those of the blocks around it, one per level.
     """
-    end = F.coalesce(F.date_sub("until", 1), F.col("last"))
-    days = state.crossJoin(F.broadcast(last_date)).withColumn("day", F.explode(F.sequence(F.col("date"), end)))  # last_date is one row
-    w = Window.partitionBy("day").orderBy(F.desc("vol20"), KEY)
-    return days.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r", "date", "until", "last").withColumnRenamed("day", "date")
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("vol20"), KEY))
+    cut = blocks(state.drop("date"), "from_t", "until_t")
+    best = cut.withColumn("_r", rank("level", "index")).where(F.col("_r") <= top).drop("_r")
+    levels = F.sequence(F.lit(0), F.floor(F.log2((F.col("last_t") + 1).cast("double"))).cast("int"))
+    around = days.select("date", "t", F.explode(levels).alias("level")).select("date", "level", F.expr("shiftright(t, level)").alias("index"))
+    met = best.join(around, ["level", "index"]).drop("level", "index")
+    return met.withColumn("_r", rank("date")).where(F.col("_r") <= top).drop("_r")
 
 
 def market_state(bars: DataFrame, ex_days: DataFrame, max_gap_days: int = 3, top: int = 20) -> DataFrame:
     """Per date: breadth, pooled volatility of the leaders, SMA ratios, global risk."""
-    lead = leaders(instrument_state(bars, ex_days, max_gap_days), bars.agg(F.max("date").alias("last")), top)
+    days = numbered_days(bars)
+    lead = leaders(instrument_state(bars, ex_days, max_gap_days, days), days, top)
     # counts, means and variances of the leaders merge without cancelling: within plus between
     n, by_date_ = F.sum("r_n"), Window.partitionBy("date")
     pooled = F.sum(F.col("r_n") * F.col("r_m")).over(by_date_) / F.nullif(n.over(by_date_), F.lit(0))

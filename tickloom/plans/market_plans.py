@@ -191,8 +191,9 @@ FROM (SELECT sector, date, avg(close) AS c FROM v_bars JOIN v_sectors USING (ins
 
 def wide(t):
     names = {"ASIA": "idx", "EUROPE": "peer", "AMERICA": "fx", "MIDDLE EAST": "vix"}
-    s = mk.sector_series(t.bars, t.sectors).withColumnRenamed("sector", "series")
-    return mk.wide_series(s, list(names)).select("date", *[F.col(k).alias(v) for k, v in names.items()])
+    series = lambda: mk.sector_series(t.panel, t.sectors).withColumnRenamed("sector", "series")
+    # one row per date, read by every pair and signal
+    return t.shared("wide", ("lineitem", "supplier", "nation", "region"), lambda: mk.wide_series(series(), list(names)).select("date", *[F.col(k).alias(v) for k, v in names.items()]))
 
 
 def _corr_sql(a, b, sign):
