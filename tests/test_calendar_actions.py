@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import typing as ty
 from tickloom.operators import actions as act
 from tickloom.operators import calendar as cal
+from tickloom.sources.driver_tables import Tables
 
 D = dt.date
 
@@ -61,3 +62,23 @@ def test_scalar_parsing(spark):
 def test_rounding_helper(spark):
     r = spark.createDataFrame([(-1.255,), (2.5,), (-0.001,), (None,)], "x double").select(ty.rnd("x", 2).alias("a"), ty.rnd("x").alias("b")).collect()
     assert [x.b for x in r] == [-1.0, 3.0, 0.0, None] and r[2].a == 0.0 and str(r[2].a) == "0.0"
+
+
+def test_rounding_of_large_values_keeps_them(spark):
+    """Doubles that have no digits left to round stay as they are; NaN and infinity too."""
+    big = [2e13, -9.3e12, 1e10, 1e300, float("inf"), 2.0**53 / 1e6]
+    r = spark.createDataFrame([(x,) for x in big], "x double").select("x", ty.rnd("x", 6).alias("a"), ty.rnd("x", 10).alias("b")).collect()
+    assert all(x["a"] == x["x"] and x["b"] == x["x"] for x in r)
+    nan = spark.createDataFrame([(float("nan"),)], "x double").select(ty.rnd("x", 6).alias("a")).first()["a"]
+    assert nan != nan
+
+
+def test_bars_of_orders_that_share_numbers(spark, tmp_path):
+    """Open and close by order, line, part and price, whatever their size."""
+    row = lambda order, line, part, price: (1, "1996-01-02", order, line, part, 1.0, price, 0.0, 0.0, "A")
+    ticks = [row(1, 12, 5, 300.0), row(2, 2, 5, 200.0), row(2, 2, 10**14, 100.0), row(10**18, 1, 1, 50.0), row(10**18, 1, 1, 40.0), row(1, 12, 5, 310.0)]
+    names = "l_suppkey long, l_shipdate string, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(ticks, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    bar = Tables(spark, str(tmp_path)).bars.first()
+    price = lambda x: (100.0 + x / 1e5) / 13**0.5
+    assert abs(bar["open"] - price(300.0)) < 1e-12 and abs(bar["close"] - price(50.0)) < 1e-12

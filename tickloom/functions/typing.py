@@ -17,9 +17,12 @@ def dbl(x: float) -> Column:
 
 
 def rnd(c: Column | str, digits: int = 0) -> Column:
-    """Round half away from zero in plain double arithmetic (stays inside codegen)."""
+    """Round half away from zero in plain double arithmetic (stays inside codegen).
+
+    From 2**53 / 10**digits on a double has no such digits: the value stays as it is, as do NaN and infinity.
+    """
     c, m = col(c).cast("double"), dbl(10.0**digits)
-    return F.when(c < 0, -F.floor(-c * m + 0.5)).otherwise(F.floor(c * m + 0.5)) / m
+    return F.when(F.abs(c) * m >= dbl(2.0**53), c).when(c < 0, -F.floor(-c * m + 0.5) / m).otherwise(F.floor(c * m + 0.5) / m)
 
 
 def safe_float(c: Column | str, default: float = 0.0) -> Column:

@@ -144,8 +144,8 @@ def equilibrium(cov: DataFrame, market: DataFrame, views: DataFrame, portfolio:
 def scenario_weights(holdings: DataFrame, portfolio: str, n: int, cap: float = MAX_STOCK) -> DataFrame:
     """``n`` reproducible long-only weight vectors per portfolio, in long form; scenario 0 is equal weight.
 
-    Draws come from a hash of (portfolio, instrument, scenario). A vector that
-    breaks the cap is pulled toward equal weight just far enough to meet it.
+    Draws are a line in instrument and scenario modulo 1000, the same for every
+    portfolio. A vector that breaks the cap is pulled toward equal weight just far enough to meet it.
     """
     size = F.count("*").over(Window.partitionBy(portfolio))
     x = holdings.select(portfolio, KEY).withColumn("_n", size).withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -42,10 +42,9 @@ def returns60(t):
 
 
 def pairs(t, hr=None):
-    """Correlations over the last 20 returns, scaled so that the test panel crosses the limit."""
+    """Correlations over the last 20 returns."""
     hr = returns60(t) if hr is None else hr
-    c = bt.holding_correlations(hr.where("k <= 20"), "portfolio")
-    return c
+    return bt.holding_correlations(hr.where("k <= 20"), "portfolio")
 
 
 #: correlations of the test panel are small: its limit on correlated pairs
@@ -90,18 +89,17 @@ def _(t):
     return var(t, returns60(t))
 
 
-@query("L4_risk_summary", """
+@query("L4_risk_summary", REGIME_SQL.rsplit("SELECT", 1)[0] + """
 SELECT p.portfolio, round(sum(p.value), 2) AS total_exposure, count(*) AS positions, any_value(v.var_pct) AS var_pct, any_value(g.regime) AS regime,
-  least(round(any_value(v.var_pct) * CASE any_value(g.regime) WHEN 'caution' THEN 1.5e0 WHEN 'stress' THEN 2.5e0 ELSE 1.0e0 END * 3, 4), 0.5e0) AS max_drawdown_risk,
+  least(round(any_value(v.var_pct) * CASE any_value(g.regime) WHEN 'caution' THEN 1.5e0 WHEN 'stress' THEN 2.5e0 WHEN 'crisis' THEN 4.0e0 WHEN 'black_swan' THEN 6.0e0 ELSE 1.0e0 END * 3, 4), 0.5e0) AS max_drawdown_risk,
   CAST(least(10, CASE WHEN any_value(s.top) > 0.5e0 THEN 3 WHEN any_value(s.top) > 0.25e0 THEN 2 ELSE 1 END + CASE WHEN any_value(v.var_pct) > 0.05e0 THEN 3 WHEN any_value(v.var_pct) > 0.03e0 THEN 2 ELSE 1 END
-   + CASE any_value(g.regime) WHEN 'stress' THEN 2 ELSE 1 END) AS INT) AS risk_score
+   + CASE any_value(g.regime) WHEN 'stress' THEN 2 WHEN 'crisis' THEN 3 WHEN 'black_swan' THEN 4 ELSE 1 END) AS INT) AS risk_score
 FROM v_pos p JOIN v_var v ON v.portfolio = p.portfolio JOIN (SELECT portfolio, round(max(x) / sum(x) * 100, 1) / 100 AS top FROM (SELECT portfolio, sector, sum(value) AS x FROM v_pos GROUP BY 1, 2) GROUP BY 1) s ON s.portfolio = p.portfolio
-JOIN (SELECT DISTINCT portfolio, CASE CAST(month(portfolio) % 3 AS INT) WHEN 0 THEN 'normal' WHEN 1 THEN 'caution' ELSE 'stress' END AS regime FROM v_pos) g ON g.portfolio = p.portfolio GROUP BY p.portfolio""")
+LEFT JOIN (SELECT q.portfolio, f.regime FROM (SELECT portfolio, max(date) AS date FROM v_pos GROUP BY 1) q JOIN f ON f.date = q.date) g ON g.portfolio = p.portfolio GROUP BY p.portfolio""")
 def _(t):
     p = positions(t)
-    m = F.month("portfolio") % 3
-    reg = p.select("portfolio").distinct().withColumn("regime", F.when(m == 0, "normal").when(m == 1, "caution").otherwise("stress"))
-    return rk.risk_summary(p, var(t, returns60(t)), reg)
+    held = p.groupBy("portfolio").agg(F.max("date").alias("date")).join(regimes(t).select("date", "regime"), "date").select("portfolio", "regime")
+    return rk.risk_summary(p, var(t, returns60(t)), held)
 
 
 @query("L4_top_sectors", """

@@ -54,9 +54,8 @@ class Tables:
     @cached_property
     def bars(self) -> DataFrame:
         """One bar per (instrument, date); open and close come from ordered partial aggregates."""
-        # order, line and part in one decimal: a fixed-width key keeps this a hash aggregate (a struct key would sort)
-        ten = F.lit(10).cast("decimal(2,0)")
-        order = ((F.col("l_orderkey").cast("decimal(18,0)") * ten + F.col("l_linenumber")) * F.lit(10**13).cast("decimal(14,0)") + F.col("l_partkey")).cast("decimal(38,0)")
+        # ticks of a day by order, line and part; equal ones by price
+        order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "price")
         return self.ticks.groupBy("instrument", "date").agg(
             F.min_by("price", order).alias("open"),
             F.max("price").alias("high"),
