@@ -80,7 +80,7 @@ def test_exact_trie_separates_equal_hashes_and_spills(docs, texts):
 def test_minhash_against_brute_force(docs, crowded, texts):
     want = brute_components(texts)
     for frame in (docs, crowded):
-        rows = minhash_dedup.near_duplicates(frame).collect()
+        rows = minhash_dedup.near_duplicates(frame, k=4).collect()
         assert len(rows) == len(texts)
         for r in rows:
             if r["doc_id"] is not None:
@@ -104,7 +104,7 @@ def test_minhash_chain_and_star(spark):
         rows.append((101 + i, " ".join(w)))
     chain = words(300, 10)
     rows += [(200 + i, " ".join(chain[10 * i : 10 * i + 100])) for i in range(20)]
-    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
     assert got == brute_components(rows)
 
 

@@ -38,6 +38,6 @@ def test_rows_that_repeat_a_doc_id_with_different_texts(spark):
     one_of_c = [x for x in kept if x[0] == 7]
     assert len(one_of_c) == 1 and one_of_c[0] in rows
     assert kept == sorted([(3, near(a)), (5, " ".join(b)), (9, "alone"), (9, None), *one_of_c], key=str)
-    out = minhash_dedup.near_duplicates(docs).collect()
+    out = minhash_dedup.near_duplicates(docs, k=4).collect()
     assert sorted((r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in out if r["doc_id"] != 7) == [(3, 3, 97, True), (5, 3, 97, False), (5, 5, 97, True), (9, 5, 97, False), (9, 9, 0, True), (9, 9, 1, True)]
     assert sorted((r["component_id"], r["kept"]) for r in out if r["doc_id"] == 7) == [(7, False), (7, True)]

@@ -96,8 +96,8 @@ def _answers(docs: DataFrame, k: int, percent: int, bands: int, rows: int, batch
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, batch_size: int = BATCH, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, batch_size: int = BATCH, miss: float = MISS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text), over sets of ``k`` words.
 
     ``percent`` is the least 100 * intersection / union of linked documents; with
     32 bands of 4 rows a pair at 0.8 shares no band with probability 5e-8.
