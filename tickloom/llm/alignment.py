@@ -18,10 +18,8 @@ shards. What a document gets back is a sum over its pairs, so no pair is joined:
   a document's sums are added at the end. None of these pairs is in more documents
   than total / ``heavy``, so no shard is hot.
 
-Token ids are the libraries' own. Pieces of text repeat, so a worker remembers their
-ids: of the byte-level file as in ``tokens``; of the piece file by runs of spaces and
-what follows, split also at line ends, over which its vocabulary has no piece (checked
-when it is loaded).
+Token ids are the libraries' own; those of the byte-level file are remembered by piece
+of text, as in ``tokens``.
 
 Defined results: texts that are null, empty, or not given back byte by byte by either
 tokenizer (such as those with U+2581) have no tokens, zeros and an empty digest; a row is a
@@ -32,7 +30,6 @@ gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,8 +46,6 @@ HELD = 1 << 20
 GALLOP = 1024
 #: links of a group that are listed one by one; larger groups go by their distinct ids
 LISTED = 1 << 16
-#: pieces of a generation; a worker remembers two
-REMEMBERED = 150_000
 PACKED = "shard int, pairs binary, counts binary"
 
 
@@ -85,32 +80,9 @@ class Pieces:
         self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        #: no piece goes on over a space or a line end, so texts may be encoded in parts
-        self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in names) and lib.encode("\n") == [lib.piece_to_id("▁"), lib.piece_to_id("<0x0A>")] and lib.encode(" ") == [lib.piece_to_id("▁▁")]
-        self.cut = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-        encode, held = lib.encode, REMEMBERED
-
-        class Known(dict):
-            older: dict = {}
-
-            def __missing__(self, part: str) -> bytes:
-                if len(self) >= held:
-                    self.older = dict(self)
-                    self.clear()
-                ids = self.older.get(part)
-                if ids is None:
-                    # the library adds a space of its own; a line end in front keeps it away from the part
-                    ids = np.array(encode("\n")[1:] if part == "\n" else encode(part[1:]) if part[0] == " " and part != " " else encode("\n" + part)[2:], "<u2").tobytes()
-                if len(part) <= 64:
-                    self[part] = ids
-                return ids
-
-        self.known = Known()
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.apart or "\0" in text:
-            return np.array(self.lib.encode(text), "<u2")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut.findall(" " + text))), "<u2")
+
+    def __call__(self, text: str) -> list[int]:
+        return self.lib.encode(text)
 
 
 class Aligner:
@@ -125,19 +97,19 @@ class Aligner:
         if max(size, len(self.b.bytes)) > 1 << 16:
             raise ValueError("ids of both files must be below 65536: a pair is one 32-bit number")
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.b.bytes))
-        #: an id's decimal digits and the sign behind it: [sign, id], five digits at most, blanks zero
-        self.said = [np.array([f"{i}{sign}".encode().ljust(6, b"\0") for i in range(max(size, len(self.b.bytes)))], "S6").view("u1").reshape(-1, 6) for sign in (",", "|", ";")]
+        #: at 3 * id + sign: the id's decimal digits and the sign behind it
+        self.said = [f"{i}{sign}".encode() for i in range(max(size, len(self.b.bytes))) for sign in ",|;"]
 
     def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         if not text or "▁" in text:
             return None
         whole = " " + text
         a = np.frombuffer(self.a(whole), self.a.dtype).astype(np.int64)
-        b = self.b(text).astype(np.int64)
+        b = self.b(text)
         raw = whole.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.b.bytes.__getitem__, b.tolist())) != raw:
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
             return None
-        return a, b
+        return a, np.array(b, np.int64)
 
     def __call__(self, text: str | None):
         """(tokens of A, of B, groups, links, text of the groups, distinct pairs, links of each pair)."""
@@ -174,14 +146,13 @@ class Aligner:
         return pairs.astype(np.uint32), times.astype(np.int64)
 
     def text(self, a, b, ia, ib, many_a, many_b) -> bytes:
-        comma, bar, end = self.said
-        out = np.empty((len(a) + len(b), 6), "u1")
-        group_a, group_b = np.repeat(np.arange(len(ia)), many_a), np.repeat(np.arange(len(ib)), many_b)
-        at_a = np.arange(len(a)) + np.concatenate(([0], ib[:-1] + 1))[group_a]
-        at_b = np.arange(len(b)) + (ia + 1)[group_b]
-        out[at_a], out[at_b] = comma[a], comma[b]
-        out[at_a[ia]], out[at_b[ib]] = bar[a[ia]], end[b[ib]]
-        return out.ravel()[out.ravel() != 0].tobytes()[:-1]
+        said = np.empty(len(a) + len(b), np.int64)
+        at_a = np.arange(len(a)) + np.repeat(np.concatenate(([0], ib[:-1] + 1)), many_a)
+        at_b = np.arange(len(b)) + np.repeat(ia + 1, many_b)
+        said[at_a], said[at_b] = 3 * a, 3 * b
+        said[at_a[ia]] += 1
+        said[at_b[ib]] += 2
+        return b"".join(map(self.said.__getitem__, said.tolist()))[:-1]
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
