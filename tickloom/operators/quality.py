@@ -127,6 +127,30 @@ def unwrap_payloads(df: DataFrame, payload: str, record: str) -> DataFrame:
         *[c for c in df.columns if c != payload], F.explode(F.from_json("_b", f"array<{record}>")).alias("r")).select("*", "r.*").drop("r")
 
 
+def check_payloads(df: DataFrame, payload: str, required: Sequence[str] = (), usual: str = r"^[^_]") -> DataFrame:
+    """``df`` with kind, n_records and reason; a null reason means that the payload can be loaded.
+
+    Nulls, pages, texts and error objects are rejected by kind, a list that is not
+    one of records as ``malformed``, a list whose first record has no field that
+    matches ``usual`` as ``unexpected fields``, and a payload in which a record
+    lacks a required field or holds null there as ``null: field, ...``. An empty list is fine.
+    """
+    body = F.when(F.col("kind") == "wrapped", F.get_json_object(payload, "$.data")).when(F.col("kind") == "record", F.concat(F.lit("["), F.col(payload), F.lit("]"))).when(
+        F.col("kind").isin("list", "empty_list"), F.col(payload))
+    records = F.from_json(body, "array<map<string,string>>")
+    first = F.map_keys(F.get("_r", F.lit(0)))
+    unusual = F.col("kind").isin("list", "wrapped") & (F.size("_r") > 0) & ~F.coalesce(F.exists(first, lambda k: k.rlike(usual)), F.lit(False))
+    lacking = F.filter(F.array(*[F.lit(c) for c in required]).cast("array<string>"), lambda c: F.exists("_r", lambda r: F.try_element_at(r, c).isNull()))
+    reason = (
+        F.when(F.col("kind").isin("null", "html", "text", "error"), F.col("kind"))
+        .when(F.col("_r").isNull() | F.exists("_r", lambda r: r.isNull()), "malformed")
+        .when(unusual, "unexpected fields")
+        .when(F.size(lacking) > 0, F.concat(F.lit("null: "), F.array_join(lacking, ", ")))
+    )
+    out = df.withColumn("kind", classify_payload(payload)).withColumn("_r", records)
+    return out.select(*df.columns, "kind", F.when(F.col("_r").isNotNull(), F.size("_r")).alias("n_records"), reason.alias("reason"))
+
+
 def nested(payload: Column | str, path: str, default: str | None = None) -> Column:
     """Dotted path in a JSON text with a default."""
     return F.coalesce(F.get_json_object(payload, "$." + path), F.lit(default))

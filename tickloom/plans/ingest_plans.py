@@ -134,6 +134,28 @@ def _(t):
     return sn.parameter_table(t.spark, params.STAGE1_WEIGHTS, given)
 
 
+REGIME_OF = {"1-URGENT": "normal", "2-HIGH": "caution", "3-MEDIUM": "stress", "4-NOT SPECIFIED": "crisis", "5-LOW": "panic"}
+FACTOR_OF = {"F": "revenue", "O": "valuation"}
+_cases = lambda column, names, other: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE '{other}' END"
+
+
+@query("A12_parameter_files", f"""
+WITH d(path, x) AS (VALUES {", ".join(f"('regime_weights.{r}.{k}', {v}e0)" for r, w in params.REGIME_WEIGHTS.items() for k, v in w.items())}, ('max_weight', {params.MAX_WEIGHT}e0)),
+g AS (SELECT 'regime_weights.' || {_cases("o_orderpriority", REGIME_OF, "none")} || '.' || {_cases("o_orderstatus", FACTOR_OF, "liquidity")} AS path, {_cases("o_orderpriority", REGIME_OF, "none")} = 'crisis' AS words, count(*) / 8.0e0 AS n FROM orders GROUP BY 1, 2)
+SELECT coalesce(d.path, g.path) AS path, CASE WHEN d.path IS NULL THEN CASE WHEN NOT words THEN n END WHEN g.path IS NULL OR words THEN x ELSE n END AS number, CASE WHEN d.path IS NULL AND words THEN 'n/a' END AS text,
+  CASE WHEN d.path IS NULL THEN 'unknown' WHEN g.path IS NULL THEN 'default' WHEN words THEN 'wrong type' ELSE 'given' END AS status FROM d FULL JOIN g ON d.path = g.path""")
+def _(t):
+    o = t.read("orders").select(lookup(F.col("o_orderpriority"), REGIME_OF, "none").alias("regime"), lookup(F.col("o_orderstatus"), FACTOR_OF, "liquidity").alias("factor"))
+    counts = o.groupBy("regime", "factor").agg((F.count("*") / 8.0).alias("n"))
+    value = F.when(F.col("regime") == "crisis", '"n/a"').otherwise(F.col("n").cast("string"))
+    inner = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('"'), "factor", F.lit('": '), value))), ", ")  # three factors
+    bodies = counts.groupBy("regime").agg(F.concat(F.lit('{"regime_weights": {"'), "regime", F.lit('": {'), inner, F.lit("}}}")).alias("value"))
+    root = fresh_path(t.spark, "parameters")
+    bodies.repartition("regime").write.partitionBy("regime").text(root)  # a file for each regime
+    files = sn.read_parameter_files(t.spark, root, "*.txt")
+    return sn.nested_parameters(t.spark, {"regime_weights": params.REGIME_WEIGHTS, "max_weight": params.MAX_WEIGHT}, sn.flatten_parameters(files))
+
+
 @query("A13_completed_signals", "SELECT trade_id, pnl_pct FROM v_trades WHERE exit_price IS NOT NULL")
 def _(t):
     path = fresh_path(t.spark, "calibration-log")
@@ -436,6 +458,17 @@ def _(t):
     return qa.unwrap_payloads(payloads(t), "payload", "struct<k: bigint>")
 
 
+@query("B21_payload_checks", """
+SELECT event_id, CASE CAST(event_id % 8 AS INT) WHEN 3 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN 1 WHEN 6 THEN 1 END AS n_records,
+  CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'null' WHEN 1 THEN 'html' WHEN 2 THEN 'error' WHEN 7 THEN 'text' WHEN 4 THEN NULL
+  ELSE CASE WHEN event_id % 5 = 0 AND event_id % 8 <> 6 THEN 'unexpected fields' WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'null: k' END END AS reason FROM events""")
+def _(t):
+    renamed = F.when(F.col("event_id") % 5 == 0, F.replace("payload", F.lit('"k"'), F.lit('"_k"'))).otherwise(F.col("payload"))
+    blank = F.when(F.col("event_id") % 7 == 0, F.regexp_replace("payload", r'("_?k"\s*:\s*)[^,}]+', "$1null")).otherwise(F.col("payload"))
+    p = payloads(t).withColumn("payload", renamed).withColumn("payload", blank)
+    return qa.check_payloads(p, "payload", ["k"]).select("event_id", "n_records", "reason")
+
+
 @query("B22_nested_lookup", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(CAST(props::JSON->>'k' AS BIGINT) AS VARCHAR) ELSE 'none' END AS value FROM events")
 def _(t):
     p = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": {"b": '), "props", F.lit("}}"))).otherwise(F.col("props"))

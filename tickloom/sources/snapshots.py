@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +80,59 @@ def parameter_table(spark: SparkSession, values: dict[str, float], given: DataFr
     if given is None:
         return base.select("name", F.col("default").alias("value"))
     return base.join(given.select("name", F.col("value").alias("_v")), "name", "left").select("name", F.coalesce("_v", "default").alias("value"))
+
+
+def read_parameter_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """(file, value): every JSON file below ``root`` as a variant; null where it is not JSON."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("value"))
+
+
+def flatten_parameters(files: DataFrame, depth: int = 8) -> DataFrame:
+    """(file, path, value): the leaves of nested objects under their key path, e.g. ``weights.normal.flow``.
+
+    Lists are leaves. Objects nested deeper than ``depth`` raise, empty ones and unreadable files give no row.
+    """
+    spark, found = files.sparkSession, None
+    level = files.select("file", F.lit("").alias("path"), "value")
+    for _ in range(depth):
+        kind = F.schema_of_variant("value")
+        leaf = level.where(~kind.startswith("OBJECT") & (F.col("path") != "")).select("file", F.substr("path", F.lit(2)).alias("path"), "value")
+        found = leaf if found is None else found.unionAll(leaf)
+        inner = level.where(kind.startswith("OBJECT")).withColumnRenamed("value", "object")
+        keys = inner.lateralJoin(spark.tvf.variant_explode(F.col("object").outer()))
+        level = keys.where("key is not null").select("file", F.concat("path", F.lit("."), "key").alias("path"), "value")
+    rest = F.when(F.schema_of_variant("value").startswith("OBJECT"), F.raise_error(F.concat(F.lit("parameters nested too deep: "), "path"))).otherwise(F.substr("path", F.lit(2)))
+    return found.unionAll(level.select("file", rest.alias("path"), "value"))
+
+
+def key_paths(values: Mapping, above: str = "") -> dict[str, object]:
+    """A nested mapping of defaults by key path."""
+    out = {}
+    for key, value in values.items():
+        out |= key_paths(value, f"{above}{key}.") if isinstance(value, Mapping) else {f"{above}{key}": value}
+    return out
+
+
+def nested_parameters(spark: SparkSession, defaults: Mapping, given: DataFrame) -> DataFrame:
+    """(path, number, text, status): stored leaves (file, path, value) over typed defaults.
+
+    A leaf takes the type of its default: ``number`` for numbers, ``text`` for texts and
+    truth values. ``status`` is given, default, wrong type (the default stays) or
+    unknown (no default has that path). Of several files with a path the last by name counts.
+    The defaults are as many as the code names.
+    """
+    rows = [(k, "text" if isinstance(v, (str, bool)) else "number", None if isinstance(v, (str, bool)) else float(v), str(v).lower() if isinstance(v, bool) else v if isinstance(v, str) else None) for k, v in key_paths(defaults).items()]
+    fields = F.array(*[F.struct(F.lit(k).alias("path"), F.lit(kind).alias("type"), F.lit(n).cast("double").alias("n"), F.lit(x).cast("string").alias("x")) for k, kind, n, x in rows])
+    base = spark.range(1).select(F.explode(fields).alias("p")).select("p.*")
+    plain = F.schema_of_variant("value")
+    leaves = given.select("path", "file", plain.alias("kind"), F.try_variant_get("value", "$", "double").alias("gn"), F.try_variant_get("value", "$", "string").alias("gx"))
+    last = leaves.groupBy("path").agg(F.max_by(F.struct("kind", "gn", "gx"), "file").alias("g")).select("path", "g.*")
+    numeric = F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    fits = F.when(F.col("type") == "number", numeric).otherwise(F.col("kind").isin("STRING", "BOOLEAN"))
+    both = base.join(last, "path", "full")
+    status = F.when(F.col("type").isNull(), "unknown").when(F.col("kind").isNull(), "default").when(fits, "given").otherwise("wrong type")
+    taken = both.withColumn("status", status)
+    number = F.when(F.col("status") == "given", F.when(F.col("type") == "number", F.col("gn"))).when(F.col("status") == "unknown", F.when(numeric, F.col("gn"))).otherwise(F.col("n"))
+    text = F.when(F.col("status") == "given", F.when(F.col("type") == "text", F.col("gx"))).when(F.col("status") == "unknown", F.when(~numeric, F.col("gx"))).otherwise(F.col("x"))
+    return taken.select("path", number.alias("number"), text.alias("text"), "status")
