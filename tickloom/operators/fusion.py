@@ -80,6 +80,32 @@ def fit_bins(samples: DataFrame, model: str, score: str, outcome: str, order: Se
         rnd("rate", 4).alias("output"), "sample_count")
 
 
+def monotone_bins(bins: DataFrame, model: str) -> DataFrame:
+    """``bins`` with ``monotone``: the non-decreasing outputs closest to theirs, weighted by sample_count.
+
+    Pool-adjacent-violators as a fold over the ordered bins of a model (ten at most):
+    a new bin joins the blocks before it for as long as their mean is not below its own.
+    """
+    block = "struct<s: double, w: double, bins: array<int>>"
+    mean = lambda b: b["s"] / b["w"]
+
+    def step(pooled, last):
+        joins = (F.size(pooled["rest"]) == 0) & (mean(last) >= mean(pooled["top"]))
+        both = F.struct((last["s"] + pooled["top"]["s"]).alias("s"), (last["w"] + pooled["top"]["w"]).alias("w"), F.concat(last["bins"], pooled["top"]["bins"]).alias("bins"))
+        return F.struct(F.when(joins, both).otherwise(pooled["top"]).alias("top"), F.when(joins, pooled["rest"]).otherwise(F.concat(F.array(last), pooled["rest"])).alias("rest"))
+
+    def add(blocks, b):
+        start = F.struct(b.alias("top"), F.array().cast(f"array<{block}>").alias("rest"))
+        return F.aggregate(F.reverse(blocks), start, step, lambda x: F.concat(x["rest"], F.array(x["top"])))
+
+    weight = F.col("sample_count").cast("double")
+    one = F.struct((F.col("output") * weight).alias("s"), weight.alias("w"), F.array(F.col("bin").cast("int")).alias("bins")).cast(block)
+    ordered = bins.groupBy(model).agg(F.array_sort(F.collect_list(F.struct("bin", one.alias("b")))).alias("all"))
+    blocks = ordered.select(model, F.explode(F.aggregate(F.transform("all", lambda x: x["b"]), F.array().cast(f"array<{block}>"), add)).alias("b"))
+    fitted = blocks.select(model, F.explode("b.bins").alias("bin"), rnd(F.col("b.s") / F.col("b.w"), 4).alias("monotone"))
+    return bins.join(fitted, [model, "bin"])
+
+
 def calibrate(scores: DataFrame, bins: DataFrame, model: str, p: str) -> DataFrame:
     """Calibrated probability; the (at most ten) bins of a model travel as one array."""
     m = bins.groupBy(model).agg(F.array_sort(F.collect_list(F.struct("bin", "input_min", "input_max", "output"))).alias("_m"))

@@ -74,6 +74,29 @@ def table_stats(df: DataFrame, name: str, date: str = "date", key: str = "instru
     ).select(F.lit(name).alias("table"), "*")
 
 
+def table_sketches(df: DataFrame, part: Column, date: str = "date", key: str = "instrument", lg: int = 16) -> DataFrame:
+    """(part, rows, first_date, last_date, sketch): statistics per partition that can be kept and merged.
+
+    A sketch of 2**lg registers holds the distinct keys; its standard error is about
+    1.04 / sqrt(2**lg), and small counts are exact. Null keys are not counted.
+    """
+    return df.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.hll_sketch_agg(F.col(key), F.lit(lg)).alias("sketch"))
+
+
+def refresh_sketches(kept: DataFrame, df: DataFrame, part: Column, date: str = "date", key: str = "instrument", lg: int = 16) -> DataFrame:
+    """``kept`` and the sketches of partitions it lacks: only rows of those are aggregated. There is one row per partition."""
+    fresh = df.withColumn("_p", part).join(kept.select(F.col("part").alias("_p")), "_p", "left_anti")
+    return kept.unionByName(table_sketches(fresh, F.col("_p"), date, key, lg))
+
+
+def merged_stats(sketches: DataFrame, name: str) -> DataFrame:
+    """The statistics of ``table_stats`` from kept sketches, distinct keys by estimate."""
+    return sketches.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("instruments"),
+    ).select(F.lit(name).alias("table"), "*")
+
+
 def index_proxy(bars: DataFrame, top: int = 20) -> DataFrame:
     """Mean close and mean change of the ``top`` busiest instruments of each day.
 

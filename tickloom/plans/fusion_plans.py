@@ -143,6 +143,16 @@ def _(t):
     return fo.fit_bins(samples(t), "model", "predicted", "outcome", ["doc_id"])
 
 
+@query("M7_monotone_fit", """
+WITH s AS (SELECT a.model, a.bin AS lo, b.bin AS hi, sum(c.output * c.sample_count) / sum(c.sample_count) AS mean
+  FROM v_bins a JOIN v_bins b ON a.model = b.model AND a.bin <= b.bin JOIN v_bins c ON c.model = a.model AND c.bin BETWEEN a.bin AND b.bin GROUP BY 1, 2, 3),
+f AS (SELECT v.model, v.bin, s.lo, min(s.mean) AS least FROM v_bins v JOIN s ON s.model = v.model AND s.lo <= v.bin AND s.hi >= v.bin GROUP BY 1, 2, 3)
+SELECT v.model, v.bin, v.output, f.monotone FROM v_bins v JOIN (SELECT model, bin, round(max(least), 4) AS monotone FROM f GROUP BY 1, 2) f ON f.model = v.model AND f.bin = v.bin""")
+def _(t):
+    bins = fo.fit_bins(samples(t), "model", "predicted", "outcome", ["doc_id"])
+    return fo.monotone_bins(bins, "model").select("model", "bin", "output", "monotone")
+
+
 @query("M8_platt_fit", """
 WITH RECURSIVE f AS (
   SELECT 0 AS i, 0.0e0 AS a, 0.0e0 AS b

@@ -11,6 +11,7 @@ from tickloom.functions.typing import rnd
 from tickloom.operators import indicators as ind
 from tickloom.operators import panel
 from tickloom.plans.registry import query
+from tickloom.sources.store import fresh_path
 from tickloom.sources.sql_views import VIEWS
 
 OHLC = "round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume"
@@ -111,6 +112,15 @@ def _(t):
     )
 
 
+@query("E9_sketched_stats", """
+SELECT 'bars' AS "table", count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT instrument) AS instruments FROM v_bars""")
+def _(t):
+    month, path = F.date_format("date", "yyyy-MM"), fresh_path(t.spark, "sketches")
+    panel.table_sketches(t.bars.where(month < "1998-01"), month).write.parquet(path)
+    kept = t.spark.read.parquet(path)
+    return panel.merged_stats(panel.refresh_sketches(kept, t.bars, month), "bars")
+
+
 @query("E10_index_proxy", """
 SELECT date, round(avg(close), 2) AS index_close, round(avg(change) / avg(close) * 100, 2) AS change_pct, count(*) AS members
 FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, instrument) AS r FROM (
