@@ -44,6 +44,23 @@ def test_spaced_matches_brute_force(spark, seed, seconds, chunk):
     assert got == brute(rows, seconds)
 
 
+def test_spaced_keeps_groups_together_when_a_join_turns_into_a_broadcast(spark):
+    """The join of the events with their entry times is planned as a sort merge join and becomes a broadcast."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    r = random.Random(6)
+    rows = [(i, f"k{i % 3}", T0 + dt.timedelta(seconds=r.randrange(3 * 86400))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, kind string, ts timestamp_ntz").repartition(4)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {x.event_id for x in al.spaced(df, ["kind"], "ts", "event_id", 4 * 3600).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == brute(rows, 4 * 3600)
+
+
 def decided(rows, seconds):
     """What the batch rule accepts of the rows that the final watermark (latest time less four hours) has passed."""
     end = max(t for _, _, t in rows) - dt.timedelta(hours=4)

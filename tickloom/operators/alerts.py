@@ -181,7 +181,9 @@ def by_group(df: DataFrame, keys: Sequence[str], order: str, fn, schema: str) ->
     """Rows that ``fn`` yields for each group of ``keys``, given as arrays in ``order``.
 
     Groups stream past in sorted partitions, so many small ones cost no more than
-    their rows; only the group at hand is held.
+    their rows; only the group at hand is held. Rows are dealt by a hash of the keys: a
+    repartition by the keys themselves is left out after a join on them, and a join that
+    turns into a broadcast while it runs then no longer keeps a group together.
     """
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -210,7 +212,7 @@ def by_group(df: DataFrame, keys: Sequence[str], order: str, fn, schema: str) ->
             yield out.assign(last=out["last"].astype("Int64")) if "last" in names else out
         return None if last else pdf.iloc[bounds[-2] :]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
 def in_session(alerts: DataFrame, cal: DataFrame, kind: str, ts: str) -> DataFrame:
