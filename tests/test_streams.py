@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -75,6 +76,18 @@ def test_digests_as_a_stream(spark, tmp_path):
     assert found == {k: v for k, v in want.items() if k[0] <= last - dt.timedelta(hours=4)} and len(found) > 15
 
 
+def test_digest_counts_rows_that_come_after_the_next_digest_has_begun(spark, tmp_path):
+    folder, out, state = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
+    at = lambda *x: dt.datetime(2024, 3, *x)
+    # local time is 8 hours ahead: the digest of 17:00 is that of alerts up to 09:00
+    files = [[(1, at(1, 8, 30), "daily", "a")], [(2, at(1, 9, 30), "daily", "b")], [(3, at(1, 8, 45), "daily", "c")], [(4, at(2, 12), "daily", "d")]]
+    for rows in files:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # the source takes files by their time
+    got = rules.drain(rules.digest_stream(source(spark, folder), "kind", "ts", "message"), out, state).withColumn("digest", F.col("digest").cast("timestamp_ntz"))
+    assert sorted((r["digest"], r["alerts"], r["messages"]) for r in got.collect()) == [(at(1, 17), 2, 2), (at(2, 8), 1, 1)]
+
+
 def test_rate_limit_as_a_stream_over_files_out_of_order(spark, tmp_path):
     folder, out, state = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
     rows = events(500, 4)

@@ -23,6 +23,7 @@ NEVER_SUPPRESS = ("regime_change", "crisis", "black_swan", "heartbeat", "stop_lo
 MARKET_LEVEL = ("regime_change", "daily", "crisis", "black_swan", "heartbeat")
 ROUTES = {"info": "digest", "warning": "send", "critical": "send_formatted"}
 COOLDOWN_SECONDS, RATE_LIMIT_SECONDS, DAY = 4 * 3600, 30 * 60, 86400
+MORNING, EVENING = 8, 17  # local hours of the digests
 
 
 def severity(kind: Column) -> Column:
@@ -231,7 +232,7 @@ def prune_history(history: DataFrame, ts: str, as_of: Column, seconds: int = COO
     return history.where(F.col(ts) > as_of - F.expr(f"INTERVAL {seconds} SECONDS"))
 
 
-def next_digest(local: Column, morning: int = 8, evening: int = 17) -> Column:
+def next_digest(local: Column, morning: int = MORNING, evening: int = EVENING) -> Column:
     """Digest an alert of this local time goes into."""
     day = F.date_trunc("DAY", local).cast("timestamp_ntz")
     h = F.hour(local)

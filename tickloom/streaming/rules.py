@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tickloom import params
-from tickloom.operators.alerts import RATE_LIMIT_SECONDS, ROUTES, in_session, instrument_code, message_hash, next_digest, route, severity, walk
+from tickloom.operators.alerts import EVENING, MORNING, RATE_LIMIT_SECONDS, ROUTES, in_session, instrument_code, message_hash, micros, route, severity, walk
 from tickloom.operators.market import next_regime
 from tickloom.sources.workers import ship
 
@@ -86,13 +86,28 @@ def rate_limit_stream(alerts: DataFrame, cal: DataFrame, channel: str, kind: str
 def digest_stream(alerts: DataFrame, kind: str, ts: str, message: str, offset_hours: int = 8, lateness: str = "4 hours") -> DataFrame:
     """The digests of ``operators.alerts.digests`` as a stream; a digest is emitted once no late row can change it.
 
-    Messages are counted once each by a first aggregate per message hash, whose rows leave
-    its state when the digest closes and are added up by the second one.
+    The watermark follows the local times of the alerts: a digest lies up to 15 hours
+    after its alerts, so one that followed the digests would pass the last digest as
+    soon as the next one has an alert. Day and night are branches with windows of a day,
+    which end at the evening or the morning digest. Messages are counted once each by a
+    first aggregate per message hash, whose rows leave its state when the digest closes
+    and are added up by the second one.
     """
-    local = F.col(ts) + F.expr(f"INTERVAL {offset_hours} HOURS")
-    info = alerts.where(severity(F.col(kind)) == "info").withColumn("digest", next_digest(local).cast("timestamp")).withWatermark("digest", lateness)
-    each = info.groupBy("digest", kind, message_hash(F.col(message)).alias("hash")).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
-    return each.groupBy("digest", kind).agg(F.sum("n").alias("alerts"), F.count("*").alias("messages"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    # a time without zone as the instant of the same digits in UTC, as windows of a day are cut in UTC
+    local = F.timestamp_micros(micros(F.col(ts) + F.expr(f"INTERVAL {offset_hours} HOURS")))
+    info = alerts.where(severity(F.col(kind)) == "info").withColumn("_local", local).withWatermark("_local", lateness)
+    hour = F.pmod(F.floor(F.unix_seconds("_local") / 3600), F.lit(24))
+
+    def digests_at(rows: DataFrame, end: int) -> DataFrame:
+        window = F.window("_local", "24 hours", startTime=f"{end} hours")
+        each = rows.groupBy(window.alias("window"), kind, message_hash(F.col(message)).alias("hash")).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+        return each.groupBy("window", kind).agg(F.sum("n").alias("alerts"), F.count("*").alias("messages"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+    day = hour.between(MORNING, EVENING - 1)
+    both = digests_at(info.where(day), EVENING).unionByName(digests_at(info.where(~day), MORNING))
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds("window.end"))
+    digest = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since).cast("timestamp")
+    return both.select(digest.alias("digest"), kind, "alerts", "messages", "first_ts", "last_ts")
 
 
 def route_batch(root: str, kind: str, message: str) -> Callable[[DataFrame, int], None]:
