@@ -20,7 +20,7 @@ def _(t):
     return ind.with_sma(t.panel, ps).select("instrument", "date", *[rnd(f"sma{p}", 6).alias(f"sma{p}") for p in ps])
 
 
-# All pieces of the momentum score for every bar.
+# All pieces of the momentum score for every bar; prices and means within 1e-7 are equal (functions.typing.above).
 VIEWS["v_chg"] = """
 SELECT *, adj_close AS p, adj_volume AS v, adj_close - lag(adj_close) OVER w AS chg, close - lag(close) OVER w AS raw_change
 FROM v_rank WINDOW w AS (PARTITION BY instrument ORDER BY date)"""
@@ -44,16 +44,16 @@ SELECT *, {_AVG.format(c='p', a=4, b='CURRENT ROW')} AS ma5, {_AVG.format(c='p',
 FROM v_gl"""
 VIEWS["v_mom1"] = """
 SELECT *, 100.0e0 - 100.0e0 / (1.0e0 + ag / CASE WHEN al <> 0 THEN al ELSE 0.0001e0 END) AS rsi,
-  CASE WHEN p > ma5 AND ma5 > ma10 AND ma10 > ma20 THEN 20 WHEN p > ma5 AND ma5 > ma10 THEN 10
-       WHEN p < ma5 AND ma5 < ma10 AND ma10 < ma20 THEN -20 WHEN p < ma5 AND ma5 < ma10 THEN -10 ELSE 0 END AS align_points,
+  CASE WHEN p - ma5 > 1e-7 AND ma5 - ma10 > 1e-7 AND ma10 - ma20 > 1e-7 THEN 20 WHEN p - ma5 > 1e-7 AND ma5 - ma10 > 1e-7 THEN 10
+       WHEN ma5 - p > 1e-7 AND ma10 - ma5 > 1e-7 AND ma20 - ma10 > 1e-7 THEN -20 WHEN ma5 - p > 1e-7 AND ma10 - ma5 > 1e-7 THEN -10 ELSE 0 END AS align_points,
   CASE WHEN vol_prev5 > 0 AND vol5 / vol_prev5 > 1.5e0 THEN 10 WHEN vol_prev5 > 0 AND vol5 / vol_prev5 < 0.5e0 THEN -5 ELSE 0 END AS vol_points
 FROM v_mom0"""
 VIEWS["v_mom"] = """
 SELECT *, CASE
   WHEN ord >= 20 THEN least(100, greatest(0, 50 + align_points + vol_points
        + CASE WHEN rsi > 70 THEN -10 WHEN rsi > 60 THEN 5 WHEN rsi > 40 THEN 5 WHEN rsi > 30 THEN 10 WHEN rsi < 30 THEN -10 ELSE 0 END))
-  WHEN ord >= 5 THEN least(100, greatest(0, 50 + CASE WHEN p > ma5 THEN 10 ELSE -10 END
-       + CASE WHEN p / first_all - 1 > 0.05e0 THEN 15 WHEN p / first_all - 1 > 0.02e0 THEN 5 WHEN p / first_all - 1 < -0.05e0 THEN -15 WHEN p / first_all - 1 < -0.02e0 THEN -5 ELSE 0 END))
+  WHEN ord >= 5 THEN least(100, greatest(0, 50 + CASE WHEN p - ma5 > 1e-7 THEN 10 ELSE -10 END
+       + CASE WHEN (p - first_all) / first_all > 0.05e0 THEN 15 WHEN (p - first_all) / first_all > 0.02e0 THEN 5 WHEN (p - first_all) / first_all < -0.05e0 THEN -15 WHEN (p - first_all) / first_all < -0.02e0 THEN -5 ELSE 0 END))
   ELSE least(100, greatest(0, 50
        + CASE WHEN rc / close * 100 > 3 THEN 20 WHEN rc / close * 100 > 1 THEN 10 WHEN rc / close * 100 > 0 THEN 5 WHEN rc / close * 100 < -3 THEN -20 WHEN rc / close * 100 < -1 THEN -10 ELSE 0 END
        + CASE WHEN high > low THEN CASE WHEN (close - low) / (high - low) > 0.75e0 THEN 15 WHEN (close - low) / (high - low) > 0.5e0 THEN 5 WHEN (close - low) / (high - low) < 0.25e0 THEN -15 ELSE -5 END ELSE 0 END
