@@ -1,5 +1,8 @@
 import collections
+import datetime as dt
 import random
+from functools import reduce
+from operator import add
 
 from pyspark.sql import functions as F
 
@@ -49,3 +52,16 @@ def test_moving_averages_of_all_periods(spark):
             for p in periods:
                 assert (x[f"sma{p}"] is None) == (x[f"want{p}"] is None) and (x[f"sma{p}"] is None or abs(x[f"sma{p}"] - x[f"want{p}"]) < 1e-9)
         assert sum(x[f"sma{periods[0]}"] is not None for x in got) > 300
+
+
+def test_a_close_at_its_mean_is_not_above_it(spark):
+    rng, found = random.Random(9), []
+    while len(found) < 5:
+        cents = [rng.randrange(200_000, 400_000) for _ in range(18)]
+        last = rng.randrange(290_000, 310_000)
+        closes = [x / 10_000 for x in [*cents, 19 * last - sum(cents), last]]
+        if 0 < closes[-2] < 100 and closes[-1] > reduce(add, closes) / 20:
+            found.append(closes)
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), c) for k, closes in enumerate(found) for i, c in enumerate(closes)]
+    out = mk.breadth(spark.createDataFrame(rows, "instrument long, date date, adj_close double")).orderBy("date").collect()[-1]
+    assert (out["above"], out["total"]) == (0, 5)
