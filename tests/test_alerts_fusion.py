@@ -196,3 +196,20 @@ def test_false_signal_flags(spark):
     x = df.select(sc.false_signals(s, F.lit(50.0), F.lit(100.0), F.lit(30), F.lit(5)).alias("x")).first().x
     assert [f.type for f in x.flags] == ["contrarian", "fading_momentum", "unconfirmed_momentum", "revenue_price_divergence", "recent_ex_dividend"]
     assert x.is_contradictory and x.high_severity_count == 3
+
+
+def test_signal_strength_rounds_halves_as_decimals(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    from itertools import product
+
+    names = ("revenue", "profitability", "valuation", "flow", "momentum")
+    rows = [(*map(float, s), t / 10) for s in product((20, 90), (0, 75, 100), (12.5, 62.5, 100), (30, 100), (45, 60)) for t in (423, 517, 638, 661)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", total double")
+    got = df.select("*", sc.signal_strength({n: F.col(n) for n in names}, F.col("total")).alias("x")).collect()
+    for r in got:
+        v = [Decimal(str(r[n])) for n in names]
+        mean = sum(v) / 5
+        al_ = max(Decimal(0), 1 - sum((x - mean) ** 2 for x in v) / 5 / 2500)
+        want = Decimal(str(r["total"])) * Decimal("0.6") + 25 * al_ + 3 * sum(x >= 40 for x in v)
+        assert Decimal(str(r["x"]["strength"])) == want.quantize(Decimal("0.1"), ROUND_HALF_UP), r
+        assert Decimal(str(r["x"]["alignment"])) == al_.quantize(Decimal("0.001"), ROUND_HALF_UP), r
