@@ -39,3 +39,14 @@ def test_sketches_merge_to_one_pass_and_skip_known_partitions(spark):
     # rows of a known partition are not counted again
     assert panel.merged_stats(panel.refresh_sketches(kept, df.where(month < "2024-03"), month, lg=12), "t").first()["rows"] == kept.agg(F.sum("rows")).first()[0]
     assert tuple(panel.merged_stats(panel.table_sketches(df.limit(0), month), "t").first()) == ("t", 0, None, None, 0)
+
+
+def test_kept_keys_count_exactly(spark):
+    start, n = dt.date(2024, 1, 1), 150_000
+    ids = spark.range(n).select(F.when(F.col("id") % 1000 != 0, F.floor(F.col("id") / 2) * 7).alias("instrument"), F.date_add(F.lit(start), (F.col("id") % 90).cast("int")).alias("date"))
+    month = F.date_format("date", "yyyy-MM")
+    kept = panel.table_keys(ids.where(month < "2024-03"), month)
+    want = tuple(panel.table_stats(ids, "t").first())
+    assert tuple(panel.merged_key_stats(panel.refresh_keys(kept, ids, month), "t").first()) == want
+    assert tuple(panel.merged_key_stats(panel.refresh_keys(kept, ids.where(month < "2024-03"), month), "t").first()) == tuple(panel.table_stats(ids.where(month < "2024-03"), "t").first())
+    assert tuple(panel.merged_key_stats(panel.table_keys(ids.limit(0), month), "t").first()) == ("t", 0, None, None, 0)

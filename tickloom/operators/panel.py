@@ -97,6 +97,28 @@ def merged_stats(sketches: DataFrame, name: str) -> DataFrame:
     ).select(F.lit(name).alias("table"), "*")
 
 
+def table_keys(df: DataFrame, part: Column, date: str = "date", key: str = "instrument") -> DataFrame:
+    """(part, key, rows, first_date, last_date): one row per partition and key, which can be kept and merged exactly.
+
+    Twin of ``table_sketches`` for exact distinct counts; it has at most as many rows as the table, and null keys have rows as well.
+    """
+    return df.groupBy(part.alias("part"), F.col(key).alias("key")).agg(F.count("*").alias("rows"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+
+
+def refresh_keys(kept: DataFrame, df: DataFrame, part: Column, date: str = "date", key: str = "instrument") -> DataFrame:
+    """``kept`` and the rows of partitions it lacks: only those are aggregated."""
+    fresh = df.withColumn("_p", part).join(kept.select(F.col("part").alias("_p")).distinct(), "_p", "left_anti")
+    return kept.unionByName(table_keys(fresh, F.col("_p"), date, key))
+
+
+def merged_key_stats(keys: DataFrame, name: str) -> DataFrame:
+    """The statistics of ``table_stats`` from the rows of ``table_keys``."""
+    per_key = keys.groupBy("key").agg(F.sum("rows").alias("rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+    return per_key.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.count("key").alias("instruments"),
+    ).select(F.lit(name).alias("table"), "*")
+
+
 def index_proxy(bars: DataFrame, top: int = 20) -> DataFrame:
     """Mean close and mean change of the ``top`` busiest instruments of each day.
 
