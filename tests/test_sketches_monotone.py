@@ -50,3 +50,10 @@ def test_kept_keys_count_exactly(spark):
     assert tuple(panel.merged_key_stats(panel.refresh_keys(kept, ids, month), "t").first()) == want
     assert tuple(panel.merged_key_stats(panel.refresh_keys(kept, ids.where(month < "2024-03"), month), "t").first()) == tuple(panel.table_stats(ids.where(month < "2024-03"), "t").first())
     assert tuple(panel.merged_key_stats(panel.table_keys(ids.limit(0), month), "t").first()) == ("t", 0, None, None, 0)
+
+
+def test_ledger_ties_go_to_the_lower_entry_price(spark):
+    day = dt.date(2024, 1, 1)
+    trades = [(k, day, entry, day, 50.0, "stop_loss", 25.0) for k in range(40) for entry in ((40.001, 40.0) if k % 2 else (40.0, 40.001))]
+    df = spark.createDataFrame(trades, "instrument long, entry_date date, entry_price double, exit_date date, exit_price double, exit_reason string, pnl_pct double").coalesce(1)
+    assert {r["pnl_abs"] for r in panel.trade_ledger(df).where("action = 'exit'").collect()} == {10.0}

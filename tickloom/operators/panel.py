@@ -167,19 +167,19 @@ def trade_ledger(trades: DataFrame) -> DataFrame:
     entry = F.struct(
         F.col("entry_date").alias("date"), F.lit("entry").alias("action"), F.col("entry_price").alias("price"),
         F.lit(None).cast("double").alias("pnl_pct"), F.lit(None).cast("double").alias("pnl_abs"),
-        F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast("string").alias("reason"), F.col("entry_price").alias("entry_price"),
     )
     exit_ = F.struct(
         F.col("exit_date").alias("date"), F.lit("exit").alias("action"), F.col("exit_price").alias("price"),
         F.col("pnl_pct"), rnd(F.col("entry_price") * F.col("pnl_pct") / 100, 4).alias("pnl_abs"),
-        F.col("exit_reason").alias("reason"),
+        F.col("exit_reason").alias("reason"), F.col("entry_price").alias("entry_price"),
     )
     legs = F.when(F.col("exit_date").isNotNull(), F.array(entry, exit_)).otherwise(F.array(entry))
     rows = trades.select("instrument", F.explode(legs).alias("l")).select("instrument", "l.*")
-    # one deterministic survivor per ledger key
+    # one deterministic survivor per ledger key: results are rounded, so equal ones are told apart by the entry price
     return (
         rows.groupBy("date", "action", "instrument", "price")
-        .agg(F.min_by(F.struct("pnl_pct", "pnl_abs", "reason"), F.struct("pnl_pct", "reason")).alias("r"))
+        .agg(F.min_by(F.struct("pnl_pct", "pnl_abs", "reason"), F.struct("pnl_pct", "entry_price", "reason")).alias("r"))
         .select("date", "action", "instrument", "price", "r.pnl_pct", "r.pnl_abs", "r.reason")
     )
 
