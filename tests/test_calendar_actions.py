@@ -40,6 +40,13 @@ def test_calendar_gaps_and_counts(spark):
     assert risk[D(2024, 1, 29)] == 0.5 and risk[D(2024, 2, 14)] == 1.0
 
 
+def test_range_that_ends_before_it_starts_holds_no_trading_day(spark):
+    c = spark.createDataFrame([(D(2024, 3, d), d, True) for d in range(1, 9)], "date date, ordinal long, is_trading boolean")
+    r = spark.createDataFrame([(D(2024, 3, 6), D(2024, 3, 2)), (D(2024, 3, 6), D(2024, 3, 5)), (D(2024, 3, 6), D(2024, 3, 6)), (D(2024, 3, 2), D(2024, 3, 6)), (D(2024, 3, 2), None)], "a date, b date")
+    out = {(x.a.day, x.b and x.b.day): x.n for x in cal.count_trading_days(r, c, "a", "b", "n").collect()}
+    assert out == {(6, 2): 0, (6, 5): 0, (6, 6): 1, (2, 6): 5, (2, None): None}
+
+
 def test_backward_adjustment(spark):
     bars = spark.createDataFrame([(1, D(2024, 1, d), float(c), 1000.0) for d, c in ((1, 100), (2, 110), (3, 105), (4, 50))], "instrument long, date date, close double, volume double")
     acts = spark.createDataFrame([(1, D(2024, 1, 3), 10.0, 0.0), (1, D(2024, 1, 4), 0.0, 10.0), (1, D(2024, 1, 9), 5.0, 0.0)], "instrument long, ex_date date, cash_div double, stock_div double")
