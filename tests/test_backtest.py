@@ -99,3 +99,35 @@ def test_scenarios_respect_cap(spark):
     h = spark.createDataFrame([("p", i) for i in range(8)], "portfolio string, instrument long")
     s = rk.scenario_weights(h, "portfolio", 20, cap=0.2).groupBy("scenario").agg(F.sum("weight").alias("t"), F.max("weight").alias("m")).collect()
     assert all(abs(r.t - 1) < 1e-9 and r.m <= 0.2 + 1e-9 for r in s)
+
+
+def test_exits_shuffle_bars_and_trades_once_and_match_a_walk_over_the_bars(spark):
+    rng, day = random.Random(3), dt.date(2024, 1, 1)
+    bars, trades = [], []
+    for i in range(1, 5):
+        for o in range(1, 61):
+            ex = rng.random() < 0.1
+            bars.append((i, day + dt.timedelta(days=o + i), o, 60, round(20 + rng.random(), 4), 0.3 if ex else None, 0.1 if ex else None))
+        trades += [(i, o, 20.0 + rng.choice((-1, 0.03)), 21.0 - rng.choice((-1, 0.03))) for o in (1, 7, 30, 45, 59, 60)]
+    open_days = {b[1] for b in bars if b[1].weekday() < 5}
+    tr = spark.createDataFrame(trades + [(1, 61, 1.0, 99.0)], "instrument long, entry_ord long, stop_loss double, take_profit double")
+    df = spark.createDataFrame(bars, "instrument long, date date, ord long, n_bars long, price double, cash_div double, stock_div double")
+    out = bt.simulate_exits(tr, bt.price_path(df, spark.createDataFrame([(d,) for d in open_days], "date date")), max_days=10)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(instrument") <= 2
+
+    def walk(i, entry, stop, target):
+        mine, held = [b for b in bars if b[0] == i], 0
+        for _, d, _, _, price, cash, stock in mine[entry:]:
+            if d in open_days:
+                held, p = held + 1, price if cash is None else (price + cash) * (1 + stock / 10)
+                if p <= stop:
+                    return stop, "stop_loss", d
+                if p >= target:
+                    return target, "take_profit", d
+                if held >= 10 and cash is None:
+                    return price, "max_holding_days", d
+        last = mine[min(entry + 10, 60) - 1]
+        return last[4], "max_holding_days", last[1]
+
+    got = {(r.instrument, r.entry_ord): (r.exit_price, r.exit_reason, r.exit_date) for r in out.collect()}
+    assert got == {t[:2]: walk(*t) for t in trades} and len({v[1] for v in got.values()}) == 3
