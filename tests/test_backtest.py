@@ -131,3 +131,21 @@ def test_exits_shuffle_bars_and_trades_once_and_match_a_walk_over_the_bars(spark
 
     got = {(r.instrument, r.entry_ord): (r.exit_price, r.exit_reason, r.exit_date) for r in out.collect()}
     assert got == {t[:2]: walk(*t) for t in trades} and len({v[1] for v in got.values()}) == 3
+
+
+def test_weight_search_shuffles_signals_and_no_pairs(spark):
+    rng, dims = random.Random(5), ("a", "b")
+    rows = [(m, i, float(rng.randrange(101)), float(rng.randrange(101)), round(rng.uniform(-3, 3), 2)) for m in range(6) for i in range(0, 4000, 37)]
+    df = spark.createDataFrame(rows, "month int, instrument long, a double, b double, net_pnl_pct double").withColumn("win", F.col("net_pnl_pct") > 0).withColumn("stop_type", F.lit("atr"))
+    out = bt.weight_search(df, dims, "month", ["instrument"], n=12, split="instrument")
+    got = {r.scenario: (r.total_trades, r.max_drawdown) for r in out.collect()}
+    for s in range(12):
+        w, cum, peak, dd, k = bt.scenario_vector(s, 2), 0.0, 0.0, 0.0, 0
+        for _, _, a, b, pnl in rows:
+            if a * w[0] + b * w[1] >= 55:
+                cum, k = cum + pnl, k + 1
+                peak = max(peak, cum)
+                dd = max(dd, peak - cum)
+        assert got[s] == (k, pytest.approx(round(dd, 2)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
