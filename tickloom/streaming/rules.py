@@ -25,7 +25,9 @@ def dedupe_stream(alerts: DataFrame, keys: list[str], ts: str, event_id: str, se
     accepted time and the waiting rows of one lateness; without waiting rows it
     expires once the cooldown is over. Rows later than the watermark are dropped by
     the engine, which counts them in its progress. Rows that no watermark has
-    passed yet are not decided.
+    passed yet are not decided. The engine hands a key's state over again with every
+    ten thousand of its rows, so the waiting rows are kept as two byte strings and not
+    as lists, which would be taken apart each time.
     """
     gap = seconds * 1_000_000
     ship(alerts.sparkSession)
@@ -33,28 +35,30 @@ def dedupe_stream(alerts: DataFrame, keys: list[str], ts: str, event_id: str, se
         F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]).alias("k"), "_ts", F.unix_micros("_ts").alias("us"), F.col(event_id).alias("event_id"))
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, times, ids = state.get if state.exists else (None, [], [])
-        waiting = dict(zip(times, ids))
+        last, times, ids = state.get if state.exists else (None, b"", b"")
+        times, ids = [np.frombuffer(times, np.int64)], [np.frombuffer(ids, np.int64)]
         if not state.hasTimedOut:
             for batch in batches:
-                for us, event in zip(batch["us"].tolist(), batch["event_id"].tolist()):
-                    waiting[us] = min(event, waiting.get(us, event))
+                times.append(batch["us"].to_numpy(np.int64))
+                ids.append(batch["event_id"].to_numpy(np.int64))
+        times, ids = np.concatenate(times), np.concatenate(ids)
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
+        fresh = np.diff(times, prepend=times[:1] - 1) != 0  # of equal times the least id
+        times, ids = times[fresh], ids[fresh]
         now = state.getCurrentWatermarkMs()
-        due = np.array(sorted(us for us in waiting if us < now * 1000), dtype=np.int64)
-        taken = [int(due[i]) for i in walk(due, last, gap)]
-        out = [waiting[us] for us in taken]
-        last = taken[-1] if taken else last
-        for us in due.tolist():
-            del waiting[us]
-        rest = sorted(waiting)
-        if rest or (last is not None and last + gap >= now * 1000):
-            state.update((last, rest, [waiting[us] for us in rest]))
-            state.setTimeoutTimestamp(max(now + 1, (rest[0] if rest else last + gap) // 1000))
+        due = int(np.searchsorted(times, now * 1000))
+        taken = walk(times[:due], last, gap)
+        out = ids[taken]
+        last = int(times[taken[-1]]) if taken else last
+        if due < len(times) or (last is not None and last + gap >= now * 1000):
+            state.update((last, times[due:].tobytes(), ids[due:].tobytes()))
+            state.setTimeoutTimestamp(max(now + 1, (int(times[due]) if due < len(times) else last + gap) // 1000))
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"k": [key[0]] * len(out), "event_id": pd.array(out, dtype="int64")})
 
-    return x.groupBy("k").applyInPandasWithState(step, "k string, event_id bigint", "last bigint, times array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return x.groupBy("k").applyInPandasWithState(step, "k string, event_id bigint", "last bigint, times binary, ids binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def regime_stream(raw: DataFrame, market: str = "market", min_days: int = params.MIN_REGIME_DAYS) -> DataFrame:
