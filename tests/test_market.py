@@ -65,3 +65,17 @@ def test_a_close_at_its_mean_is_not_above_it(spark):
     rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), c) for k, closes in enumerate(found) for i, c in enumerate(closes)]
     out = mk.breadth(spark.createDataFrame(rows, "instrument long, date date, adj_close double")).orderBy("date").collect()[-1]
     assert (out["above"], out["total"]) == (0, 5)
+
+
+def test_bars_are_dealt_over_partitions_that_grow_with_the_ticks(spark, monkeypatch):
+    from tickloom.operators import market as mk
+    from tickloom.sources import driver_tables as tables
+
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    few = t.parts
+    monkeypatch.setattr(tables, "TASK_BYTES", 1 << 10)
+    many = tables.Tables(spark, "/root/testdata/sf0.001")
+    assert many.parts > few and many.bars.rdd.getNumPartitions() == many.series.rdd.getNumPartitions() == many.adj.rdd.getNumPartitions() == many.parts
+    state = lambda x: mk.market_state(x.panel, x.action_days, 15, parts=x.parts)
+    assert mk.instrument_state(many.panel, many.action_days, 15, parts=many.parts).rdd.getNumPartitions() == many.parts
+    assert sorted(map(tuple, state(many).select("date", "leaders", "breadth", "global_risk").collect())) == sorted(map(tuple, mk.market_state(t.panel, t.action_days, 15).select("date", "leaders", "breadth", "global_risk").collect()))

@@ -37,7 +37,7 @@ def positions(t):
 
 def returns60(t):
     w = Window.partitionBy("instrument").orderBy("date")
-    rets = t.panel.select("instrument", "ord", ((F.col("adj_close") - F.lag("adj_close").over(w)) / F.lag("adj_close").over(w)).alias("ret")).where("ret is not null")
+    rets = t.series.select("instrument", "ord", ((F.col("adj_close") - F.lag("adj_close").over(w)) / F.lag("adj_close").over(w)).alias("ret")).where("ret is not null")
     return t.shared("returns60", SOURCES, lambda: bt.holding_returns(positions(t).withColumn("as_of_ord", F.col("entry_ord")), rets, 60))
 
 
