@@ -213,3 +213,11 @@ def test_signal_strength_rounds_halves_as_decimals(spark):
         want = Decimal(str(r["total"])) * Decimal("0.6") + 25 * al_ + 3 * sum(x >= 40 for x in v)
         assert Decimal(str(r["x"]["strength"])) == want.quantize(Decimal("0.1"), ROUND_HALF_UP), r
         assert Decimal(str(r["x"]["alignment"])) == al_.quantize(Decimal("0.001"), ROUND_HALF_UP), r
+
+
+def test_importance_states_its_formula_once(spark):
+    # rounding and clamping repeat their argument, so a formula that nests them grows threefold with each
+    z = {d: F.col(f"z_{d}") for d in fx.DIMENSIONS}
+    x = spark.range(1).select(F.rand().alias("w"), F.rand().alias("p"), *[F.rand().alias(f"z_{d}") for d in fx.DIMENSIONS])
+    plan = x.select(fx.importance(F.col("w"), F.col("p"), z).alias("i"))._jdf.queryExecution().analyzed().expressions().mkString("")
+    assert plan.upper().count("EXP(") == 1

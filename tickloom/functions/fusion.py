@@ -48,7 +48,10 @@ def weighted_sum(z: Mapping[str, Column], weights: Mapping[str, float] = DIMENSI
 
 def probability(wsum: Column, total_weight: float = 1.0) -> Column:
     """Weighted z to the raw scale and through the sigmoid, unclamped."""
-    raw = denormalize(wsum / dbl(total_weight))
+    return sigmoid(denormalize(wsum / dbl(total_weight)))
+
+
+def sigmoid(raw: Column) -> Column:
     return dbl(1) / (dbl(1) + F.exp(-(raw - SIGMOID_X0) * SIGMOID_K / 25.0))
 
 
@@ -79,7 +82,8 @@ def importance(w: Column, base: Column, z: Mapping[str, Column]) -> Column:
 
     ``w`` is the weighted sum and ``base`` its final probability, both as plain
     columns. Taking a dimension out removes its own term and its interactions
-    from the sum, so one formula runs over an array of 13 terms.
+    from the sum, so one formula runs over an array of 13 terms, a step at a
+    time: rounding and clamping repeat their argument, and a step repeats a value only.
     """
     terms = []
     for i, (d, weight) in enumerate(DIMENSION_WEIGHTS.items()):
@@ -87,14 +91,21 @@ def importance(w: Column, base: Column, z: Mapping[str, Column]) -> Column:
         for a, b, bonus in INTERACTIONS:
             if d in (a, b):
                 t = t + z[a] * z[b] * 0.1 * bonus
-        terms.append(F.struct(F.lit(i).alias("i"), F.lit(d).alias("dimension"), t.alias("term")))
-
-    def delta(x):
-        c = rnd(base - final_probability(probability(w - x["term"], TOTAL_WEIGHT)), 6)
-        return F.struct(x["i"].alias("i"), x["dimension"].alias("dimension"), c.alias("contribution"))
-
-    keyed = F.transform(F.transform(F.array(*terms), delta), lambda x: F.struct((-F.abs(x["contribution"])).alias("k"), x["i"].alias("i"), x["dimension"].alias("dimension"), x["contribution"].alias("contribution")))
-    return F.transform(F.array_sort(keyed), lambda x, i: F.struct(x["dimension"].alias("dimension"), x["contribution"].alias("contribution"), (i + 1).alias("rank")))
+        # every term carries the sum and the probability, so that they are computed once a row and not within the steps
+        terms.append(F.struct(F.lit(i).alias("i"), F.lit(d).alias("dimension"), base.alias("base"), (w - t).alias("v")))
+
+    def step(items, f):
+        return F.transform(items, lambda x: F.struct(x["i"].alias("i"), x["dimension"].alias("dimension"), x["base"].alias("base"), f(x).alias("v")))
+
+    rest = F.array(*terms)
+    for f in (
+        lambda x: DEFAULT_MEAN + x["v"] / dbl(TOTAL_WEIGHT) * DEFAULT_STD, lambda x: clamp(x["v"], 0, 100), lambda x: sigmoid(rnd(x["v"], 2)),
+        lambda x: clamp(x["v"], 0.01, 0.99), lambda x: x["base"] - rnd(x["v"], 4),
+    ):
+        rest = step(rest, f)
+    contribution = F.transform(rest, lambda x: F.struct(x["i"].alias("i"), x["dimension"].alias("dimension"), rnd(x["v"], 6).alias("c")))
+    keyed = F.transform(contribution, lambda x: F.struct((-F.abs(x["c"])).alias("k"), x["i"].alias("i"), x["dimension"].alias("dimension"), x["c"].alias("contribution")))
+    return F.transform(F.sort_array(keyed), lambda x, i: F.struct(x["dimension"].alias("dimension"), x["contribution"].alias("contribution"), (i + 1).alias("rank")))
 
 
 def apply_mapping(p: Column, mapping: Column) -> Column:
