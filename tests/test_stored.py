@@ -73,3 +73,24 @@ def test_load_of_several_tables_is_idempotent(spark, table, tmp_path):
 
 def test_load_into_nothing(spark, table):
     assert table.insert(frame(spark, []), ["close"]) == {"inserted": 0, "skipped": 0} and table.rows().count() == 0
+
+
+def test_rows_of_several_loads_come_from_stored_tables(spark):
+    from tickloom.plans.ingest_plans import load_rows
+    from tickloom.sources.driver_tables import Tables
+    from tickloom.sources.store import shared_dir
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for name in ("bars", "ledger"):
+        assert all(shared_dir(spark) in f for f in load_rows(t, False, name).inputFiles())
+
+
+def test_an_insert_deals_its_rows_once(spark, table, tmp_path):
+    first = frame(spark, [(1, day(1, 2), 10.0), (2, day(1, 2), 20.0)])
+    table.insert(first, ["close"])
+    plans, write = [], type(first).write
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(first), "write", property(lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().optimizedPlan().toString()), write.fget(df))[1]))
+        assert table.insert(frame(spark, [(1, day(1, 2), 9.0), (1, day(1, 3), 11.0), (1, day(1, 3), 12.0)]), ["close"]) == {"inserted": 1, "skipped": 2}
+    assert len(plans) == 1 and "Join" not in plans[0]
+    assert contents(table) == [(1, day(1, 2), 10.0), (1, day(1, 3), 11.0), (2, day(1, 2), 20.0)]

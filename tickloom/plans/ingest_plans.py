@@ -183,15 +183,22 @@ def stored_tables(t) -> dict[str, StoredTable]:
     }
 
 
-def load_rows(t, early: bool) -> dict:
-    """What is loaded first (up to 1998, official actions, regimes still unknown) and what is loaded later (everything)."""
-    bars = t.bars.select("instrument", "date", rnd("close", 4).alias("close"))
-    actions = t.actions_all.select("instrument", "ex_date", "source", "cash_div", "seq", (F.col("source") == "declaration").cast("int").alias("late"))
-    regimes = raw_regimes(t).select("date", "raw_regime")
-    ledger = panel.trade_ledger(trades(t)).select("date", "action", "instrument", "price", "pnl_abs")
-    if not early:
-        return {"bars": bars, "actions": actions, "regimes": regimes, "ledger": ledger}
-    return {"bars": bars.where("date < '1999-01-01'"), "actions": actions.where("late = 0"), "regimes": regimes.where("date < '1999-01-01'").withColumn("raw_regime", F.lit("unknown")), "ledger": ledger.where("date < '1999-01-01'")}
+def load_rows(t, early: bool, name: str) -> DataFrame:
+    """What a table is loaded with first (up to 1998, official actions, regimes still unknown) and later (everything).
+
+    Several loads read the bars and the ledger, so both come from stored tables.
+    """
+    if name == "actions":
+        rows = t.actions_all.select("instrument", "ex_date", "source", "cash_div", "seq", (F.col("source") == "declaration").cast("int").alias("late"))
+        return rows.where("late = 0") if early else rows
+    if name == "regimes":
+        rows = raw_regimes(t).select("date", "raw_regime")
+        return rows.where("date < '1999-01-01'").withColumn("raw_regime", F.lit("unknown")) if early else rows
+    if name == "bars":
+        rows = t.panel.select("instrument", "date", rnd("close", 4).alias("close"))
+    else:
+        rows = t.shared("ledger-rows", ("lineitem", "orders"), lambda: panel.trade_ledger(trades(t)).select("date", "action", "instrument", "price", "pnl_abs"))
+    return rows.where("date < '1999-01-01'") if early else rows
 
 
 LOAD_ORDER = {"bars": ["close"], "actions": ["late", "seq"], "regimes": ["raw_regime"], "ledger": ["pnl_abs"]}
@@ -210,7 +217,7 @@ UNION ALL SELECT 3, name, 0, whole_rows FROM n""")
 def _(t):
     tables, out = stored_tables(t), None
     for run, early in ((1, True), (2, False), (3, False)):
-        n = load(tables, load_rows(t, early), LOAD_ORDER, replaced=["regimes"]).select(F.lit(run).alias("run"), "table", "inserted", "skipped")
+        n = load(tables, {name: load_rows(t, early, name) for name in tables}, LOAD_ORDER, replaced=["regimes"]).select(F.lit(run).alias("run"), "table", "inserted", "skipped")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -218,7 +225,7 @@ def _(t):
 @query("A4_stored_upsert", """
 SELECT instrument, date, CASE WHEN date < DATE '1999-01-01' THEN round(close, 4) ELSE 1.0e0 END AS close FROM v_bars""")
 def _(t):
-    table, rows = stored_tables(t)["bars"], load_rows(t, False)["bars"]
+    table, rows = stored_tables(t)["bars"], load_rows(t, False, "bars")
     table.insert(rows.where("date < '1999-01-01'"), LOAD_ORDER["bars"])
     table.insert(rows.withColumn("close", F.lit(1.0)), LOAD_ORDER["bars"])
     return table.rows()
@@ -228,7 +235,7 @@ def _(t):
 def _(t):
     table = stored_tables(t)["regimes"]
     for early in (True, False):
-        table.replace(load_rows(t, early)["regimes"], LOAD_ORDER["regimes"])
+        table.replace(load_rows(t, early, "regimes"), LOAD_ORDER["regimes"])
     return table.rows()
 
 

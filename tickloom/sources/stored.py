@@ -64,12 +64,19 @@ class StoredTable:
         parts = self._parts(rows.dropna(subset=list(self.keys)))
         if not parts:
             return {"inserted": 0, "skipped": 0}
-        known = self._stored(parts).select(*self.keys).withColumn("known", F.lit(True))
-        seen, fresh = Observation(), F.col("known").isNull()
-        # rows of a partition meet before they are counted and written: few files, and counts of the writing tasks alone
-        met = self._incoming(rows, order).join(known, list(self.keys), "left").repartition(PART)
+        # rows and stored keys of a partition meet once, before they are counted and written: few files, and counts of the writing tasks alone
+        rest = [c for c in self.schema.names if c not in self.keys]
+        values = [*rest, *[c for c in order if c not in self.schema.names]]
+        fields = {f.name: f.dataType for f in self.schema.fields}
+        new = rows.select(*[F.col(k).cast(fields[k]).alias(k) for k in self.keys], *values).dropna(subset=list(self.keys)).withColumn(PART, self.part.cast("string")).withColumn("new", F.lit(True))
+        types = {f.name: f.dataType for f in new.select(*values).schema.fields}
+        old = self._stored(parts).select(*self.keys, *[F.lit(None).cast(types[c]).alias(c) for c in values], PART, F.lit(False).alias("new"))
+        met = new.unionByName(old).repartition(PART).groupBy(PART, *self.keys).agg(
+            F.min_by(F.struct(*rest), F.when(F.col("new"), F.struct(*order))).alias("row"), F.count_if("new").alias("copies"), F.bool_or(~F.col("new")).alias("known")).where("copies > 0")
+        seen, fresh = Observation(), ~F.col("known")
         counted = met.observe(seen, F.count_if(fresh).alias("inserted"), (F.sum("copies") - F.count_if(fresh)).alias("skipped"))
-        counted.where(fresh).select(*self.schema.names, PART).write.mode("append").partitionBy(PART).parquet(self.path)
+        out = counted.where(fresh).select(*[(F.col(c) if c in self.keys else F.col(f"row.`{c}`")).cast(fields[c]).alias(c) for c in self.schema.names], PART)
+        out.write.mode("append").partitionBy(PART).parquet(self.path)
         return {k: int(v) for k, v in seen.get.items()}
 
     def replace(self, rows: DataFrame, order: Sequence[str]) -> dict[str, int]:
