@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,38 @@ def test_weight_search_shuffles_signals_and_no_pairs(spark):
         assert got[s] == (k, pytest.approx(round(dd, 2)))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_windows_of_a_walk_forward_share_the_results_of_a_date(spark):
+    rng, day = random.Random(9), dt.date(2024, 1, 1)
+    days = [day + dt.timedelta(days=i) for i in range(70)]
+    rows = []
+    for d in days[3::7]:
+        for i in sorted(rng.sample(range(0, 6000, 7), 40)):
+            pnl = 0.1 if d == days[3] else round(rng.uniform(-3, 3), 2)  # the first window holds equal values alone
+            rows.append((d, i, pnl, pnl > 0, rng.choice(("atr", "fallback_pct"))))
+    df = spark.createDataFrame(rows, "date date, instrument long, net_pnl_pct double, win boolean, stop_type string")
+    dates = spark.createDataFrame([(d,) for d in days], "date date")
+    out = bt.chunk_performance(bt.walk_forward(bt.chunk_results(df, [], "date", "instrument"), dates, "date", train=6, test=5), ["window"], "date")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"windowspecdefinition\(window#[^)]*instrument#", plan)  # trades are not repeated per window
+    old = bt.performance(bt.equity_curve(bt.walk_forward(df, dates, "date", train=6, test=5), ["window"], "date", ["instrument"], "net_pnl_pct"), ["window"])
+    assert {r.window: r for r in out.collect()} == {r.window: r for r in old.collect()}
+    got = {r.window: r for r in out.collect()}
+    assert len(got) > 5
+    for w in got:
+        cum = peak = dd = 0.0
+        mine = [r for r in rows if days[5 * w] <= r[0] <= days[5 * w + 5]]
+        for r in mine:
+            cum += r[2]
+            peak = max(peak, cum)
+            dd = max(dd, peak - cum)
+        assert (got[w].total_trades, got[w].max_drawdown, got[w].atr_stops) == (len(mine), pytest.approx(dd, abs=0.006), sum(r[4] == "atr" for r in mine))
+    assert got[0].sharpe_ratio == 0.0
+
+
+def test_walk_forward_summary_joins_the_windows_and_nothing_else(spark):
+    from tickloom.plans import load_all
+
+    out = load_all().QUERIES["K16_walk_forward_summary"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
