@@ -1,8 +1,10 @@
 import datetime as dt
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tickloom.operators import fusion, panel
 
 
@@ -57,3 +59,18 @@ def test_ledger_ties_go_to_the_lower_entry_price(spark):
     trades = [(k, day, entry, day, 50.0, "stop_loss", 25.0) for k in range(40) for entry in ((40.001, 40.0) if k % 2 else (40.0, 40.001))]
     df = spark.createDataFrame(trades, "instrument long, entry_date date, entry_price double, exit_date date, exit_price double, exit_reason string, pnl_pct double").coalesce(1)
     assert {r["pnl_abs"] for r in panel.trade_ledger(df).where("action = 'exit'").collect()} == {10.0}
+
+
+def test_ledger_entries_of_one_rounded_price_are_one_row(spark, tmp_path):
+    days = [dt.datetime(1995, 8, 13), dt.datetime(1995, 9, 1)]
+    # of each day two prices that differ in the seventh digit: (l_extendedprice, l_discount, l_tax)
+    lines = [(order, order, 7, number, 1.0, price, off, tax, "N", "O", day) for order, price, off, tax in [(1, 85348.24, 0.03, 0.06), (2, 45348.29, 0.06, 0.07)] for number, day in enumerate(days)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    tables = {"lineitem": (lines, names), "orders": ([(1, "F"), (2, "F")], "o_orderkey long, o_orderstatus string")}
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = entry.queries()["A7_trade_ledger"](spark, str(tmp_path)).select("date", "action", "instrument", "price", "pnl_abs").collect()
+    want = con.execute(entry.oracle_sql()["A7_trade_ledger"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and [r["action"] for r in got].count("entry") == 1 and len(got) == 3

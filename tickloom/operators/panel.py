@@ -162,10 +162,14 @@ def replace_by_key(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
     return existing.join(incoming.select(*keys).distinct(), list(keys), "left_anti").unionByName(incoming)
 
 
-def trade_ledger(trades: DataFrame) -> DataFrame:
-    """Entry row for every trade and an exit row for closed ones, unique per (date, action, code, price)."""
+def trade_ledger(trades: DataFrame, entry_digits: int | None = None) -> DataFrame:
+    """Entry row for every trade and an exit row for closed ones, unique per (date, action, code, price).
+
+    With ``entry_digits`` entries are one row if their prices are equal to so many digits.
+    """
+    price = F.col("entry_price") if entry_digits is None else rnd("entry_price", entry_digits)
     entry = F.struct(
-        F.col("entry_date").alias("date"), F.lit("entry").alias("action"), F.col("entry_price").alias("price"),
+        F.col("entry_date").alias("date"), F.lit("entry").alias("action"), price.alias("price"),
         F.lit(None).cast("double").alias("pnl_pct"), F.lit(None).cast("double").alias("pnl_abs"),
         F.lit(None).cast("string").alias("reason"), F.col("entry_price").alias("entry_price"),
     )

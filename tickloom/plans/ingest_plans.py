@@ -89,7 +89,8 @@ def _(t):
 SELECT entry_date AS date, 'entry' AS action, instrument, round(entry_price, 6) AS price, NULL::DOUBLE AS pnl_abs FROM v_trades GROUP BY ALL
 UNION ALL SELECT exit_date, 'exit', instrument, round(exit_price, 6), round(first(entry_price * pnl_pct / 100 ORDER BY pnl_pct, entry_price), 4) FROM v_trades WHERE exit_date IS NOT NULL GROUP BY exit_date, instrument, exit_price""")
 def _(t):
-    return panel.trade_ledger(trades(t)).select("date", "action", "instrument", rnd("price", 6).alias("price"), "pnl_abs")
+    # entries are told apart by the rounded price, exits by the price itself
+    return panel.trade_ledger(trades(t), entry_digits=6).select("date", "action", "instrument", rnd("price", 6).alias("price"), "pnl_abs")
 
 
 @query("A8_replace_run", "SELECT instrument, composite_score, bucket FROM v_screen")
