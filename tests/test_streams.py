@@ -1,10 +1,13 @@
 import datetime as dt
+import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tickloom.operators import alerts as al
 from tickloom.streaming import rules
@@ -101,3 +104,18 @@ def test_rate_limit_as_a_stream_over_files_out_of_order(spark, tmp_path):
     times = {e[0]: e[1] for e in rows}
     want = sorted(r["event_id"] for r in batch.collect() if times[r["event_id"]] < decided)
     assert got == want and len(want) > 50
+
+
+def test_a_key_of_many_rows_meets_its_state_once(spark, tmp_path):
+    folder, out, state = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
+    spark.range(25_000).select(F.lit("main").alias("k"), "id").coalesce(1).write.parquet(folder)
+
+    def step(key, batches, state):
+        yield pd.DataFrame({"rows": [len(b) for b in batches]})
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(n) for n in names]
+    stream = spark.readStream.schema("k string, id long").parquet(folder).groupBy("k").applyInPandasWithState(step, "rows long", "seen long", "append", GroupStateTimeout.NoTimeout)
+    assert [r["rows"] for r in rules.drain(stream, out, state, 3).collect()] == [25_000]
+    assert sorted(n for n in os.listdir(tmp_path / "state/state/0") if n.isdigit()) == ["0", "1", "2"]
+    assert [spark.conf.get(n) for n in names] == before
