@@ -70,3 +70,25 @@ def test_lines_of_an_empty_table(spark, empty):
     assert line_index.drop_repeated_lines(empty).collect() == []
     none = spark.createDataFrame([(1, "a\nb", None, None, None)], DOCS)
     assert [tuple(r)[:3] for r in line_index.drop_repeated_lines(none).collect()] == [(1, 2, 0)]
+
+
+def test_documents_are_not_joined_where_all_keys_are_heavy(spark):
+    # ten lines in 30 documents, ten in 5: all 20 keys go to every task, also those of fewer documents than the mean
+    often, seldom = ([f"{name} line {i} that is long enough to be counted here" for i in range(10)] for name in ("often", "seldom"))
+    rows = [(i, "\n".join(often + seldom * (i < 5))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for heavy, joined in ((20, False), (19, True)):
+        out = line_index.drop_repeated_lines(docs, heavy=heavy)
+        assert ("Join" in out._jdf.queryExecution().optimizedPlan().toString()) == joined
+        assert answers(out) == brute(rows)
+
+
+def test_heavy_keys_number_at_most_so_many():
+    sizes = [(5, 100), (9, 1), (6, 10), (7, 3)]
+    assert [line_index.heavy_from(sizes, heavy) for heavy in (200, 114, 113, 14, 13, 4, 3, 1, 0)] == [0, 0, 6, 6, 7, 7, 8, 8, 10]
+    assert line_index.heavy_from([], 5) == 0
+
+
+def test_keys_count_code_points():
+    body = " \tAbÀ \n\U0001f600\U0001f600\U0001f600\n\U0001f600\U0001f600\n\nabc\r".encode()
+    assert line_index.line_keys(body, 3) == ["abÀ".encode(), "\U0001f600\U0001f600\U0001f600".encode(), None, None, b"abc"]

@@ -11,10 +11,10 @@ fingerprint (a false match has odds of 2**-64 a probe).
 
 Documents probe the arrays; lines are never joined with lines:
 
-* Keys of at least total / ``heavy`` documents number ``heavy`` at most, whatever the
-  corpus. Their arrays go to every task, and documents probe them in place.
-* Probes of all other lines travel packed to their shard, which streams them past its
-  arrays and answers with the lines to drop. No such key has more probes than
+* The ``heavy`` keys of the most documents, whatever the corpus, form one index that goes
+  to every task, and documents probe it in place. Often that is all keys.
+* Otherwise probes of all other lines travel packed to their shard, which streams them
+  past its arrays and answers with the lines to drop. No such key has more probes than
   total / ``heavy``, so no shard is hot.
 
 Defined results: null and empty texts are one empty line; a row is a document, also
@@ -27,33 +27,27 @@ from __future__ import annotations
 
 import hashlib
 import io
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest as digest
 
 from tickloom.llm.common import NO_ID, Scratch, identified, parts
 
 #: keys whose arrays are sent to every task: 20 bytes each and their bits
 HEAVY = 1 << 19
-#: keys a task holds before it passes them on
+#: lines a task holds before it passes them on
 HELD = 1 << 18
 BLANK = b" \t\n\x0b\x0c\r"
 SHARDED = "shard int, digests binary, counts binary, owners binary"
 
 
-def keyed(line: bytes, min_chars: int) -> bytes | None:
-    """The key of a line, if it has enough code points."""
-    key = line.strip(BLANK).lower()  # bytes: A-Z alone are lowered
-    if len(key) < min_chars or not key.isascii() and len(key.decode()) < min_chars:
-        return None
-    return key
-
-
-def digest(key: bytes) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(key)
+def line_keys(body: bytes, min_chars: int) -> list[bytes | None]:
+    """The key of each line of a text; None for one of fewer code points, which have up to four bytes."""
+    keys, many = [x.strip(BLANK) for x in body.lower().split(b"\n")], 4 * min_chars  # bytes: A-Z alone are lowered
+    return [key if (n := len(key)) >= many or n >= min_chars and (key.isascii() or len(key.decode()) >= min_chars) else None for key in keys]
 
 
 class PerfectHash:
@@ -169,26 +163,27 @@ def _packed(rows: list[tuple], names: list[str]):
 
 
 def _count_lines(min_chars: int, shards: int):
-    """Scan side: (shard, digests, counts, owners) of the lines of a task, ``HELD`` keys at a time."""
+    """Scan side: (shard, digests, counts, owners) of the lines of a task, ``HELD`` lines at a time."""
 
     def run(batches):
-        held: dict[bytes, list[int]] = {}
+        digests, owners, sizes = [], [], []
 
         def flush():
-            digests = pairs(b"".join(held))
-            seen = np.array(list(held.values()), np.int64).reshape(-1, 2)
-            held.clear()
-            return _packed(list(by_shard(digests, shards, seen[:, 0].copy(), seen[:, 1].copy())), ["shard", "digests", "counts", "owners"])
+            found = pairs(b"".join(digests))
+            rows = merged(found, np.ones(len(found), np.int64), np.repeat(np.array(owners, np.int64), sizes))
+            for held in (digests, owners, sizes):
+                held.clear()
+            return _packed(list(by_shard(rows[0], shards, *rows[1:])), ["shard", "digests", "counts", "owners"])
 
         for batch in batches:
             for d, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for key in {keyed(x, min_chars) for x in body.as_py().split(b"\n")} - {None}:
-                    entry = held.setdefault(digest(key), [0, d])
-                    entry[0] += 1
-                    entry[1] = max(entry[1], d)
-                if len(held) >= HELD:
+                own = {*line_keys(body.as_py(), min_chars)} - {None}
+                digests.extend(map(digest, own))
+                owners.append(d)
+                sizes.append(len(own))
+                if len(digests) >= HELD:
                     yield flush()
-        if held:
+        if digests:
             yield flush()
 
     return run
@@ -226,8 +221,28 @@ def _merge_shards(min_docs: int):
     return run
 
 
-def _indexes(least: int, most: int):
-    """Indexes of a shard's keys with ``least`` <= count < ``most``."""
+def _document_counts(batches):
+    """(n, keys): how many keys of a shard are in n documents."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for raw in batch.column(0):
+            n, keys = np.unique(np.frombuffer(raw.as_py(), "<i8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(keys)], names=["n", "keys"])
+
+
+def heavy_from(sizes: list[tuple[int, int]], heavy: int) -> int:
+    """The least number of documents that ``heavy`` keys at most reach, of (n, keys in n documents)."""
+    held = 0
+    for n, keys in sorted(sizes, reverse=True):
+        held += keys
+        if held > heavy:
+            return n + 1
+    return 0
+
+
+def _between(least: int, most: int):
+    """A shard's keys with ``least`` <= count < ``most``."""
 
     def run(batches):
         for batch in batches:
@@ -235,30 +250,29 @@ def _indexes(least: int, most: int):
                 digests, counts, owners = pairs(row[0]), np.frombuffer(row[1], "<i8"), np.frombuffer(row[2], "<i8")
                 keep = (counts >= least) & (counts < most)
                 if keep.any():
-                    yield _packed([(s, LineIndex.build(digests[keep], counts[keep], owners[keep]).to_bytes())], ["shard", "index"])
+                    yield _packed([(s, digests[keep], counts[keep], owners[keep])], ["shard", "digests", "counts", "owners"])
 
     return run
 
 
-class Heavy:
-    """The lines of the most documents, as every task holds them."""
+def _indexes(batches):
+    """Indexes of the keys of a shard."""
+    for batch in batches:
+        for s, digests, counts, owners in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            yield _packed([(s, index_of([(digests, counts, owners)]))], ["shard", "index"])
 
-    def __init__(self, shards: int, rows: dict[int, bytes]):
-        self.shards, self.rows = shards, {s: LineIndex.from_bytes(raw) for s, raw in rows.items()}
 
-    def probe(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts, owners = np.zeros(len(digests), np.int64), np.zeros(len(digests), np.int64)
-        for s, mine, at in by_shard(digests, self.shards, np.arange(len(digests))):
-            if s in self.rows:
-                counts[at], owners[at] = self.rows[s].probe(mine)
-        return counts, owners
+def index_of(rows: list[tuple[bytes, bytes, bytes]]) -> bytes:
+    """One index of the keys of all rows (digests, counts, owners)."""
+    digests, counts, owners = [b"".join(x) for x in zip(*rows, strict=True)] or [b""] * 3
+    return LineIndex.build(pairs(digests), np.frombuffer(counts, "<i8"), np.frombuffer(owners, "<i8")).to_bytes()
 
 
 def _ask(min_chars: int, shards: int, heavy):
     """Probes of the lines that are not heavy: (shard, digests, documents), packed."""
 
     def run(batches):
-        index, digests, docs = Heavy(shards, heavy.value), [], []
+        index, digests, docs = LineIndex.from_bytes(heavy.value), [], []
 
         def flush():
             asked = pairs(b"".join(digests))
@@ -271,7 +285,7 @@ def _ask(min_chars: int, shards: int, heavy):
 
         for batch in batches:
             for d, h, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for key in {keyed(x, min_chars) for x in body.as_py().split(b"\n")} - {None}:
+                for key in {*line_keys(body.as_py(), min_chars)} - {None}:
                     digests.append(digest(key))
                     docs.append((d, h))
                 if len(docs) >= HELD:
@@ -305,31 +319,29 @@ def _answer(min_docs: int):
     return run
 
 
-def _dropped(min_chars: int, min_docs: int, shards: int, heavy, with_text: bool):
+def _dropped(min_chars: int, min_docs: int, heavy, with_text: bool):
     """Per document: its lines counted, those to drop taken out, the rest joined again."""
 
     def run(batches):
         import pyarrow as pa
 
-        index = Heavy(shards, heavy.value)
+        index = LineIndex.from_bytes(heavy.value)
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-            lines, keys, of = [], [], []
-            ids = batch.column(1).to_pylist()
-            for i, body in enumerate(batch.column(2)):
-                lines.append(body.as_py().split(b"\n"))
-                for j, line in enumerate(lines[-1]):
-                    key = keyed(line, min_chars)
-                    if key is not None:
-                        keys.append(digest(key))
-                        of.append((i, j))
-            counts, owners = index.probe(pairs(b"".join(keys)))
-            said = [set(x.as_py() or ()) for x in batch.column(3)]
-            out: list[set[int]] = [set() for _ in lines]
-            for key, (i, j), n, owner in zip(keys, of, counts.tolist(), owners.tolist(), strict=True):
-                if n >= min_docs and owner != ids[i] or key in said[i]:
-                    out[i].add(j)
-            kept = [b"\n".join([x for j, x in enumerate(text) if j not in gone]) for text, gone in zip(lines, out, strict=True)]
-            cols = [batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in out], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+            ids, bodies, said = batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3)
+            each = [line_keys(body, min_chars) for body in bodies]
+            sizes, keys = np.array([len(x) for x in each]), [key for own in each for key in own]
+            row, first = np.repeat(np.arange(len(each)), sizes), np.cumsum(sizes) - sizes
+            asked = np.flatnonzero([key is not None for key in keys])
+            digests = [digest(key) for key in keys if key is not None]
+            counts, owners = index.probe(pairs(b"".join(digests)))
+            gone = np.zeros(len(keys), bool)
+            gone[asked] = (counts >= min_docs) & (owners != ids[row[asked]])
+            if said.null_count < len(said):  # the answers of the shards
+                told = [set(x or ()) for x in said.to_pylist()]
+                gone[asked] |= np.array([x in told[i] for x, i in zip(digests, row[asked].tolist(), strict=True)], bool)
+            out = np.add.reduceat(gone, first, dtype=np.int64)
+            kept = [b"\n".join(compress(body.split(b"\n"), ~gone[a : a + size])) if n else body for body, a, size, n in zip(bodies, first.tolist(), sizes.tolist(), out.tolist(), strict=True)]
+            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
             names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
             if with_text:
                 cols.append(pa.array([x.decode() for x in kept]))
@@ -346,33 +358,27 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     points and is found in ``min_docs`` documents stay in the largest doc_id only.
     """
     spark = docs.sparkSession
-    scratch, shards, n = Scratch(spark, "lines"), 4 * parts(spark), parts(spark)
+    scratch, shards = Scratch(spark, "lines"), 4 * parts(spark)
     rows = identified(docs)
     counted = rows.select("d", "body").mapInArrow(_count_lines(min_chars, shards), SHARDED)
-    dealt = counted.repartition(n, "shard").sortWithinPartitions("shard")
+    dealt = counted.repartition("shard").sortWithinPartitions("shard")
     keys = scratch.store(dealt.mapInArrow(_merge_shards(min_docs), SHARDED), "keys")
 
-    def add(batches):  # documents of all keys of a shard
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x.as_py(), "<i8").sum()) for x in batch.column(0)], pa.int64()), pa.array([int(np.frombuffer(x.as_py(), "<i8").min()) for x in batch.column(0)], pa.int64())], names=["total", "least"])
-
-    total, least = keys.select("counts").mapInArrow(add, "total long, least long").agg(F.sum("total"), F.min("least")).first()
-    cut = max(min_docs, -(-(total or 0) // heavy))
-    # at most ``heavy`` keys are in ``cut`` documents or more, since their counts add up to ``total``
-    sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["index"]) for r in keys.mapInArrow(_indexes(cut, 1 << 62), "shard int, index binary").collect()})
-    if least is not None and least < cut:
-        light = scratch.store(keys.mapInArrow(_indexes(min_docs, cut), "shard int, index binary"), "light")
+    # counts that add up to the probes of all keys: few different ones
+    sizes = [tuple(r) for r in keys.select("counts").mapInArrow(_document_counts, "n long, keys long").groupBy("n").agg(F.sum("keys")).collect()]
+    cut = max(min_docs, heavy_from(sizes, heavy))
+    sent = spark.sparkContext.broadcast(index_of([tuple(map(bytes, r)) for r in keys.mapInArrow(_between(cut, 1 << 62), SHARDED).select("digests", "counts", "owners").collect()]))
+    if any(n < cut for n, _ in sizes):
+        light = scratch.store(keys.mapInArrow(_between(min_docs, cut), SHARDED).mapInArrow(_indexes, "shard int, index binary"), "light")
         asked = rows.select("d", "h", "body").mapInArrow(_ask(min_chars, shards, sent), "shard int, index binary, digests binary, docs binary")
         both = light.select("shard", "index", F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("docs")).unionAll(asked)
-        met = both.repartition(n, "shard").sortWithinPartitions("shard", F.col("index").isNull())
+        met = both.repartition("shard").sortWithinPartitions("shard", F.col("index").isNull())
         answers = met.mapInArrow(_answer(min_docs), "d long, h long, digest binary").groupBy("d", "h").agg(F.collect_set("digest").alias("said"))
         rows = rows.join(scratch.store(answers, "answers"), ["d", "h"], "left")
     else:
         rows = rows.withColumn("said", F.lit(None).cast("array<binary>"))
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
-    return rows.select("doc_id", "d", "body", "said").mapInArrow(_dropped(min_chars, min_docs, shards, sent, with_text), schema)
+    return rows.select("doc_id", "d", "body", "said").mapInArrow(_dropped(min_chars, min_docs, sent, with_text), schema)
 
 
 #: DuckDB's form with the default parameters
